@@ -45,3 +45,13 @@ def durable(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def per_process(key: tuple, make):
+    """A value made once in each worker process and kept for its later tasks (functions travel by value, module state doesn't)."""
+    import builtins
+
+    store = builtins.__dict__.setdefault("_campovia_worker", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
