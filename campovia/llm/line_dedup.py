@@ -60,16 +60,16 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 ORACLE_SQL = """
 WITH split_lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS at, unnest(ls) AS line FROM split_lines),
+lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM split_lines),
 windows AS (
-  SELECT doc_id, at, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, count(*) OVER (PARTITION BY doc_id) - at AS ahead
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
+  SELECT doc_id, pos, line, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, count(*) OVER (PARTITION BY doc_id) - pos AS ahead
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ranked AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, at) AS nth
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, pos) AS nth
   FROM windows WHERE ahead >= 3 AND trim(line || line2 || line3) <> ''),
-gone AS (SELECT DISTINCT doc_id, at + k AS at FROM ranked, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1),
 kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY at) AS text FROM lines ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id),
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
 counts AS (SELECT doc_id, count(*) AS removed_lines FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(c.removed_lines, 0) AS removed_lines
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)

@@ -147,7 +147,7 @@ def pack(
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc", "start", "ids_crc32", "salt"], ascending=[False, True, True, True, True], kind="stable")
         placed = np.array(first_fit(group["length"].tolist(), length), np.int64).reshape(-1, 2)
-        group["sequence_id"] = (group["pack"] << 32) + placed[:, 0]
+        group["sequence_id"] = group["pack"].to_numpy() * 2**32 + placed[:, 0]
         group["offset"] = placed[:, 1]
         return group[[*kept, "sequence_id", "offset", *["ids"] * with_ids]]
 

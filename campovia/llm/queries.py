@@ -7,15 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campovia.llm import feistel_shards, simhash_dedup
+import public_tokenizers
+
+from campovia.llm import (
+    ann_adaptive,
+    byte_bpe,
+    exact_topk,
+    feistel_shards,
+    line_dedup,
+    packing,
+    preference_format,
+    simhash_dedup,
+)
 from campovia.session import table
 
+#: Searches ask with the rows whose vec_id this divides.
+QUERY_EVERY = 20
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components: 4-word shingles, fingerprints at most 4 bits apart."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, max_bits=4, words=1)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later occurrences of repeated three-line windows."""
+    kept = line_dedup.remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", "removed_lines")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of their decoding."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_ann_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_adaptive.nearest(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), k=20)
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer scores for every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk.exact_topk(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), k=20, scale=64)
+
+
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as the chosen side; on the rejected side its last turn says what the next conversation's last turn says."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    order = F.struct(F.col("turn").isNotNull(), "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    last = turns.groupBy("conv_id").agg(F.max(order).alias("last"), F.count("*").alias("n"))
+    closing = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.col4").alias("reply"))
+    ends = last.select("conv_id", "last").join(closing, "conv_id", "left")
+    swapped = turns.join(ends, "conv_id").withColumn("text", F.when(order == F.col("last"), F.coalesce("reply", F.lit(""))).otherwise(F.col("text")))
+    return preference_format.preference_examples(turns, swapped)
+
+
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 16 shards under the law of equal row counts."""
     digests = table(spark, sf_dir, "documents").select(
@@ -28,14 +83,26 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, length=2048, end_id=1, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query."""
     return {
         "op1_simhash": op1_simhash,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_ann_adaptive": op4_ann_adaptive,
+        "op6_exact_topk": op6_exact_topk,
+        "op8_preference_format": op8_preference_format,
         "op9_feistel_shards": op9_feistel_shards,
+        "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op8_preference_format": preference_format.ORACLE_SQL}
