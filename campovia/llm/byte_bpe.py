@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from campovia.session import durable, per_process
 
-#: Text of a chunk, whose documents share a word list; words whose ids a task remembers.
-CHUNK_CHARS, CACHE_WORDS = 16_000_000, 1_000_000
+#: Text of a chunk, whose documents share a word list; parts a word list is dealt in; words whose ids a task remembers.
+CHUNK_CHARS, PARTS, CACHE_WORDS = 40_000_000, 512, 500_000
 #: A single space between two characters that are no white space. No match of a byte-level pre-token pattern
 #: of the usual kind crosses the point before it: a match begins with such a space or ends before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -37,20 +38,45 @@ class WordList(dict):
         return at
 
 
-def squeezed(indexes: np.ndarray) -> bytes:
-    """Indexes in little room: byte planes, each compressed."""
-    planes = indexes.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers as four byte planes, which compress better than the numbers."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def unsqueezed(blob: bytes) -> np.ndarray:
-    """The indexes again."""
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0]
+def numbers_of(data: bytes) -> np.ndarray:
+    """The numbers of byte planes."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def packed(places: list[int], items: list[bytes]) -> bytes:
+    """Items with their places, in rising order, as one compressed blob."""
+    steps = np.diff(np.array([0, *places], np.int64))
+    sizes = np.fromiter(map(len, items), np.int64, len(items))
+    return squeezed(len(items).to_bytes(4, "little") + planes(steps) + planes(sizes) + b"".join(items))
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The places and items again."""
+    data = unsqueezed(blob)
+    count = int.from_bytes(data[:4], "little")
+    places = np.cumsum(numbers_of(data[4 : 4 + 4 * count]).astype(np.int64))
+    ends = (4 + 8 * count + np.cumsum(numbers_of(data[4 + 4 * count : 4 + 8 * count]).astype(np.int64))).tolist()
+    return places, [data[a:b] for a, b in zip([4 + 8 * count, *ends], ends)]
 
 
 def word_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Runs of documents as (chunk, ids, sizes, places, words): each text's words are places in its chunk's list of distinct words."""
+    """Runs of documents as (chunk, ids, sizes, places, lists): each text's words are places in its chunk's list of distinct words.
+
+    The list is dealt by word in PARTS parts, each with its words' places.
+    """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
     kind = rows.schema["doc"].dataType.simpleString()
 
@@ -67,13 +93,18 @@ def word_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # frequent words get small places
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
+            dealt: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(PARTS)]
+            for place, i in enumerate(order.tolist()):
+                word = words[i].encode()
+                own = dealt[zlib.crc32(word) % PARTS]
+                own[0].append(place)
+                own[1].append(word)
             ids = pa.concat_arrays(owners)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            ordered = [words[i] for i in order.tolist()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([chunk]), lists, pa.array([sizes], pa.list_(pa.int32())), pa.array([squeezed(rank[flat])], pa.binary()), pa.array([ordered], pa.list_(pa.string()))],
-                ["chunk", "ids", "sizes", "places", "words"],
-            )
+            columns = [
+                pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([squeezed(planes(rank[flat]))], pa.binary()), pa.array([[packed(*own) for own in dealt]], pa.list_(pa.binary())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "places", "lists"])
 
         for batch in batches:
             since = 0
@@ -98,7 +129,7 @@ def word_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if sizes:
             yield close()
 
-    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<int>, places binary, words array<string>")
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<int>, places binary, lists array<binary>")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -110,8 +141,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """(id, ids) for each row: the whole text's token ids as little-endian unsigned 32-bit bytes.
 
     Texts are parted into words at cuts that no match of pattern crosses; each chunk of documents lists its distinct words and
-    notes its texts as places in the list. The lists' words meet in one shuffle by word, where each distinct word is encoded once
-    (every match of pattern by itself, no special tokens); ids go back to the chunks and texts are put together by
+    notes its texts as places in the list. The lists' words meet in one shuffle by a hash of the word, where each distinct word is
+    encoded once (every match of pattern by itself, no special tokens); ids go back to the chunks and texts are put together by
     place. A word comes at most once from a chunk, so no word makes a hot partition. ranks and pattern are those of a
     byte-level vocabulary, bounded by its size; they are sent to the workers.
 
@@ -128,32 +159,33 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         own_ranks, own_pattern = rules.value
         make = lambda: tiktoken.Encoding("own", pat_str=own_pattern, mergeable_ranks=own_ranks, special_tokens={})
         ids_of = per_process(("byte bpe", own_pattern, len(own_ranks), hash(frozenset(own_ranks.items()))), make).encode_ordinary
-        known: dict[str, bytes] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
-            for word in batch.column(2).to_pylist():
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    ids = known[word] = np.array(ids_of(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "at", "ids"])
-
-    words = chunks.select("chunk", F.posexplode("words").alias("at", "word")).repartition("word")
-    encoded = words.mapInArrow(encode_words, "chunk long, at int, ids binary")
+            for blob in batch.column(2).to_pylist():
+                places, words = unpacked(blob)
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                known.update((w, np.array(ids_of(w.decode()), "<u4").tobytes()) for w in words if w not in known)
+                out.append(packed(places.tolist(), [known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "found"])
+
+    parts = chunks.select("chunk", F.posexplode("lists").alias("part", "list")).repartition("part").select("chunk", "part", "list")
+    encoded = parts.mapInArrow(encode_words, "chunk long, found binary")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_place = np.argsort(right.column("at").to_numpy())
-        ids_at = right.column("ids").take(pa.array(by_place)).to_pylist()
         row = left.slice(0, 1)
-        places = unsqueezed(row.column("places")[0].as_py())
+        ids_at: dict[int, bytes] = {}
+        for blob in right.column("found").to_pylist():
+            places, items = unpacked(blob)
+            ids_at.update(zip(places.tolist(), items))
+        places = numbers_of(unsqueezed(row.column("places")[0].as_py()))
         out, at = [], 0
         for size in row.column("sizes")[0].as_py():
             out.append(b"".join(map(ids_at.__getitem__, places[at : at + size].tolist())))
             at += size
         owners = row.column("ids").combine_chunks().flatten()
-        return pa.table([owners, pa.array(out, pa.large_binary()).cast(pa.binary())], names=["doc", "ids"])
+        return pa.table([owners, pa.array(out, pa.binary())], names=["doc", "ids"])
 
     texts = chunks.select("chunk", "ids", "sizes", "places")
     whole = texts.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(put_together, f"doc {kind}, ids binary")

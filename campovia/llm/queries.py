@@ -14,12 +14,14 @@ from campovia.llm import (
     byte_bpe,
     exact_topk,
     feistel_shards,
+    gam_quality,
     line_dedup,
     packing,
     preference_format,
     simhash_dedup,
+    warc_fixity,
 )
-from campovia.session import table
+from campovia.session import durable, table
 
 #: Searches ask with the rows whose vec_id this divides.
 QUERY_EVERY = 20
@@ -54,12 +56,32 @@ def op4_ann_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_adaptive.nearest(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), k=20)
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record with its offsets, hash and file root, and what an audit finds in a replica of which each 97th page's first byte was lost to a bit fault."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    broken = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("?"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    own = durable(warc_fixity.leaves_of_pages(pages))
+    replica = durable(warc_fixity.leaves_of_pages(pages.withColumn("html", broken)))
+    faults, roots = warc_fixity.audit(own, replica)
+    return (
+        own.join(roots, "file").join(faults.select("file", "node", "fault"), ["file", "node"], "left")
+        .select(F.col("id").alias("page_id"), "file", F.col("node").alias("record"), "start", "stop", F.col("hash").alias("sha256"), "root", "fault")
+    )
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer scores for every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk.exact_topk(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), k=20, scale=64)
 
 
+def op7_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score from a model of labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam_quality.learn(docs, table(spark, sf_dir, "labels"))
+    return gam_quality.classify(docs, model).select("doc_id", gam_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as the chosen side; on the rejected side its last turn says what the next conversation's last turn says."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -96,7 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_ann_adaptive": op4_ann_adaptive,
+        "op5_warc_fixity": op5_warc_fixity,
         "op6_exact_topk": op6_exact_topk,
+        "op7_gam_quality": op7_gam_quality,
         "op8_preference_format": op8_preference_format,
         "op9_feistel_shards": op9_feistel_shards,
         "op10_packing": op10_packing,
@@ -105,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op8_preference_format": preference_format.ORACLE_SQL}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_warc_fixity": warc_fixity.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op8_preference_format": preference_format.ORACLE_SQL}
