@@ -226,3 +226,15 @@ def near_duplicates(
     component = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = placed.join(component, "root").select("fingerprint", "component_id")
     return marked.select("doc", fingerprint).join(by_fp, "fingerprint", "left").select(F.col("doc").alias(id_col), "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 19, words: int = 2) -> DataFrame:
+    """docs, all columns, with one document left of each near-duplicate component: that of the smallest id.
+
+    Rows equal in id and text are one document and leave one row. Components without any id leave a row for each
+    different text, for nothing tells which to keep. Columns may have any name but _print and _kept.
+    """
+    groups = near_duplicates(docs, id_col, text_col, width, max_bits, words)
+    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    first = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    return first.withColumn("_print", F.xxhash64(text_col)).dropDuplicates([id_col, "_print"]).drop("_print")
