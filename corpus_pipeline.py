@@ -1,6 +1,49 @@
-STAGES = []
+"""A training-data pipeline over documents: quality, line dedup, near-dedup, packing."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from campovia.llm import gam_quality, line_dedup, packing, simhash_dedup
+from campovia.session import durable, table
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones that are not held out, does not reject."""
+    model = gam_quality.learn(docs, table(spark, sf_dir, "labels"))
+    return gam_quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of repeated three-line windows; n_chars is brought up to date."""
+    cut = line_dedup.remove_repeated_windows(docs)
+    changed = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, an estimated similarity of 0.8 or more."""
+    return simhash_dedup.keep_one(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), length=2048, end_id=1, with_ids=False)
+
+
+STAGES = [("quality", quality), ("line_dedup", repeated_lines), ("near_dedup", near_copies), ("packing", packed)]
+
+#: SQL cannot learn the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what a stage leaves is written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
