@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bins of a feature's table and of either side of a pair's; interactions kept; rounds over all tables; step; least weight of a leaf.
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, LEAST = 48, 12, 8, 160, 60, 0.1, 5.0
@@ -214,15 +215,14 @@ def learn(
 def scored(docs: DataFrame, model: Gam, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs, all columns and rows, with the score of each whole text in a column out, which docs may not have; null texts score as empty ones."""
     names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sent.value.score(matrix([t or b"" for t in batch.column(at).slice(i, 512).cast(pa.binary()).to_pylist()])) for i in range(0, batch.num_rows, 512)]
+            found = [model.score(matrix([t or b"" for t in batch.column(at).slice(i, 512).cast(pa.binary()).to_pylist()])) for i in range(0, batch.num_rows, 512)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*names, out])
 
-    schema = docs.schema.add(out, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
