@@ -10,15 +10,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campovia.session import durable, per_process
+from campovia.session import per_process
 
 #: Text of a chunk, whose documents share a word list; parts a word list is dealt in; words whose ids a task remembers.
-CHUNK_CHARS, PARTS, CACHE_WORDS = 40_000_000, 512, 500_000
+CHUNK_CHARS, PARTS, CACHE_WORDS = 32_000_000, 512, 500_000
 #: A single space between two characters that are no white space. No match of a byte-level pre-token pattern
 #: of the usual kind crosses the point before it: a match begins with such a space or ends before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -73,15 +73,15 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def word_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Runs of documents as (chunk, ids, sizes, places, lists): each text's words are places in its chunk's list of distinct words.
+    """Runs of documents as (chunk, ids, sizes, places, count, lists): each text's words are places in its chunk's list of distinct words.
 
-    The list is dealt by word in PARTS parts, each with its words' places.
+    The list, of count words, is dealt by word in PARTS parts, each with its words' places. A chunk is named by a hash of
+    its content, so computing it again gives the same name only if it gives the same places.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
     kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
         owners: list[pa.Array] = []
         sizes: list[int] = []
         places: list[np.ndarray] = []
@@ -100,11 +100,15 @@ def word_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own[0].append(place)
                 own[1].append(word)
             ids = pa.concat_arrays(owners)
+            lists = [packed(*own) for own in dealt]
+            name = xxhash.xxh64(rank[flat].tobytes())
+            for part in lists:
+                name.update(part)
             columns = [
-                pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int32())),
-                pa.array([squeezed(planes(rank[flat]))], pa.binary()), pa.array([[packed(*own) for own in dealt]], pa.list_(pa.binary())),
+                pa.array([name.intdigest() - 2**63]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([squeezed(planes(rank[flat]))], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([lists], pa.list_(pa.binary())),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "places", "lists"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "places", "count", "lists"])
 
         for batch in batches:
             since = 0
@@ -122,14 +126,14 @@ def word_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if chars >= CHUNK_CHARS:
                     owners.append(batch.column(0).slice(since, i + 1 - since))
                     yield close()
-                    since, chars, chunk = i + 1, 0, chunk + 1
+                    since, chars = i + 1, 0
                     owners, sizes, places, words = [], [], [], []
                     first, later = WordList(words, ""), WordList(words, " ")
             owners.append(batch.column(0).slice(since))
         if sizes:
             yield close()
 
-    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<int>, places binary, lists array<binary>")
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<int>, places binary, count long, lists array<binary>")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,14 +147,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     Texts are parted into words at cuts that no match of pattern crosses; each chunk of documents lists its distinct words and
     notes its texts as places in the list. The lists' words meet in one shuffle by a hash of the word, where each distinct word is
     encoded once (every match of pattern by itself, no special tokens); ids go back to the chunks and texts are put together by
-    place. A word comes at most once from a chunk, so no word makes a hot partition. ranks and pattern are those of a
+    place. A word comes at most once from a chunk, so no word makes a hot partition. The texts are read twice, once for the lists and
+    once for the places, which is less to write than keeping either; an input that is not the same when read again ends the job with an error. ranks and pattern are those of a
     byte-level vocabulary, bounded by its size; they are sent to the workers.
 
     Null and empty texts have no ids. Null and repeated ids and repeated rows keep their rows. Other columns are not
     read. An empty table gives an empty result.
     """
     rules = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
-    chunks = durable(word_chunks(docs, id_col, text_col))
+    chunks = word_chunks(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,35 +164,41 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         own_ranks, own_pattern = rules.value
         make = lambda: tiktoken.Encoding("own", pat_str=own_pattern, mergeable_ranks=own_ranks, special_tokens={})
         ids_of = per_process(("byte bpe", own_pattern, len(own_ranks), hash(frozenset(own_ranks.items()))), make).encode_ordinary
-        known: dict[bytes, bytes] = {}
+        known: dict[bytes, bytes] = {}  # of one part: the rows come sorted by part
+        last = None
         for batch in batches:
             out = []
-            for blob in batch.column(2).to_pylist():
-                places, words = unpacked(blob)
-                if len(known) > CACHE_WORDS:
+            for part, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if part != last or len(known) > CACHE_WORDS:
                     known.clear()
+                    last = part
+                places, words = unpacked(blob)
                 known.update((w, np.array(ids_of(w.decode()), "<u4").tobytes()) for w in words if w not in known)
                 out.append(packed(places.tolist(), [known[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "found"])
 
-    parts = chunks.select("chunk", F.posexplode("lists").alias("part", "list")).repartition("part").select("chunk", "part", "list")
-    encoded = parts.mapInArrow(encode_words, "chunk long, found binary")
+    parts = chunks.select("chunk", F.posexplode("lists").alias("part", "list")).repartition("part").sortWithinPartitions("part")
+    encoded = parts.select("chunk", "part", "list").mapInArrow(encode_words, "chunk long, found binary")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.slice(0, 1)
-        ids_at: dict[int, bytes] = {}
+        ids_at: list[bytes | None] = [None] * max(left.column("count").to_pylist(), default=0)
         for blob in right.column("found").to_pylist():
             places, items = unpacked(blob)
-            ids_at.update(zip(places.tolist(), items))
-        places = numbers_of(unsqueezed(row.column("places")[0].as_py()))
-        out, at = [], 0
-        for size in row.column("sizes")[0].as_py():
-            out.append(b"".join(map(ids_at.__getitem__, places[at : at + size].tolist())))
-            at += size
-        owners = row.column("ids").combine_chunks().flatten()
+            for place, item in zip(places.tolist(), items):
+                ids_at[place] = item
+        if any(x is None for x in ids_at):
+            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
+        out = []
+        for sizes, blob in zip(left.column("sizes").to_pylist(), left.column("places").to_pylist()):
+            places, at = numbers_of(unsqueezed(blob)), 0
+            for size in sizes:
+                out.append(b"".join(map(ids_at.__getitem__, places[at : at + size].tolist())))
+                at += size
+        owners = left.column("ids").combine_chunks()
+        owners = (owners.combine_chunks() if isinstance(owners, pa.ChunkedArray) else owners).flatten()
         return pa.table([owners, pa.array(out, pa.binary())], names=["doc", "ids"])
 
-    texts = chunks.select("chunk", "ids", "sizes", "places")
+    texts = chunks.select("chunk", "ids", "sizes", "places", "count")
     whole = texts.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(put_together, f"doc {kind}, ids binary")
     return whole.withColumnRenamed("doc", id_col)
 
