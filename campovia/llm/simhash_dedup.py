@@ -165,8 +165,29 @@ def _bucket_links(slots: np.ndarray, parts: np.ndarray, values: np.ndarray, max_
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def rooted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links given as rows of fingerprints, as links of each fingerprint to the smallest one it is connected with.
+
+    Buckets that hold the same dense group mostly name the same smallest member, so few different links are left.
+    """
+    both, at = np.unique(np.concatenate([left, right]), axis=0, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(both))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = np.flatnonzero(root != np.arange(len(both)))
+    return both[own], both[root[own]]
+
+
 def close_pairs(fps: DataFrame, max_bits: int, words: int) -> DataFrame:
-    """(a, b) links, as hexadecimal fingerprints, that connect all distinct fingerprints at most max_bits bits apart."""
+    """(a, b) links, as hexadecimal fingerprints, that connect all distinct fingerprints joined by pairs at most max_bits bits apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # the bucket that the next batch may continue
@@ -175,9 +196,8 @@ def close_pairs(fps: DataFrame, max_bits: int, words: int) -> DataFrame:
             slots, parts = (np.concatenate([x[i] for x in cols]) for i in (0, 1))
             values = np.concatenate([x[2] for x in cols], axis=1)
             a, b = _bucket_links(slots, parts, values, max_bits)
-            both = np.concatenate([values[:, a], values[:, b]]).T  # one row a link
-            both = np.unique(both, axis=0) if len(both) else both
-            ends = [[row.astype(">u8").tobytes().hex() for row in half] for half in (both[:, :words], both[:, words:])]
+            nodes, roots = rooted(values[:, a].T, values[:, b].T)
+            ends = [[row.astype(">u8").tobytes().hex() for row in side] for side in (nodes, roots)]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ends], ["a", "b"])
 
         for batch in batches:
