@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,10 +73,15 @@ def check_digit(number: Column, weights: tuple[int, ...]) -> Column:
     return F.when(left < 10, left).otherwise(0)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used: the element of a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def with_check_digits(base: Column) -> Column:
     """Twelve digits and their two check digits."""
-    one = F.concat(base, check_digit(base, CNPJ_WEIGHTS).cast("string"))
-    return F.concat(one, check_digit(one, (6, *CNPJ_WEIGHTS)).cast("string"))
+    one = let(base, lambda b: F.concat(b, check_digit(b, CNPJ_WEIGHTS).cast("string")))
+    return let(one, lambda b: F.concat(b, check_digit(b, (6, *CNPJ_WEIGHTS)).cast("string")))
 
 
 def synthetic_cnpj(number: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words and patterns that results depend on.
 NULL_WORDS = ("nan", "none", "null", "<na>", "nat")
@@ -64,7 +65,7 @@ def null_sentinels(c: Column) -> Column:
     return F.when((F.trim(c) == "") | F.lower(F.trim(c)).isin(*NULL_WORDS), F.lit(None)).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fix_encoding(values: pd.Series) -> pd.Series:
     """UTF-8 read as Latin-1 is read again, control characters go, the rest is composed (NFC) and trimmed."""
 
@@ -90,19 +91,19 @@ def unaccented(c: Column) -> Column:
     return F.translate(c, ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_only(values: pd.Series) -> pd.Series:
     """Compatibility decomposition with everything beyond ASCII dropped."""
     return values.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode("ascii"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_marks(values: pd.Series) -> pd.Series:
     """Compatibility decomposition with combining marks dropped."""
     return values.map(lambda s: None if s is None else "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_after_any_break(values: pd.Series) -> pd.Series:
     """A capital after every non-letter, small letters elsewhere."""
     return values.map(lambda s: None if s is None else s.title())

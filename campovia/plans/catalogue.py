@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from campovia.plans import relational, scalar  # noqa: F401  registers its queries
+from campovia.plans import domain, flows, relational, scalar  # noqa: F401  registers its queries
 from campovia.plans.base import QUERIES, SQL, Query
 
 
