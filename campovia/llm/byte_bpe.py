@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from campovia.session import per_process
 
-#: Text of a chunk, whose documents share a word list; parts a word list is dealt in; words whose ids a task remembers.
-CHUNK_CHARS, PARTS, CACHE_WORDS = 32_000_000, 512, 500_000
+#: Text of a chunk, whose documents share a word list; parts a word list is dealt in; words whose ids a task
+#: remembers; documents of a batch on the way out.
+CHUNK_CHARS, PARTS, CACHE_WORDS, ROWS = 16_000_000, 512, 500_000, 512
 #: A single space between two characters that are no white space. No match of a byte-level pre-token pattern
 #: of the usual kind crosses the point before it: a match begins with such a space or ends before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -188,15 +189,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 ids_at[place] = item
         if any(x is None for x in ids_at):
             raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-        out = []
+        batches, out = [], []
+        owners = pa.concat_arrays([x.flatten() for x in left.column("ids").chunks])
+
+        def flush() -> None:
+            own = owners.slice(sum(b.num_rows for b in batches), len(out))
+            batches.append(pa.RecordBatch.from_arrays([own, pa.array(out, pa.binary())], ["doc", "ids"]))
+            out.clear()
+
         for sizes, blob in zip(left.column("sizes").to_pylist(), left.column("places").to_pylist()):
             places, at = numbers_of(unsqueezed(blob)), 0
             for size in sizes:
                 out.append(b"".join(map(ids_at.__getitem__, places[at : at + size].tolist())))
                 at += size
-        owners = left.column("ids").combine_chunks()
-        owners = (owners.combine_chunks() if isinstance(owners, pa.ChunkedArray) else owners).flatten()
-        return pa.table([owners, pa.array(out, pa.binary())], names=["doc", "ids"])
+                if len(out) == ROWS:
+                    flush()
+        flush()
+        return pa.Table.from_batches(batches)
 
     texts = chunks.select("chunk", "ids", "sizes", "places", "count")
     whole = texts.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(put_together, f"doc {kind}, ids binary")
@@ -218,9 +227,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_of = tokens.value.__getitem__
-        for batch in batches:
-            data = [b"".join(map(token_of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else None for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc", "ids", "data"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                data = [b"".join(map(token_of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else None for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc", "ids", "data"])
 
     kind = rows.schema["doc"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc {kind}, ids binary, data binary").withColumnRenamed("doc", id_col)
