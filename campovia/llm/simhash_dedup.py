@@ -65,18 +65,18 @@ def word_columns(words: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int = 42, words: int = 1) -> DataFrame:
-    """(doc, w0, w1, ...) for each row; a null or blank text has all words 0."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
-    names = ["doc", *word_columns(words)]
+    """(doc, print, w0, w1, ...) for each row: print is a hash of the text; a null or blank text has all words 0."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("body"))
+    names = ["doc", "print", *word_columns(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = np.array([simhash(t.as_py() or b"", width, seed, words) for t in texts], np.uint64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(words))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(words))], names)
 
     kinds = ", ".join(f"{c} long" for c in word_columns(words))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {kinds}")
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, print long, {kinds}")
 
 
 def segments(max_bits: int, words: int) -> list[tuple[int, int, int]]:
@@ -92,7 +92,7 @@ def signatures(fps: DataFrame, max_bits: int, words: int) -> DataFrame:
     for i, (k, shift, width) in enumerate(segments(max_bits, words)):
         part = F.shiftrightunsigned(f"w{k}", shift).bitwiseAND(F.lit((1 << width) - 1 if width < WORD else -1))
         keys.append(F.struct(F.lit(WORD * words + i).alias("slot"), part.alias("part")))
-        keys += [F.struct(F.lit(WORD * k + shift + b).alias("slot"), part.bitwiseAND(F.lit(~(1 << b))).alias("part")) for b in range(width)]
+        keys += [F.struct(F.lit(WORD * k + shift + b).alias("slot"), part.bitwiseAND(F.lit(~(1 << b) if b < WORD - 1 else 2 ** (WORD - 1) - 1)).alias("part")) for b in range(width)]
     names = word_columns(words)
     return fps.select(*names, F.explode(F.array(*keys)).alias("key")).select("key.slot", "key.part", *names)
 
@@ -237,6 +237,12 @@ def near_duplicates(
     row; their component is the smallest id of the others in it, or null. Repeated ids and rows are kept.
     Other columns are not read, whatever their names. An empty table gives an empty result.
     """
+    grouped = _grouped(docs, id_col, text_col, width, max_bits, words, seed)
+    return grouped.select(F.col("doc").alias(id_col), "fingerprint", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int, words: int, seed: int) -> DataFrame:
+    """(doc, print, fingerprint, component_id), one row for each row of docs."""
     names = word_columns(words)
     marked = durable(fingerprints(docs, id_col, text_col, width, seed, words))
     fingerprint = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in names)).alias("fingerprint")
@@ -245,16 +251,19 @@ def near_duplicates(
     placed = least.join(roots, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     component = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = placed.join(component, "root").select("fingerprint", "component_id")
-    return marked.select("doc", fingerprint).join(by_fp, "fingerprint", "left").select(F.col("doc").alias(id_col), "fingerprint", "component_id")
+    return marked.select("doc", "print", fingerprint).join(by_fp, "fingerprint", "left")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 19, words: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 19, words: int = 2, seed: int = 42) -> DataFrame:
     """docs, all columns, with one document left of each near-duplicate component: that of the smallest id.
 
-    Rows equal in id and text are one document and leave one row. Components without any id leave a row for each
-    different text, for nothing tells which to keep. Columns may have any name but _print and _kept.
+    Of texts that share the smallest id the one of the smallest hash stays, and rows equal in id and text leave one row.
+    Components without any id leave a row for each different text, for nothing tells which to keep. Columns may
+    have any name but _id, _text and _print.
     """
-    groups = near_duplicates(docs, id_col, text_col, width, max_bits, words)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    first = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return first.withColumn("_print", F.xxhash64(text_col)).dropDuplicates([id_col, "_print"]).drop("_print")
+    groups = _grouped(docs, id_col, text_col, width, max_bits, words, seed)
+    known = groups.where("doc = component_id").groupBy("component_id").agg(F.min("print").alias("_text")).select(F.col("component_id").alias("_id"), "_text")
+    unknown = groups.where("component_id IS NULL").select(F.col("doc").alias("_id"), F.col("print").alias("_text")).distinct()
+    own = docs.withColumn("_print", F.xxhash64(text_col))
+    first = own.join(known.union(unknown), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_text")), "left_semi")
+    return first.dropDuplicates([id_col, "_print"]).drop("_print")
