@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 NAMESPACES = ("public", "operacional")
 SEPARATORS = (";", ",", "\t", "|")
-#: Characters that show that bytes were no UTF-8.
-BROKEN = "�"
 
 
 def first_line(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
@@ -32,7 +30,7 @@ def csv_sheet(spark: SparkSession, path: str, sep: str | None = None, encoding:
     sep = sep or separator(spark, path, SEPARATORS)
     read = lambda enc: spark.read.csv(path, sep=sep, header=True, inferSchema=False, encoding=enc, multiLine=True, escape='"')
     if encoding is None:
-        encoding = "iso-8859-1" if not spark.read.text(path).where(F.col("value").contains(BROKEN)).isEmpty() else "utf-8"
+        encoding = "iso-8859-1" if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "utf-8"
     sheet = read(encoding)
     return sheet.toDF(*[c.lstrip("﻿") for c in sheet.columns]).na.fill("")
 
