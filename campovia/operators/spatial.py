@@ -61,7 +61,7 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str, lon: str,
     return near.withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(rlat), F.col(rlon))).where(F.col("km") <= km).drop("y", "x")
 
 
-def nearest_others(points: DataFrame, key: str, lat: str, lon: str, k: int, most_lat: float = 60.0) -> DataFrame:
+def nearest_others(points: DataFrame, key: str, lat: str, lon: str, k: int) -> DataFrame:
     """(key, kms): distances in rising order to the k nearest other points (fewer if there are fewer).
 
     Rounds over grids of doubling cell size: points that find k others nearer than anything outside the cells
@@ -73,18 +73,19 @@ def nearest_others(points: DataFrame, key: str, lat: str, lon: str, k: int, most
     done = None
     if n:
         span = max(north - south, east - west, 1e-6)
-        size = max(math.sqrt(max((north - south) * (east - west), 1e-12) * k / (2 * n)), span / 4096, 1e-9)
-        shrink = math.cos(math.radians(most_lat))
+        size = max(0.9 * math.sqrt(max((north - south) * (east - west), 1e-12) * k / n), span / 4096, 1e-9)
         open_places = places
         while True:
             last = size >= span
+            # What lies outside the cells around a point is at least this many km away, at the latitudes that occur.
+            reach = size * DEGREE_KM * math.cos(math.radians(min(90.0, max(abs(north), abs(south)))))
             cells = places.select(F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("n").alias("on"), cell(F.col("lat"), size).alias("y"), cell(F.col("lon"), size).alias("x"))
             km = haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))
             same = (F.col("lat") == F.col("olat")) & (F.col("lon") == F.col("olon"))
             times = F.least(F.when(same, F.col("on") - 1).otherwise(F.col("on")), F.lit(k))
             pairs = around(open_places, "lat", "lon", size).join(cells, ["y", "x"]).select("lat", "lon", F.array_repeat(F.when(same, 0.0).otherwise(km), times.cast("int")).alias("d"))
             best = pairs.groupBy("lat", "lon").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("kms"))
-            sure = (F.size("kms") == k) & (F.element_at("kms", -1) <= size * DEGREE_KM * shrink)
+            sure = (F.size("kms") == k) & (F.element_at("kms", -1) <= reach)
             found = durable(best.withColumn("sure", F.lit(last) | F.coalesce(sure, F.lit(False))))
             ready = found.where("sure").drop("sure")
             done = ready if done is None else done.unionByName(ready)

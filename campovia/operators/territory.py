@@ -17,6 +17,8 @@ from campovia.operators import reports
 from campovia.operators.filters import guard_size
 from campovia.operators.spatial import CENTRE_BLOCK, flag_outliers, nearest_centre
 
+#: Points of a block of which distance matrices are made.
+MEDOID_BLOCK = 1000
 #: Usual settings: working days, visits a period, minutes a day, km a route, minutes a stop, km/h, road factor, rounds, outlier bar.
 DEFAULTS = {"days": 20, "freq": 1, "day_minutes": 600.0, "day_km": 200.0, "service": 30.0, "kmh": 35.0, "alpha": 1.4, "rounds": 10, "z": 3.0}
 
@@ -157,14 +159,24 @@ def sweep(df: DataFrame, group: str, key: str, lat: str, lon: str, capacity: int
 def medoid(df: DataFrame, group: str, key: str, lat: str, lon: str) -> DataFrame:
     """(group, medoid, mlat, mlon): the point of least distance to all others of its group; ties go to the smaller key.
 
-    A group's points are gathered in arrays of at most CENTRE_BLOCK; each point sums its distances to each array,
-    and the sums are added, so no pair of points becomes a row.
+    A group's points are cut into blocks of at most about MEDOID_BLOCK; each pair of blocks makes one matrix, whose row sums are
+    added up, so no pair of points becomes a row and no group, however large, one task.
     """
-    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / CENTRE_BLOCK).alias("_blocks"))
-    blocks = df.join(sizes, group).groupBy(group, F.pmod(F.xxhash64(key), F.col("_blocks")).alias("_block")).agg(F.collect_list(F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))).alias("_others"))
-    total = F.aggregate("_others", F.lit(0.0), lambda s, o: s + haversine_km(F.col(lat), F.col(lon), o["lat"], o["lon"]))
-    sums = df.join(blocks, group).groupBy(group, key, lat, lon).agg(F.round(F.sum(total), 6).alias("sum"))
-    best = sums.groupBy(group).agg(F.min(F.struct("sum", key, lat, lon)).alias("b"))
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / MEDOID_BLOCK).cast("long").alias("_blocks"))
+    own = F.pmod(F.xxhash64(key), F.col("_blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    cut = df.select(group, key, lat, lon).join(sizes, group)
+    rows = cut.withColumn("_i", own).withColumn("_j", every).drop("_blocks")
+    others = cut.withColumn("_oj", own).withColumn("_oi", every).select(F.col(group).alias("_g"), F.col("_oi").alias("_a"), F.col("_oj").alias("_b"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        total = h.km_matrix(a[[lat, lon]].to_numpy(float), b[["_lat", "_lon"]].to_numpy(float)).sum(axis=1) if len(a) else []
+        return a[[group, key, lat, lon]].assign(km=total)
+
+    parts = rows.groupBy(group, "_i", "_j").cogroup(others.groupBy("_g", "_a", "_b")).applyInPandas(sums, f"{group} {kinds[group]}, {key} {kinds[key]}, {lat} double, {lon} double, km double")
+    whole = parts.groupBy(group, key, lat, lon).agg(F.round(F.sum("km"), 6).alias("sum"))
+    best = whole.groupBy(group).agg(F.min(F.struct("sum", key, lat, lon)).alias("b"))
     return best.select(group, F.col(f"b.{key}").alias("medoid"), F.col(f"b.{lat}").alias("mlat"), F.col(f"b.{lon}").alias("mlon"))
 
 

@@ -184,3 +184,11 @@ def test_retries():
         return "ok"
 
     assert readers.with_retries(action, delay=0.001) == "ok" and len(tries) == 3
+
+
+def test_medoid_in_blocks(cloud, monkeypatch):
+    whole = sorted(territory.medoid(cloud, "g", "id", "lat", "lon").collect())
+    monkeypatch.setattr(territory, "MEDOID_BLOCK", 7)
+    assert sorted(territory.medoid(cloud, "g", "id", "lat", "lon").collect()) == whole
+    d = heuristics.km_matrix(XY[::2], XY[::2]).sum(1)
+    assert whole[0].medoid == 2 * int(d.argmin())
