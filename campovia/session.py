@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import builtins
+import ctypes
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,25 +36,45 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def durable(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once and read it back: the lineage ends at files that outlive any executor.
 
     The files are removed when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/campovia-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    fs, own = _file(spark, path)
+    fs.deleteOnExit(own)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._campovia_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Remove what durable wrote for this very DataFrame, once nothing will read it any more."""
+    fs, own = _file(written.sparkSession, written._campovia_path)
+    fs.delete(own, True)
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it takes it."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
 
 
 def per_process(key: tuple, make):
     """A value made once in each worker process and kept for its later tasks (functions travel by value, module state doesn't)."""
-    import builtins
-
     store = builtins.__dict__.setdefault("_campovia_worker", {})
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers live on and share an executor's limit with its other ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
