@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campovia.session import durable
+from campovia.session import discard, durable
 
 
 def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.hash("child", "parent").cast("long"))).first()
+    row = edges.agg(F.count("*"), F.sum(F.hash("child", "parent").cast("long")), F.bit_xor(F.xxhash64("child", "parent"))).first()
     return tuple(row)
 
 
@@ -35,8 +35,9 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         large = _towards_minimum(both).where("near > node").selectExpr("near AS child", "least AS parent").distinct()
         found = _towards_minimum(large.selectExpr("child AS node", "parent AS near"))
         small = found.where("near > least").selectExpr("near AS child", "least AS parent").union(found.selectExpr("node AS child", "least AS parent"))
-        stars = durable(small.distinct())
+        last, stars = stars, durable(small.distinct())
         after = _state(stars)
+        discard(last)
         if after == before:
             break
         before = after
