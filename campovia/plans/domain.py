@@ -677,3 +677,15 @@ def cad3(spark, sf_dir):
     key = F.col("c_custkey")
     cell = F.when(key % 2 == 0, F.lpad(key.cast("string"), 12, "1")).otherwise(F.lpad(key.cast("string"), 11, "1"))
     return table(spark, sf_dir, "customer").select(key.alias("id"), registry_cnpj(F.concat(F.lit("."), cell)).alias("cnpj"))
+
+
+@query("src10_geocoder_answers", "SELECT source, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 11 = 0 THEN 'invalid_input' WHEN c_custkey % 4 = 0 THEN 'cache' WHEN c_custkey % 4 = 1 THEN 'nominatim' WHEN c_custkey % 4 = 2 THEN 'google' ELSE 'falha' END AS source FROM customer) GROUP BY source")
+def src10(spark, sf_dir):
+    """Where the coordinates came from: geocoders are tables of answers."""
+    return _geocoded(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("src11_router_answers", f"WITH {POINTS}, {CENTRES_SQL} SELECT CASE WHEN id % 5 = 0 THEN 'cache' WHEN id % 5 = 1 AND id % 2 = 0 THEN 'provider1' ELSE 'haversine' END AS fonte, count(*) AS n FROM points JOIN centres ON cid = id % 7 GROUP BY 1")
+def src11(spark, sf_dir):
+    """Where the leg costs came from: routers are tables of answers."""
+    return rt04(spark, sf_dir).groupBy("fonte").agg(F.count("*").alias("n"))
