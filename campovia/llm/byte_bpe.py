@@ -15,11 +15,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campovia.session import per_process
+from campovia.session import give_back, per_process
 
 #: Text of a chunk, whose documents share a word list; parts a word list is dealt in; words whose ids a task
 #: remembers; documents of a batch on the way out.
-CHUNK_CHARS, PARTS, CACHE_WORDS, ROWS = 16_000_000, 512, 500_000, 512
+CHUNK_CHARS, PARTS, CACHE_WORDS, ROWS = 14_000_000, 512, 300_000, 512
 #: A single space between two characters that are no white space. No match of a byte-level pre-token pattern
 #: of the usual kind crosses the point before it: a match begins with such a space or ends before it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -130,9 +130,12 @@ def word_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     since, chars = i + 1, 0
                     owners, sizes, places, words = [], [], [], []
                     first, later = WordList(words, ""), WordList(words, " ")
+                    give_back()
             owners.append(batch.column(0).slice(since))
         if sizes:
             yield close()
+        del owners, sizes, places, words, first, later
+        give_back()
 
     return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<int>, places binary, count long, lists array<binary>")
 
@@ -177,6 +180,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 known.update((w, np.array(ids_of(w.decode()), "<u4").tobytes()) for w in words if w not in known)
                 out.append(packed(places.tolist(), [known[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "found"])
+        del known
+        give_back()
 
     parts = chunks.select("chunk", F.posexplode("lists").alias("part", "list")).repartition("part").sortWithinPartitions("part")
     encoded = parts.select("chunk", "part", "list").mapInArrow(encode_words, "chunk long, found binary")
@@ -205,6 +210,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 if len(out) == ROWS:
                     flush()
         flush()
+        ids_at.clear()
+        give_back()
         return pa.Table.from_batches(batches)
 
     texts = chunks.select("chunk", "ids", "sizes", "places", "count")
@@ -232,6 +239,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
                 batch = whole.slice(at, ROWS)
                 data = [b"".join(map(token_of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else None for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc", "ids", "data"])
+            give_back()
 
     kind = rows.schema["doc"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc {kind}, ids binary, data binary").withColumnRenamed("doc", id_col)
