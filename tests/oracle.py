@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from campovia.session import TABLES
@@ -21,15 +22,15 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value) or value is pd.NA:
+    if isinstance(value, (list, np.ndarray)):
+        return str([_cell(v) for v in value])
+    if pd.isna(value):
         return "NULL"
-    if isinstance(value, bool):
-        return str(value)
-    if isinstance(value, (int, float)) or hasattr(value, "dtype"):
-        number = float(value) if not isinstance(value, pd.Timestamp) and getattr(value, "dtype", None) is not None and value.dtype.kind in "iufb" or isinstance(value, (int, float)) else None
-        if number is not None:
-            return repr(round(number, 9) + 0.0)
-    return str(value).replace(" 00:00:00", "")
+    if isinstance(value, (bool, np.bool_)):
+        return str(bool(value))
+    if isinstance(value, (int, float, np.number)):
+        return repr(round(float(value), 9) + 0.0)
+    return str(value).removesuffix(" 00:00:00")  # dates come as timestamps from one side
 
 
 def rows(frame: pd.DataFrame) -> list[tuple[str, ...]]:
