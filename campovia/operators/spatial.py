@@ -30,7 +30,9 @@ def nearest_centre(points: DataFrame, centres: DataFrame, lat: str, lon: str, ci
         near = keyed.crossJoin(lists).withColumn("_best", _nearest_of(F.col("_centres"), F.col(lat), F.col(lon)))
         best = near.groupBy("_row", *points.columns).agg(F.min("_best").alias("_best")).drop("_row")
     else:
-        best = points.join(F.broadcast(lists), F.lit(True), "left").withColumn("_best", _nearest_of(F.col("_centres"), F.col(lat), F.col(lon)))
+        # Through a generator the search is made once a row, whatever later conditions ask of its result.
+        found = F.explode(F.array(_nearest_of(F.col("_centres"), F.col(lat), F.col(lon))))
+        best = points.join(F.broadcast(lists), F.lit(True), "left").select(*points.columns, found.alias("_best"))
     return best.select(*points.columns, F.col("_best.cid").alias(cid), F.col("_best.km").alias("distancia_km"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from campovia.functions import dates, geo
 from campovia.functions.ids import registry_cnpj
@@ -28,11 +29,16 @@ c AS (SELECT cid, city, row_number() OVER (PARTITION BY cid ORDER BY count(*) DE
 SELECT g.cid, cname, n_pdvs, dist_media, dist_max, city, CASE WHEN n_pdvs > 90 THEN 'EXCEDENTE' WHEN n_pdvs < 30 THEN 'ABAIXO_MIN' ELSE 'OK' END AS banda FROM g JOIN centres USING (cid) JOIN c ON c.cid = g.cid AND rn = 1 ORDER BY cid""")
 def report_sector_summary(spark, sf_dir):
     """Points at their nearest centre; each centre's size, distances, commonest city and band."""
-    near = _nearest(spark, sf_dir).select("cid", "city", "distancia_km")
-    g = near.groupBy("cid").agg(F.count("*").alias("n_pdvs"), F.round(F.avg("distancia_km"), 4).alias("dist_media"), F.round(F.max("distancia_km"), 4).alias("dist_max"))
-    city = reports.dominant(near, "cid", ["city"]).select("cid", "city")
+    km, n = F.col("distancia_km"), F.col("n")
+    cities = _nearest(spark, sf_dir).groupBy("cid", "city").agg(F.count("*").alias("n"), F.sum(km).alias("km"), F.max(km).alias("far"))
+    whole = Window.partitionBy("cid")
+    ranked = cities.select(
+        "cid", "city", F.sum(n).over(whole).alias("n_pdvs"), F.sum("km").over(whole).alias("km"), F.round(F.max("far").over(whole), 4).alias("dist_max"),
+        F.row_number().over(whole.orderBy(F.desc("n"), "city")).alias("nth"),
+    )
+    named = ranked.where("nth = 1").join(centres(spark, sf_dir).select("cid", "cname"), "cid")
     band = territory.band_status(F.col("n_pdvs"), 30, 90)[0]
-    return g.join(centres(spark, sf_dir).select("cid", "cname"), "cid").join(city, "cid").select("cid", "cname", "n_pdvs", "dist_media", "dist_max", "city", band.alias("banda")).orderBy("cid")
+    return named.select("cid", "cname", "n_pdvs", F.round(F.col("km") / F.col("n_pdvs"), 4).alias("dist_media"), "dist_max", "city", band.alias("banda")).orderBy("cid")
 
 
 @query("j09_nearest_centre", f"WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT id, cid, round(km, 6) AS km FROM nearest")
