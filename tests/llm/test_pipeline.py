@@ -1,6 +1,11 @@
 """The pipeline's stages, one by one and together."""
 
+import public_tokenizers
+from test_texts import brute_lines
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from campovia.llm import gam_quality, simhash_dedup
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,3 +38,25 @@ def test_changed_lengths(spark):
     docs = spark.createDataFrame([(1, block, 14), (2, f"top\n{block}", 18)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_lines(spark, docs, FOLDER).collect()}
     assert got == {1: (block, 14), 2: ("top", 3)}
+
+
+def test_run_against_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = gam_quality.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = [row for row in rows if model.score(gam_quality.matrix([row[1].encode()]))[0] >= 0.5]
+    cut = [(d, t) for d, t, _ in brute_lines(kept)]
+    prints = {d: int.from_bytes(simhash_dedup.simhash(t.encode(), 5, 42, 2).astype(">u8").tobytes(), "big") for d, t in cut}
+    label = {d: d for d in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in prints.items():
+            for b, y in prints.items():
+                if label[b] < label[a] and bin(x ^ y).count("1") <= 19:
+                    label[a], changed = label[b], True
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in cut if label[d] == d}
+    got = corpus_pipeline.run(spark, folder).toPandas()
+    assert got.groupby("doc_id").length.sum().to_dict() == want and 0 < len(want) < len(kept) < len(rows)
