@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from campovia.functions import dates, geo, ids, text
 from campovia.operators import dedup, filters
 from campovia.operators.upserts import insert_new, upsert
+from campovia.session import durable
 
 MARKET_REQUIRED = ["cidade", "uf", "cep", "clientes_total"]
 
 
-def clean_points(sheet: DataFrame, row: str, number_required: bool = False) -> tuple[DataFrame, DataFrame]:
+def clean_points(sheet: DataFrame, row: str, number_required: bool = False, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """An uploaded sheet of points of sale (all text, with a row number) as (valid, invalid).
 
     Names are made canonical, cells cleaned by type, missing company ids replaced by synthetic ones from the row number, a number at the
-    end of a street parted from it, the address key built; rows that lack a required field, or share a company id, are
-    invalid with their reasons, one row a company id.
+    end of a street parted from it, the address key built. Rows that lack a required field, share a company id, or have one that is
+    stored already (stored: cnpj) are invalid with their reasons. Of these one row a company id is kept: the first that lacks a field, else
+    the first at all, so a company id's other reasons are lost.
     """
     named = filters.canonical_columns(sheet)
     filters.assert_columns(named, ["cnpj", "logradouro", "cidade", "uf", "cep"])
@@ -29,7 +31,7 @@ def clean_points(sheet: DataFrame, row: str, number_required: bool = False) -> t
     first = F.array(F.trim(F.regexp_replace(cell("logradouro"), ",.*$", "")), text.house_number(cell("numero")), ids.cnpj_from_cell(cell("cnpj")))
     named = named.withColumn("_cells", F.transform(first, lambda x: x))
     named = named.withColumns({"_street": F.get("_cells", F.lit(0)), "_number": F.get("_cells", F.lit(1)), "_cnpj": F.get("_cells", F.lit(2))})
-    cleaned = named.select(
+    cleaned = durable(named.select(  # read several times below
         F.col(row).alias("linha"),
         F.coalesce(F.nullif(F.col("_cnpj"), F.lit("")), ids.synthetic_cnpj(F.col(row))).alias("cnpj"),
         F.when(stated == "", street).otherwise(cell("logradouro")).alias("logradouro"),
@@ -38,13 +40,17 @@ def clean_points(sheet: DataFrame, row: str, number_required: bool = False) -> t
         ids.cep_strict(cell("cep")).alias("cep"), ids.money(has("pdv_vendas")).alias("pdv_vendas"),
         dates.minutes_of_day(has("janela_atendimento_inicio")).alias("janela_atendimento_inicio"), dates.minutes_of_day(has("janela_atendimento_fim")).alias("janela_atendimento_fim"),
         _service_minutes(has("tempo_atendimento_min")).alias("tempo_atendimento_min"), ids.flag(has("is_estrategico")).alias("is_estrategico"),
-    )
+    ))
     keyed = cleaned.withColumn("endereco_cache_key", text.cache_key(*[F.col(c) for c in ("logradouro", "numero", "cidade", "uf")]))
     required = ["cnpj", "logradouro", *(["numero"] if number_required else []), "cidade", "uf"]
-    filled, lacking = filters.split_required(keyed.withColumn("cnpj", ids.cnpj_14(F.col("cnpj"))), required)
+    filled, lacking = filters.split_required(keyed, required)
     single, repeated = dedup.split_repeated(filled, ["cnpj"])
-    invalid = dedup.first_by(lacking.unionByName(repeated), ["cnpj", "motivo_invalidade"], [F.col("linha")])
-    return single, invalid
+    rejected = lacking.withColumn("_step", F.lit(0)).unionByName(repeated.withColumn("_step", F.lit(1)))
+    if stored is not None:
+        known = single.join(stored.select("cnpj").distinct(), "cnpj", "left_semi").withColumn("motivo_invalidade", F.lit("cnpj_duplicado_input_id"))
+        rejected = rejected.unionByName(known.withColumn("_step", F.lit(2)))
+        single = single.join(stored.select("cnpj"), "cnpj", "left_anti")
+    return single, dedup.first_by(rejected, ["cnpj"], [F.col("_step"), F.col("linha")]).drop("_step")
 
 
 def _service_minutes(c: Column) -> Column:

@@ -150,7 +150,10 @@ def test_clean_points_edges(spark):
     good, bad = clean.clean_points(spark.createDataFrame(rows, head), "linha")
     first = good.collect()
     assert [r.linha for r in first] == [0] and len(first[0].cnpj) == 14 and first[0].janela_atendimento_inicio == 480
-    assert {(r.linha, r.motivo_invalidade) for r in bad.collect()} == {(1, "cnpj_duplicado_arquivo"), (3, "campo_obrigatorio_logradouro|campo_obrigatorio_uf")}
+    lacking = (3, "campo_obrigatorio_logradouro|campo_obrigatorio_uf")
+    assert {(r.linha, r.motivo_invalidade) for r in bad.collect()} == {(1, "cnpj_duplicado_arquivo"), lacking}
+    good, bad = clean.clean_points(spark.createDataFrame(rows[:1] + rows[2:], head), "linha", stored=spark.createDataFrame([("11222333000181",)], ["cnpj"]))
+    assert [r.linha for r in good.collect()] == [0] and {(r.linha, r.motivo_invalidade) for r in bad.collect()} == {(2, "cnpj_duplicado_input_id"), lacking}
 
 
 def test_geocode_falls_back_and_fans_out(spark):
