@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from campovia.session import give_back
+
 #: Bins of a feature's table and of either side of a pair's; interactions kept; rounds over all tables; step; least weight of a leaf.
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, LEAST = 48, 12, 8, 160, 60, 0.1, 5.0
 FEATURES = (
@@ -221,6 +223,7 @@ def scored(docs: DataFrame, model: Gam, text_col: str = "text", out: str = "scor
         for batch in batches:
             found = [model.score(matrix([t or b"" for t in batch.column(at).slice(i, 512).cast(pa.binary()).to_pylist()])) for i in range(0, batch.num_rows, 512)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*names, out])
+        give_back()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     return docs.mapInArrow(run, schema)

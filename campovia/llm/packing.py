@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campovia.session import durable, per_process
+from campovia.session import durable, give_back, per_process
 
 #: Words whose ids a worker remembers, the bytes of the longest one, documents looked up together, words encoded
 #: in one call, and the pieces of a packing group on average.
@@ -111,6 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str | bytes, id_col: str, text_col: str,
             columns.append(pa.array(np.arange(seen, seen + len(owner))))
             seen += len(owner)
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(blobs, pa.binary())] if with_ids else []), names)
+        give_back()
 
     kind = rows.schema["doc"].dataType.simpleString()
     schema = f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids

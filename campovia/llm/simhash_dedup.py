@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campovia.llm.components import connected_components
-from campovia.session import durable
+from campovia.session import durable, give_back
 
 WORD = 64
 #: Shingle hashes whose bits are counted at once, and fingerprints compared with a bucket at once.
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed:
             texts = batch.column(2).cast(pa.binary())
             found = np.array([simhash(t.as_py() or b"", width, seed, words) for t in texts], np.uint64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(words))], names)
+        give_back()
 
     kinds = ", ".join(f"{c} long" for c in word_columns(words))
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, print long, {kinds}")
@@ -215,6 +216,8 @@ def close_pairs(fps: DataFrame, max_bits: int, words: int) -> DataFrame:
             held.append((slots[cut:], parts[cut:], values[:, cut:]))
         if held:
             yield links(held)
+        held.clear()
+        give_back()
 
     index = signatures(fps, max_bits, words).repartition("slot", "part").sortWithinPartitions("slot", "part")
     return index.mapInArrow(run, "a string, b string").distinct()
