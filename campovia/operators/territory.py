@@ -42,7 +42,9 @@ def per_group(df: DataFrame, group: list[str], key: str, lat: str, lon: str, fn:
 
     Sequential algorithms need their group in one place: a group is a territory or a route, not a table.
     """
-    rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    # Small rows, long work: a fixed number of partitions keeps groups from being gathered in few tasks for their size.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).repartition(parts, *group)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
