@@ -1,0 +1,172 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles; MinHash only finds where to compare."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from campovia.llm.components import connected_components
+from campovia.llm.simhash_dedup import WORD, linked
+from campovia.session import durable, give_back
+
+#: A set is met under BANDS keys, each of ROWS of its HASHES smallest values: two of Jaccard similarity 0.8 share none with probability 5e-5.
+HASHES, BANDS, ROWS = 128, 25, 5
+#: One bit of each smallest value: sets of similarity 0.8 differ in 12.8 of 128 bits, with a spread of 3.4; 0.6 is 25.6.
+LOOSE_BITS = 26
+WORDS = HASHES // WORD
+#: Shingles whose values are made at once.
+BLOCK = 4096
+
+
+def shingles(text: bytes, width: int, seed: int) -> np.ndarray:
+    """The different shingles' hashes of a UTF-8 text, sorted: A-Z lower-cased, width words between ASCII white space, fewer in a shorter text."""
+    tokens = text.lower().split()
+    reach = min(width, len(tokens))
+    if not reach:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    first = np.concatenate([[0], ends[:-reach]]).tolist()
+    last = (ends[reach - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(first, last)], np.uint64))
+
+
+def multipliers(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_values(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The smallest value of a set of hashes under each factor."""
+    parts = [(hashes[at : at + BLOCK, None] * factors).min(axis=0) for at in range(0, len(hashes), BLOCK)]
+    return np.minimum.reduce(parts)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
+    """(doc, print, own, w0, w1, keys): hashes of the text and of its shingle set, the set's bits and its keys, none where the text is null or blank."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = multipliers(seed)
+        for batch in batches:
+            own = np.zeros(batch.num_rows, np.uint64)
+            bits = np.zeros((batch.num_rows, HASHES), np.uint8)
+            keys: list[np.ndarray] = []
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
+                found = shingles(text.as_py() or b"", width, seed)
+                if not len(found):
+                    keys.append(np.empty(0, np.int64))
+                    continue
+                own[i] = xxhash.xxh64_intdigest(found.tobytes(), seed)
+                least = least_values(found, factors)
+                bits[i] = (least >> np.uint64(20)) & np.uint64(1)
+                bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+                keys.append(np.array([xxhash.xxh64_intdigest(b.tobytes(), seed) for b in bands], np.uint64).view(np.int64))
+            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(own.view(np.int64)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS)), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc", "print", "own", "w0", "w1", "keys"],
+            )
+        give_back()
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, print long, own long, w0 long, w1 long, keys array<long>")
+
+
+def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first index of each set's component, sets being linked where the Jaccard similarity is at least the given one.
+
+    Breadth first over sets not yet reached: each is compared with the reached ones once, exactly, so a dense group costs little.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    root = np.arange(len(sets))
+    rest = np.flatnonzero(sizes)
+    if len(rest) < 2:
+        return root
+    values, flat = np.unique(np.concatenate([sets[i] for i in rest]), return_inverse=True)
+    flat = flat.astype(np.int32)
+    edges = np.concatenate([[0], np.cumsum(sizes[rest])])
+    places = {int(i): flat[a:b] for i, a, b in zip(rest, edges, edges[1:])}
+    held, starts = rest, edges[:-1]  # whose places lie in flat, and where
+    open_ = np.zeros(len(sets), bool)
+    open_[rest] = True
+    mark = np.zeros(len(values), bool)
+    for first in rest:
+        if not open_[first]:
+            continue
+        open_[first] = False
+        front = [int(first)]
+        while front:
+            probe = front.pop()
+            left = open_[held]
+            if left.sum() * 2 < len(held):
+                held = held[left]
+                if not len(held):
+                    return root
+                flat = np.concatenate([places[int(i)] for i in held])
+                starts = np.concatenate([[0], np.cumsum(sizes[held])[:-1]])
+                left = np.ones(len(held), bool)
+            mark[places[probe]] = True
+            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[places[probe]] = False
+            near = held[left & (shared >= similarity * (sizes[held] + sizes[probe] - shared))]
+            open_[near] = False
+            root[near] = first
+            front += near.tolist()
+    return root
+
+
+def verified(contested: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
+    """(own, root) of the rows (loose, own, body): the exact components within each loose one, named by one of its sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loose, names, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            own = np.array(names, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[similar_roots(sets, similarity)])], ["own", "root"])
+
+        for batch in batches:
+            for group, own, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                if group != loose:
+                    if names:
+                        yield done()
+                    loose, names, sets = group, [], []
+                if not names or names[-1] != own:
+                    names.append(own)
+                    sets.append(shingles(body.as_py() or b"", width, seed))
+        if names:
+            yield done()
+        names.clear()
+        sets.clear()
+        give_back()
+
+    return contested.select("loose", "own", "body").repartition("loose").sortWithinPartitions("loose", "own").mapInArrow(run, "own long, root long")
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, seed: int) -> DataFrame:
+    """(doc, print, component_id), one row for each row of docs.
+
+    Texts of one shingle set are merged. Sets that share a key and are not far apart by their bits form loose components, which hold
+    nearly every pair of the asked similarity; within each the sets are compared exactly, and only that makes links.
+    """
+    marked = durable(sketches(docs, id_col, text_col, width, seed))
+    some = F.first(F.struct("w0", "w1", "keys"))
+    sets = durable(marked.groupBy("own").agg(F.min("doc").alias("first"), F.min(F.struct("doc", "print")).alias("pick"), some.alias("s")).select("own", "first", "pick", "s.*"))
+    index = sets.select("w0", "w1", F.posexplode("keys").alias("band", "part")).select((F.col("band") + HASHES).alias("slot"), "part", "w0", "w1")
+    links = connected_components(linked(index, LOOSE_BITS, WORDS), "a", "b")
+    bits = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("w0", "w1")))
+    placed = sets.where("size(keys) > 0").select("own", "pick", bits.alias("node")).join(links, "node", "left").select("own", "pick", F.coalesce("root", "node").alias("loose"))
+    several = placed.groupBy("loose").agg(F.count("*").alias("n")).where("n > 1").select("loose")
+    wanted = placed.join(several, "loose").select("loose", "own", F.col("pick.doc").alias("_doc"), F.col("pick.print").alias("_print"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("body"))
+    contested = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_print")))
+    exact = durable(verified(contested, width, similarity, seed))
+    rooted = sets.select("own", "first").join(exact, "own", "left").select("own", "first", F.coalesce("root", "own").alias("root"))
+    component = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_set = rooted.join(component, "root").select("own", "component_id")
+    return marked.select("doc", "print", "own").join(by_set, "own", "left").select("doc", "print", "component_id")

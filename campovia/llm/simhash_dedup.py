@@ -189,6 +189,11 @@ def rooted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def close_pairs(fps: DataFrame, max_bits: int, words: int) -> DataFrame:
     """(a, b) links, as hexadecimal fingerprints, that connect all distinct fingerprints joined by pairs at most max_bits bits apart."""
+    return linked(signatures(fps, max_bits, words), max_bits, words)
+
+
+def linked(index: DataFrame, max_bits: int, words: int) -> DataFrame:
+    """The same links for an index (slot, part, words) of any making: between fingerprints of one slot and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # the bucket that the next batch may continue
@@ -219,8 +224,7 @@ def close_pairs(fps: DataFrame, max_bits: int, words: int) -> DataFrame:
         held.clear()
         give_back()
 
-    index = signatures(fps, max_bits, words).repartition("slot", "part").sortWithinPartitions("slot", "part")
-    return index.mapInArrow(run, "a string, b string").distinct()
+    return index.repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(run, "a string, b string").distinct()
 
 
 def near_duplicates(
@@ -257,14 +261,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits:
     return marked.select("doc", "print", fingerprint).join(by_fp, "fingerprint", "left")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 19, words: int = 2, seed: int = 42) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs, all columns, with one document left of each near-duplicate component: that of the smallest id.
 
+    Documents are linked where the sets of their shingles have a Jaccard similarity of at least the given one, told exactly.
     Of texts that share the smallest id the one of the smallest hash stays, and rows equal in id and text leave one row.
     Components without any id leave a row for each different text, for nothing tells which to keep. Columns may
     have any name but _id, _text and _print.
     """
-    groups = _grouped(docs, id_col, text_col, width, max_bits, words, seed)
+    from campovia.llm.shingle_dedup import similar_groups
+
+    groups = similar_groups(docs, id_col, text_col, width, similarity, seed)
     known = groups.where("doc = component_id").groupBy("component_id").agg(F.min("print").alias("_text")).select(F.col("component_id").alias("_id"), "_text")
     unknown = groups.where("component_id IS NULL").select(F.col("doc").alias("_id"), F.col("print").alias("_text")).distinct()
     own = docs.withColumn("_print", F.xxhash64(text_col))

@@ -26,7 +26,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, an estimated similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more."""
     return simhash_dedup.keep_one(docs)
 
 
