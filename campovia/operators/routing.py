@@ -76,12 +76,13 @@ def line_costs(points: Column, alpha: float, kmh: float) -> tuple[Column, Column
     return km, F.when(F.size(points) < 2, LONE_MINUTES).otherwise(km / kmh * 60)
 
 
-def distance_matrix(points: DataFrame, group: str, key: str, lat: str, lon: str, alpha: float, kmh: float) -> DataFrame:
+def distance_matrix(points: DataFrame, group: str | list[str], key: str, lat: str, lon: str, alpha: float, kmh: float) -> DataFrame:
     """(group, i, j, km, minutes) for all pairs of each group: a matrix of one route, whose rows are the result itself."""
-    a = points.select(group, F.col(key).alias("i"), F.col(lat).alias("alat"), F.col(lon).alias("alon"))
-    b = points.select(group, F.col(key).alias("j"), F.col(lat).alias("blat"), F.col(lon).alias("blon"))
+    keys = [group] if isinstance(group, str) else group
+    a = points.select(*keys, F.col(key).alias("i"), F.col(lat).alias("alat"), F.col(lon).alias("alon"))
+    b = points.select(*keys, F.col(key).alias("j"), F.col(lat).alias("blat"), F.col(lon).alias("blon"))
     km = haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")) * alpha
-    return a.join(b, group).select(group, "i", "j", F.round(km, 3).alias("km"), F.round(km / kmh * 60, 1).alias("minutes"))
+    return a.join(b, keys).select(*keys, "i", "j", F.round(km, 3).alias("km"), F.round(km / kmh * 60, 1).alias("minutes"))
 
 
 def _routes(groups: list[np.ndarray], xy: np.ndarray, s: dict, improve: bool) -> list[tuple[np.ndarray, dict]]:

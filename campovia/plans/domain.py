@@ -9,7 +9,7 @@ from campovia.functions import dates, geo
 from campovia.functions.ids import registry_cnpj
 from campovia.functions.text import cache_key
 from campovia.operators import agenda, clean, geocode, reports, routing, spatial, territory
-from campovia.plans.base import ADDRESSES, CENTRES_SQL, POINTS, address_parts, centres, points, query
+from campovia.plans.base import ADDRESSES, CENTRES_SQL, POINTS, SQL, address_parts, centres, points, query
 from campovia.session import table
 
 _KM = geo.haversine_sql("lat", "lon", "clat", "clon")
@@ -278,7 +278,7 @@ def rt02(spark, sf_dir):
 
 @query("rt03_two_opt")
 def rt03(spark, sf_dir):
-    return routing.tours(_stops(spark, sf_dir).where("route = 0"), ["state", "route"], "id", "lat", "lon", "slat", "slon", improve=True)
+    return routing.tours(_stops(spark, sf_dir), ["state", "route"], "id", "lat", "lon", "slat", "slon", improve=True)
 
 
 @query("rt04_pair_costs", f"""WITH {POINTS}, {CENTRES_SQL}, b AS (SELECT id, cid, {_KM} * 1.3::DOUBLE AS km FROM points JOIN centres ON cid = id % 7)
@@ -305,6 +305,13 @@ def rt06(spark, sf_dir):
     return routing.distance_matrix(points(spark, sf_dir).where("id < 300"), "state", "id", "lat", "lon", 1.3, 35.0)
 
 
+@query("rt06_distance_matrix_whole", SQL["rt06_distance_matrix"].replace(" WHERE a.id < 300 AND b.id < 300", "").replace("SELECT a.state,", "SELECT a.state, a.id // 300 AS route,"))
+def rt06_whole(spark, sf_dir):
+    """The matrices of all routes."""
+    p = points(spark, sf_dir).withColumn("route", F.floor(F.col("id") / 300))
+    return routing.distance_matrix(p, ["state", "route"], "id", "lat", "lon", 1.3, 35.0)
+
+
 def _split(mode, **settings):
     return lambda spark, sf_dir: routing.split_routes(points(spark, sf_dir).withColumn("visits", (F.col("id") % 3 + 1).cast("double")), ["state"], "id", "lat", "lon", mode, "visits", **settings)
 
@@ -318,11 +325,13 @@ query("rt11_split_balanced")(_split("balanceado", days=20, freq=4))
 
 @query("rt12_time_windows")
 def rt12(spark, sf_dir):
-    """The first clusters of each state within opening hours made from keys."""
+    """The routes of each state and of 300 keys each, within opening hours made from keys."""
     key = F.col("id")
-    p = points(spark, sf_dir).where(key < 300)
-    rows = p.select("state", "id", "lat", "lon", (480 + key % 4 * 60).cast("double").alias("opens"), (900 + key % 3 * 60).cast("double").alias("closes"), F.lit(20.0).alias("service"), (key % 5 == 0).alias("strategic"))
-    return routing.time_window_routes(rows, "state", "id", "lat", "lon", "opens", "closes", "service", "strategic", kmh=80.0)
+    p = points(spark, sf_dir).withColumn("cluster", F.concat_ws("/", "state", F.floor(key / 300)))
+    rows = p.select("cluster", "id", "lat", "lon", (480 + key % 4 * 60).cast("double").alias("opens"), (900 + key % 3 * 60).cast("double").alias("closes"), F.lit(20.0).alias("service"), (key % 5 == 0).alias("strategic"))
+    out = routing.time_window_routes(rows, "cluster", "id", "lat", "lon", "opens", "closes", "service", "strategic", kmh=80.0)
+    part = F.split("cluster", "/")
+    return out.select(part[0].cast(p.schema["state"].dataType).alias("state"), part[1].cast("long").alias("route"), *out.columns[1:])
 
 
 @query("rt13_assign_sellers", f"WITH {POINTS} SELECT id, CAST((row_number() OVER (PARTITION BY state ORDER BY lon, lat, id) - 1) // 2 + 1 AS BIGINT) AS vendedor_id FROM points")
