@@ -12,7 +12,7 @@ from campovia.operators.reports import natural_number
 DONE = "realizada"
 
 
-def schedule(routes: DataFrame, days: DataFrame, consultant: str, route: str) -> DataFrame:
+def schedule(routes: DataFrame, days: DataFrame, consultant: str | list[str], route: str) -> DataFrame:
     """routes with data: a consultant's i-th route, in natural order of its name, on the i-th working day (days: day, nth).
 
     A consultant with more routes than the period has days is an error.

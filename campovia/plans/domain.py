@@ -388,6 +388,15 @@ def ag01(spark, sf_dir):
     return placed.groupBy("c_nationkey", "rota", "data").agg(F.count("*").alias("n"))
 
 
+@query("w09_ag01_schedule_whole", f"WITH {_DAYS}, r AS (SELECT c_nationkey, c_custkey // 1000 AS part, 'R' || (c_custkey % 200) AS rota, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey % 200, 'R' || (c_custkey % 200)) AS nth FROM customer) SELECT r.c_nationkey, part, rota, day AS data, count(*) AS n FROM r JOIN days USING (nth) GROUP BY ALL")
+def ag01_whole(spark, sf_dir):
+    """All customers' routes: a consultant has a state's routes of a thousand keys, so the period holds the list at any size of the table."""
+    key = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select("c_nationkey", F.floor(key / 1000).alias("part"), F.concat(F.lit("R"), (key % 200).cast("string")).alias("rota"))
+    placed = agenda.schedule(r, dates.working_days(spark, "2025-01-02", "2025-12-31"), ["c_nationkey", "part"], "rota")
+    return placed.groupBy("c_nationkey", "part", "rota", "data").agg(F.count("*").alias("n"))
+
+
 def _visits(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_linestatus") == "F", "realizada").otherwise("pendente")

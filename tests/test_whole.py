@@ -29,3 +29,8 @@ def test_every_point_is_on_a_route(spark, duck, name):
 def test_matrices_of_every_route(spark, duck):
     got = same(spark, duck, "rt06_distance_matrix_whole")
     assert got.i.nunique() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
+
+
+def test_every_route_gets_a_day(spark, duck):
+    got = same(spark, duck, "w09_ag01_schedule_whole")
+    assert got.n.sum() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
