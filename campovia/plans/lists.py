@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from campovia.functions import geo
 from campovia.operators import filters, reports, spatial, territory
-from campovia.plans.base import CENTRES_SQL, POINTS, centres, points, query
+from campovia.plans.base import CENTRES_SQL, POINTS, SQL, centres, points, query
 from campovia.plans.domain import NEAREST
 from campovia.session import table
 
@@ -39,7 +39,16 @@ def postcode_summary(spark, sf_dir):
 
 @query("rpt_routes_by_seller", "SELECT DISTINCT ON (l_suppkey, l_orderkey) l_suppkey, l_orderkey, p_brand AS cidade, p_type AS uf FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey <= 20 ORDER BY l_suppkey, l_orderkey, p_brand, p_type")
 def routes_by_seller(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select("l_suppkey", "l_orderkey", "l_partkey")
+    return _seller_routes(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_suppkey <= 20"))
+
+
+@query("rpt_routes_by_seller_whole", SQL["rpt_routes_by_seller"].replace(" WHERE l_suppkey <= 20", ""))
+def routes_by_every_seller(spark, sf_dir):
+    return _seller_routes(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def _seller_routes(spark, sf_dir, lineitem):
+    li = lineitem.select("l_suppkey", "l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("cidade"), F.col("p_type").alias("uf"))
     g = li.join(p, "l_partkey").groupBy("l_suppkey", "l_orderkey").agg(F.min(F.struct("cidade", "uf")).alias("b"))
     return g.select("l_suppkey", "l_orderkey", "b.cidade", "b.uf")
@@ -47,7 +56,16 @@ def routes_by_seller(spark, sf_dir):
 
 @query("rpt_points_by_seller", "SELECT o_custkey AS vendedor, l_orderkey, l_linenumber, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_custkey < 100")
 def points_by_seller(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey < 100").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("vendedor"))
+    return _seller_points(spark, sf_dir, table(spark, sf_dir, "orders").where("o_custkey < 100"))
+
+
+@query("rpt_points_by_seller_whole", SQL["rpt_points_by_seller"].replace(" WHERE o_custkey < 100", ""))
+def points_by_every_seller(spark, sf_dir):
+    return _seller_points(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _seller_points(spark, sf_dir, orders):
+    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("vendedor"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     return table(spark, sf_dir, "lineitem").join(o, "l_orderkey").join(p, "l_partkey", "left").select("vendedor", "l_orderkey", "l_linenumber", "p_name")
 

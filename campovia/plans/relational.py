@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from campovia.functions import geo, ids, text
 from campovia.operators import dedup, filters, reports, upserts
-from campovia.plans.base import ADDRESSES, POINTS, address_parts, points, query
+from campovia.plans.base import ADDRESSES, POINTS, SQL, address_parts, points, query
 from campovia.session import table
 
 
@@ -366,7 +366,16 @@ def a19(spark, sf_dir):
 @query("a20_nested_itinerary", """WITH d AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, string_agg(CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR), ' ' ORDER BY l_orderkey, l_linenumber) AS visits FROM lineitem WHERE l_suppkey <= 20 GROUP BY ALL)
 SELECT l_suppkey, string_agg(CAST(day AS VARCHAR) || ': ' || visits, '; ' ORDER BY day) AS itinerary FROM d GROUP BY l_suppkey""")
 def a20(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select("l_suppkey", F.to_date("l_shipdate").alias("day"), F.struct("l_orderkey", "l_linenumber").alias("v"))
+    return _itineraries(t(spark, sf_dir, "lineitem").where("l_suppkey <= 20"))
+
+
+@query("a20_nested_itinerary_whole", SQL["a20_nested_itinerary"].replace(" WHERE l_suppkey <= 20", ""))
+def a20_whole(spark, sf_dir):
+    return _itineraries(t(spark, sf_dir, "lineitem"))
+
+
+def _itineraries(lineitem):
+    li = lineitem.select("l_suppkey", F.to_date("l_shipdate").alias("day"), F.struct("l_orderkey", "l_linenumber").alias("v"))
     show = lambda v: F.concat_ws(".", v["l_orderkey"].cast("string"), v["l_linenumber"].cast("string"))
     days = li.groupBy("l_suppkey", "day").agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), show), " ").alias("visits"))
     whole = days.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("day", "visits"))).alias("days"))

@@ -34,3 +34,10 @@ def test_matrices_of_every_route(spark, duck):
 def test_every_route_gets_a_day(spark, duck):
     got = same(spark, duck, "w09_ag01_schedule_whole")
     assert got.n.sum() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
+
+
+def test_every_sellers_reports(spark, duck):
+    sellers = duck.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0]
+    assert same(spark, duck, "a20_nested_itinerary_whole").l_suppkey.nunique() == sellers
+    assert same(spark, duck, "rpt_routes_by_seller_whole").l_suppkey.nunique() == sellers
+    assert len(same(spark, duck, "rpt_points_by_seller_whole")) == duck.execute("SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey").fetchone()[0]
