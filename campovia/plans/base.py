@@ -47,7 +47,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres or consultants: (cid, clat, clon, cname); at most CENTRES + 1 rows."""
-    s = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") <= CENTRES)
+    return every_centre(spark, sf_dir).where(F.col("cid") <= CENTRES)
+
+
+def every_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns of all suppliers: grows with the table."""
+    s = table(spark, sf_dir, "supplier")
     return s.select(F.col("s_suppkey").alias("cid"), degrees("s_suppkey", 6151, 60000, -25).alias("clat"), degrees("s_suppkey", 15485, 80000, -53).alias("clon"), F.col("s_name").alias("cname"))
 
 
@@ -55,6 +60,7 @@ POINTS = """points AS (SELECT c_custkey AS id, -25::DOUBLE + ((c_custkey * 7919)
   -53::DOUBLE + ((c_custkey * 104729) % 80000)::DOUBLE / 10000::DOUBLE AS lon, c_acctbal AS sales, c_nationkey AS state, c_mktsegment AS city FROM customer)"""
 CENTRES_SQL = """centres AS (SELECT s_suppkey AS cid, -25::DOUBLE + ((s_suppkey * 6151) % 60000)::DOUBLE / 10000::DOUBLE AS clat,
   -53::DOUBLE + ((s_suppkey * 15485) % 80000)::DOUBLE / 10000::DOUBLE AS clon, s_name AS cname FROM supplier WHERE s_suppkey <= 20)"""
+WHOLE_CENTRES = (" WHERE s_suppkey <= 20", "")
 #: UTC dates of the order table's timestamps as days.
 DAY = "CAST({c} AS DATE)"
 

@@ -9,15 +9,18 @@ from campovia.functions import dates, geo
 from campovia.functions.ids import registry_cnpj
 from campovia.functions.text import cache_key
 from campovia.operators import agenda, clean, geocode, reports, routing, spatial, territory
-from campovia.plans.base import ADDRESSES, CENTRES_SQL, POINTS, SQL, address_parts, centres, points, query
+from campovia.plans.base import ADDRESSES, CENTRES_SQL, POINTS, SQL, WHOLE_CENTRES, address_parts, centres, every_centre, points, query
 from campovia.session import table
 
 _KM = geo.haversine_sql("lat", "lon", "clat", "clon")
 NEAREST = f"nearest AS (SELECT * FROM (SELECT p.*, cid, cname, clat, clon, {_KM} AS km, row_number() OVER (PARTITION BY id ORDER BY {_KM}, cid) AS rn FROM points p, centres) WHERE rn = 1)"
 
 
-def _nearest(spark, sf_dir):
-    return spatial.nearest_centre(points(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
+def _nearest(spark, sf_dir, source=centres):
+    p = points(spark, sf_dir)
+    if source is every_centre:  # points x centres distances, so a small file of points is shared out
+        p = p.repartition(4 * spark.sparkContext.defaultParallelism)
+    return spatial.nearest_centre(p, source(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
 
 
 def _consultants(spark, sf_dir):
@@ -29,14 +32,23 @@ c AS (SELECT cid, city, row_number() OVER (PARTITION BY cid ORDER BY count(*) DE
 SELECT g.cid, cname, n_pdvs, dist_media, dist_max, city, CASE WHEN n_pdvs > 90 THEN 'EXCEDENTE' WHEN n_pdvs < 30 THEN 'ABAIXO_MIN' ELSE 'OK' END AS banda FROM g JOIN centres USING (cid) JOIN c ON c.cid = g.cid AND rn = 1 ORDER BY cid""")
 def report_sector_summary(spark, sf_dir):
     """Points at their nearest centre; each centre's size, distances, commonest city and band."""
+    return _sectors(spark, sf_dir, centres)
+
+
+@query("report_sector_summary_whole", SQL["report_sector_summary"].replace(*WHOLE_CENTRES))
+def report_sector_summary_whole(spark, sf_dir):
+    return _sectors(spark, sf_dir, every_centre)
+
+
+def _sectors(spark, sf_dir, source):
     km, n = F.col("distancia_km"), F.col("n")
-    cities = _nearest(spark, sf_dir).groupBy("cid", "city").agg(F.count("*").alias("n"), F.sum(km).alias("km"), F.max(km).alias("far"))
+    cities = _nearest(spark, sf_dir, source).groupBy("cid", "city").agg(F.count("*").alias("n"), F.sum(km).alias("km"), F.max(km).alias("far"))
     whole = Window.partitionBy("cid")
     ranked = cities.select(
         "cid", "city", F.sum(n).over(whole).alias("n_pdvs"), F.sum("km").over(whole).alias("km"), F.round(F.max("far").over(whole), 4).alias("dist_max"),
         F.row_number().over(whole.orderBy(F.desc("n"), "city")).alias("nth"),
     )
-    named = ranked.where("nth = 1").join(centres(spark, sf_dir).select("cid", "cname"), "cid")
+    named = ranked.where("nth = 1").join(source(spark, sf_dir).select("cid", "cname"), "cid")
     band = territory.band_status(F.col("n_pdvs"), 30, 90)[0]
     return named.select("cid", "cname", "n_pdvs", F.round(F.col("km") / F.col("n_pdvs"), 4).alias("dist_media"), "dist_max", "city", band.alias("banda")).orderBy("cid")
 
@@ -51,6 +63,16 @@ def j10(spark, sf_dir):
     return spatial.within_km(centres(spark, sf_dir), points(spark, sf_dir), 40.0, "clat", "clon", "lat", "lon").select("cid", "id", F.round("km", 6).alias("km"))
 
 
+@query("j09_nearest_centre_whole", SQL["j09_nearest_centre"].replace(*WHOLE_CENTRES))
+def j09_whole(spark, sf_dir):
+    return _nearest(spark, sf_dir, every_centre).select("id", "cid", F.round("distancia_km", 6).alias("km"))
+
+
+@query("j10_within_km_whole", SQL["j10_within_km"].replace(*WHOLE_CENTRES))
+def j10_whole(spark, sf_dir):
+    return spatial.within_km(every_centre(spark, sf_dir), points(spark, sf_dir), 40.0, "clat", "clon", "lat", "lon").select("cid", "id", F.round("km", 6).alias("km"))
+
+
 _PAIR = geo.haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
 _KNN = f"d AS (SELECT a.id, {_PAIR} AS km, row_number() OVER (PARTITION BY a.id ORDER BY {_PAIR}) AS rn FROM points a JOIN points b ON a.id <> b.id)"
 

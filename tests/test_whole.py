@@ -3,6 +3,7 @@
 import pytest
 from oracle import connect, rows
 
+from campovia.operators import spatial
 from campovia.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.01"
@@ -41,3 +42,12 @@ def test_every_sellers_reports(spark, duck):
     assert same(spark, duck, "a20_nested_itinerary_whole").l_suppkey.nunique() == sellers
     assert same(spark, duck, "rpt_routes_by_seller_whole").l_suppkey.nunique() == sellers
     assert len(same(spark, duck, "rpt_points_by_seller_whole")) == duck.execute("SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey").fetchone()[0]
+
+
+@pytest.mark.parametrize("block", [2000, 30])
+def test_every_centre_is_searched(spark, duck, monkeypatch, block):
+    """In one list and, with more centres than it takes, in several."""
+    monkeypatch.setattr(spatial, "CENTRE_BLOCK", block)
+    assert same(spark, duck, "j09_nearest_centre_whole").cid.max() > 20
+    assert same(spark, duck, "j10_within_km_whole").cid.max() > 20
+    assert same(spark, duck, "report_sector_summary_whole").n_pdvs.sum() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
