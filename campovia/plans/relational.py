@@ -504,6 +504,17 @@ def s06(spark, sf_dir):
     return top.withColumn("pos", F.row_number().over(Window.orderBy(reports.natural_number(F.col("rota")), "c_custkey")))
 
 
+@query("s06_natural_order_whole", SQL["s06_natural_order"].replace(" LIMIT 200", ""))
+def s06_whole(spark, sf_dir):
+    """Every row's place: rows before its number, counted by number, and its place within its number."""
+    r = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("R"), (F.col("c_custkey") % 30).cast("string")).alias("rota"))
+    r = r.withColumn("nth", reports.natural_number(F.col("rota")))
+    before = F.sum("n").over(Window.orderBy("nth")) - F.col("n")
+    offsets = r.groupBy("nth").agg(F.count("*").alias("n")).select("nth", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("nth").orderBy("c_custkey"))
+    return r.join(offsets, "nth").select("c_custkey", "rota", (F.col("before") + own).cast("int").alias("pos")).orderBy("pos")
+
+
 # ---- set operations ----------------------------------------------------------------------------------------------
 
 

@@ -51,3 +51,8 @@ def test_every_centre_is_searched(spark, duck, monkeypatch, block):
     assert same(spark, duck, "j09_nearest_centre_whole").cid.max() > 20
     assert same(spark, duck, "j10_within_km_whole").cid.max() > 20
     assert same(spark, duck, "report_sector_summary_whole").n_pdvs.sum() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
+
+
+def test_every_row_has_a_place(spark, duck):
+    got = same(spark, duck, "s06_natural_order_whole")
+    assert sorted(got.pos) == list(range(1, duck.execute("SELECT count(*) FROM customer").fetchone()[0] + 1))
