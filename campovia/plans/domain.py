@@ -113,6 +113,12 @@ def j12(spark, sf_dir):
     return spatial.point_in_place(p.where(clear), _squares(spark, sf_dir), ["city"], "lat", "lon").select("id", "dentro")
 
 
+@query("j12_geo07_geo08_point_in_polygon_whole")
+def j12_whole(spark, sf_dir):
+    """All points, those within the buffer of an edge too."""
+    return spatial.point_in_place(points(spark, sf_dir), _squares(spark, sf_dir), ["city"], "lat", "lon").select("id", "dentro")
+
+
 @query("geo09_edge_tolerance")
 def geo09(spark, sf_dir):
     return spatial.point_in_place(points(spark, sf_dir), _squares(spark, sf_dir), ["city"], "lat", "lon", buffer=1e-5).select("id", "dentro")

@@ -1,10 +1,12 @@
 """Queries take whole tables: at sf0.01 nothing is left out by an id."""
 
+import math
+
 import pytest
 from oracle import connect, rows
 
 from campovia.operators import spatial
-from campovia.plans import catalogue
+from campovia.plans import base, catalogue
 
 FOLDER = "/root/testdata/sf0.01"
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -56,3 +58,23 @@ def test_every_centre_is_searched(spark, duck, monkeypatch, block):
 def test_every_row_has_a_place(spark, duck):
     got = same(spark, duck, "s06_natural_order_whole")
     assert sorted(got.pos) == list(range(1, duck.execute("SELECT count(*) FROM customer").fetchone()[0] + 1))
+
+
+def test_points_at_the_edges(spark):
+    """Inside the square and out of its hole, or at most 0.005 degrees from an edge of either, by brute force."""
+    places = [r for r in base.points(spark, "/root/testdata/sf0.1").select("id", "lat", "lon", "city").collect()]
+    got = {r.id: r.dentro for r in QUERIES["j12_geo07_geo08_point_in_polygon_whole"](spark, "/root/testdata/sf0.1").collect()}
+    assert set(got) == {p.id for p in places}
+    boxes = [(-51.0, -24.0, -47.0, -20.0), (-49.0, -22.5, -48.0, -21.5)]
+    hard = 0
+    for p in places:
+        if p.city == "BUILDING":
+            assert got[p.id] is None
+            continue
+        inside = [w < p.lon < e and s < p.lat < n for w, s, e, n in boxes]
+        off = lambda x, a, b: max(a - x, 0.0, x - b)
+        away = min(d for w, s, e, n in boxes for d in [*(math.hypot(p.lon - x, off(p.lat, s, n)) for x in (w, e)), *(math.hypot(p.lat - y, off(p.lon, w, e)) for y in (s, n))])
+        if abs(away - 0.005) > 1e-9:  # at the bound itself rounding decides
+            assert got[p.id] == (inside[0] and not inside[1] or away <= 0.005), p
+            hard += away <= 0.005
+    assert hard > 40
