@@ -123,7 +123,8 @@ def nearest(
 
     Candidates are all vectors but the query's own (told by id). The index: k-means centres fitted on at most sample_rows
     vectors (those of smallest hashed id), about the square root of the vector count of them; every vector goes to its nearest
-    centre's list. A query probes the probe_share of lists whose centres are nearest. Vectors are rotated at random, so any
+    centre's list. A query probes the probe_share of lists whose centres are nearest, at every size of table, and further ones only
+    until they hold k candidates. Vectors are rotated at random, so any
     columns are a fair sample of all; lists are scanned by column blocks, and a hypothesis test on the partial
     distance gives up candidates early (doubt: the test's width; greater gives up less). Scores of what is left are the
     inner products of the original vectors in double precision.
@@ -131,7 +132,7 @@ def nearest(
     Lists are packed into or split over groups of GROUP_ROWS vectors, queries into groups of GROUP_QUERIES, so no list, however
     many copies it holds, makes one large task. Vectors null, empty, zero or holding null or non-finite
     components take no part, nor rows with a null id, nor vectors of another length than the commonest. With
-    fewer candidates than k all are returned, for then all lists are probed. Repeated ids are candidates each. Other columns are
+    fewer candidates than k all lists are probed. Repeated ids are candidates each. Other columns are
     not read. Empty tables give an empty result.
     """
     rows = usable(vectors, id_col, vector_col, zero=False)
@@ -147,7 +148,8 @@ def nearest(
     fit = lifted(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims), top)
     lists = max(1, min(MAX_LISTS, round(math.sqrt(count)), len(fit)))
     centres = centroids(fit, lists, seed)
-    probes = lists if count <= 50 * k else max(1, math.ceil(probe_share * lists))
+    probes = max(1, math.ceil(probe_share * lists))
+    held = np.zeros(lists, np.int64)  # vectors of each list, counted below
     turn = rotation(dims + 1, seed)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -162,11 +164,16 @@ def nearest(
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = squared(lifted(matrix(batch.column(1)), None), centres)
-            chosen = np.argpartition(d, probes - 1, axis=1)[:, :probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(chosen), pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+            order = d.argsort(axis=1, kind="stable").astype(np.int32)
+            wide = np.maximum(probes, 1 + (held[order].cumsum(axis=1) < enough).sum(axis=1))
+            chosen = [row[:n] for row, n in zip(order, wide)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
 
     assigned = durable(rows.mapInArrow(assign, "vec_id long, v array<double>, list int"))
     sizes = assigned.groupBy("list").count().orderBy("list").collect()  # at most MAX_LISTS rows
+    for own, size in sizes:
+        held[own] = size
+    enough = k + assigned.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # a query's own rows are no candidates
     groups_of, group, room = [], 0, GROUP_ROWS
     for own, size in sizes:
         parts = -(-size // GROUP_ROWS)
