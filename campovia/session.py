@@ -26,10 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given for checkpoints.
+
+    Only where driver and executors are one process a temporary folder takes its place; on a cluster a missing setting is an
+    error, for each executor would write to its own disk and later reads would miss rows.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="campovia-checkpoints-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
@@ -51,6 +57,22 @@ def durable(df: DataFrame) -> DataFrame:
     return written
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Write df to the shared folder in buckets by a column and read it back: groups of that column need no further shuffle of it.
+
+    The catalogue's entry goes at once, for only this very DataFrame reads the files; they are removed when the JVM ends.
+    """
+    spark = df.sparkSession
+    name = f"campovia_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    fs, own = _file(spark, path)
+    fs.deleteOnExit(own)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return written
+
+
 def discard(written: DataFrame) -> None:
     """Remove what durable wrote for this very DataFrame, once nothing will read it any more."""
     fs, own = _file(written.sparkSession, written._campovia_path)
