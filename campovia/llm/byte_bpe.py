@@ -1,46 +1,37 @@
-"""Byte-level BPE encoding and decoding by a global shuffle of distinct words."""
+"""Byte-level BPE encoding and decoding by a global shuffle of distinct pre-tokens."""
 
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campovia.session import give_back, per_process
+from campovia.session import bucketed, give_back, per_process
 
-#: Text of a chunk, whose documents share a word list; parts a word list is dealt in; words whose ids a task
-#: remembers; documents of a batch on the way out.
-CHUNK_CHARS, PARTS, CACHE_WORDS, ROWS = 14_000_000, 512, 300_000, 512
-#: A single space between two characters that are no white space. No match of a byte-level pre-token pattern
-#: of the usual kind crosses the point before it: a match begins with such a space or ends before it.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-DOUBLE = re.compile(r"\s\s")
+#: Text and rows after which a chunk of documents closes, and list entries that one part of the word shuffle takes on average.
+CHUNK_CHARS, CHUNK_ROWS, PART_WORDS = 14_000_000, 100_000, 1_000_000
+#: Values of the 32-bit hash by which words are dealt.
+HASHES = 2**32
 
 
-class WordList(dict):
-    """Word -> index, indexes given in order of first use; words that follow a cut are looked up without their space."""
-
-    def __init__(self, words: list[str], lead: str):
-        super().__init__()
-        self.words, self.lead = words, lead
+class Numbered(dict):
+    """Word -> number, numbers given in order of first use."""
 
     def __missing__(self, key: str) -> int:
-        self[key] = at = len(self.words)
-        self.words.append(self.lead + key)
+        self[key] = at = len(self)
         return at
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """Numbers as four byte planes, which compress better than the numbers."""
+    """Numbers below 2 ** 32 as four byte planes, which compress better than the numbers."""
     return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
@@ -49,95 +40,110 @@ def numbers_of(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
 
 
-def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeezed(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unsqueezed(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def packed(places: list[int], items: list[bytes]) -> bytes:
-    """Items with their places, in rising order, as one compressed blob."""
-    steps = np.diff(np.array([0, *places], np.int64))
-    sizes = np.fromiter(map(len, items), np.int64, len(items))
-    return squeezed(len(items).to_bytes(4, "little") + planes(steps) + planes(sizes) + b"".join(items))
+def packed(sizes: np.ndarray, body: bytes) -> bytes:
+    """Items of the given sizes, which lie one behind the other in body, as one compressed blob."""
+    return squeezed(len(sizes).to_bytes(4, "little") + planes(sizes) + body, 3)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """The places and items again."""
+def unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """The sizes and the body again."""
     data = unsqueezed(blob)
-    count = int.from_bytes(data[:4], "little")
-    places = np.cumsum(numbers_of(data[4 : 4 + 4 * count]).astype(np.int64))
-    ends = (4 + 8 * count + np.cumsum(numbers_of(data[4 + 4 * count : 4 + 8 * count]).astype(np.int64))).tolist()
-    return places, [data[a:b] for a, b in zip([4 + 8 * count, *ends], ends)]
+    edge = 4 + 4 * int.from_bytes(data[:4], "little")
+    return numbers_of(data[4:edge]).astype(np.int64), data[edge:]
+
 
+def items(blob: bytes) -> list[bytes]:
+    """The items of a blob."""
+    sizes, body = unpacked(blob)
+    ends = np.cumsum(sizes).tolist()
+    return [body[a:b] for a, b in zip([0, *ends], ends)]
 
-def word_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Runs of documents as (chunk, ids, sizes, places, count, lists): each text's words are places in its chunk's list of distinct words.
 
-    The list, of count words, is dealt by word in PARTS parts, each with its words' places. A chunk is named by a hash of
-    its content, so computing it again gives the same name only if it gives the same places.
+def positions(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
+    """Pre-tokens with positions, as chunks of documents: (chunk, ids, sizes, places, ranks, count, words).
+
+    sizes has the pre-tokens of each document, places for each of them, document by document and in order of position, the rank by
+    frequency of its word among the chunk's distinct words. Those are listed in order of their hash in words; ranks are theirs.
+    chunk is the task's number and the chunk's in it: no two chunks of a written table share a name.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
     kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        matches = regex.compile(pattern).findall
+        task, nth = TaskContext.get().partitionId(), 0
         owners: list[pa.Array] = []
         sizes: list[int] = []
         places: list[np.ndarray] = []
-        words: list[str] = []
-        chars, first, later = 0, WordList(words, ""), WordList(words, " ")
+        chars, words = 0, Numbered()
 
         def close() -> pa.RecordBatch:
             flat = np.concatenate(places) if places else np.empty(0, np.uint32)
-            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # frequent words get small places
             rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
-            dealt: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(PARTS)]
-            for place, i in enumerate(order.tolist()):
-                word = words[i].encode()
-                own = dealt[zlib.crc32(word) % PARTS]
-                own[0].append(place)
-                own[1].append(word)
+            rank[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            listed = [w.encode() for w in words]
+            order = np.argsort(np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)), kind="stable")
+            lengths = np.fromiter((len(listed[i]) for i in order), np.int64, len(order))
             ids = pa.concat_arrays(owners)
-            lists = [packed(*own) for own in dealt]
-            name = xxhash.xxh64(rank[flat].tobytes())
-            for part in lists:
-                name.update(part)
             columns = [
-                pa.array([name.intdigest() - 2**63]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int32())),
-                pa.array([squeezed(planes(rank[flat]))], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([lists], pa.list_(pa.binary())),
+                pa.array([task << 32 | nth]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([squeezed(planes(rank[flat]))], pa.binary()), pa.array([squeezed(planes(rank[order]))], pa.binary()),
+                pa.array([len(words)], pa.int64()), pa.array([packed(lengths, b"".join(listed[i] for i in order))], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "places", "count", "lists"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "places", "ranks", "count", "words"])
 
         for batch in batches:
             since = 0
             for i, text in enumerate(batch.column(1)):
                 body = text.as_py() or ""
-                own = 0
-                if body:
-                    parts = CUT.split(body) if DOUBLE.search(body) else body.split(" ")
-                    own = len(parts)
-                    at = np.fromiter(map(later.__getitem__, parts[1:]), np.uint32, own - 1)
-                    places.append(np.array([first[parts[0]]], np.uint32))
-                    places.append(at)
-                sizes.append(own)
+                found = matches(body)
+                places.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                sizes.append(len(found))
                 chars += len(body)
-                if chars >= CHUNK_CHARS:
+                if chars >= CHUNK_CHARS or len(sizes) >= CHUNK_ROWS:
                     owners.append(batch.column(0).slice(since, i + 1 - since))
                     yield close()
-                    since, chars = i + 1, 0
-                    owners, sizes, places, words = [], [], [], []
-                    first, later = WordList(words, ""), WordList(words, " ")
+                    nth, since, chars = nth + 1, i + 1, 0
+                    owners, sizes, places, words = [], [], [], Numbered()
                     give_back()
             owners.append(batch.column(0).slice(since))
         if sizes:
             yield close()
-        del owners, sizes, places, words, first, later
+        del owners, sizes, places, words
         give_back()
 
-    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<int>, places binary, count long, lists array<binary>")
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes array<int>, places binary, ranks binary, count long, words binary")
+
+
+def dealt(chunks: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, words): each chunk's list cut into the parts of the hash's range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sizes, body = unpacked(blob)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                hashes = np.fromiter((zlib.crc32(body[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())), np.int64, len(sizes))
+                part_of = hashes * parts // HASHES
+                edges = np.flatnonzero(np.diff(part_of, prepend=-1, append=parts))
+                cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+                lists = [packed(sizes[a:b], body[ends[a] : ends[b]]) for a, b in cuts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(cuts), pa.int64()), pa.array(part_of[edges[:-1]].astype(np.int32)), pa.array(lists, pa.binary())], ["chunk", "part", "words"]
+                )
+        give_back()
+
+    return chunks.select("chunk", "words").mapInArrow(run, "chunk long, part int, words binary")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -146,21 +152,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) for each row: the whole text's token ids as little-endian unsigned 32-bit bytes.
+    """(id, ids, packed) for each row: the whole text's token ids as an array, and as little-endian unsigned 32-bit bytes.
 
-    Texts are parted into words at cuts that no match of pattern crosses; each chunk of documents lists its distinct words and
-    notes its texts as places in the list. The lists' words meet in one shuffle by a hash of the word, where each distinct word is
-    encoded once (every match of pattern by itself, no special tokens); ids go back to the chunks and texts are put together by
-    place. A word comes at most once from a chunk, so no word makes a hot partition. The texts are read twice, once for the lists and
-    once for the places, which is less to write than keeping either; an input that is not the same when read again ends the job with an error. ranks and pattern are those of a
-    byte-level vocabulary, bounded by its size; they are sent to the workers.
+    Every match of pattern is a pre-token with its position in its document. The relation of positions is written once, in
+    chunks of documents that name each of their distinct pre-tokens once (`positions`), in buckets by chunk. The distinct pre-tokens of
+    all chunks meet in one shuffle by ranges of a hash, in as many parts as there are words for, and there each distinct one is
+    encoded once, by itself and without special tokens; its ids go back to the chunks that hold it, which meet the positions where these
+    lie, and documents are put together by position. A word comes at most once from a chunk, so no word makes a hot
+    partition; copies of a text are chunks of their own. Everything after the write reads what was written: tasks can be run
+    again at any time. ranks and pattern are those of a byte-level vocabulary, bounded by its size; they are sent to
+    the workers.
 
     Null and empty texts have no ids. Null and repeated ids and repeated rows keep their rows. Other columns are not
-    read. An empty table gives an empty result.
+    read. An empty table gives an empty result. The written buckets are as many as the session's shuffle partitions. The plan is
+    not lazy: the positions are written, and their words counted, when this is called.
     """
-    rules = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
-    chunks = word_chunks(docs, id_col, text_col)
+    spark = docs.sparkSession
+    rules = spark.sparkContext.broadcast((ranks, pattern))
+    chunks = bucketed(positions(docs, id_col, text_col, pattern), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
+    listed = chunks.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-listed // PART_WORDS))
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -173,73 +185,73 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         for batch in batches:
             out = []
             for part, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if part != last or len(known) > CACHE_WORDS:
+                if part != last:
                     known.clear()
                     last = part
-                places, words = unpacked(blob)
+                words = items(blob)
                 known.update((w, np.array(ids_of(w.decode()), "<u4").tobytes()) for w in words if w not in known)
-                out.append(packed(places.tolist(), [known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "found"])
-        del known
+                found = [known[w] for w in words]
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                out.append(packed(sizes, planes(np.frombuffer(b"".join(found), "<u4"))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "part", "found"])
+        known.clear()
         give_back()
 
-    parts = chunks.select("chunk", F.posexplode("lists").alias("part", "list")).repartition("part").sortWithinPartitions("part")
-    encoded = parts.select("chunk", "part", "list").mapInArrow(encode_words, "chunk long, found binary")
+    lists = dealt(chunks, parts).repartition(parts, "part").sortWithinPartitions("part")
+    encoded = lists.mapInArrow(encode_words, "chunk long, part int, found binary")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids_at: list[bytes | None] = [None] * max(left.column("count").to_pylist(), default=0)
-        for blob in right.column("found").to_pylist():
-            places, items = unpacked(blob)
-            for place, item in zip(places.tolist(), items):
-                ids_at[place] = item
-        if any(x is None for x in ids_at):
-            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-        batches, out = [], []
-        owners = pa.concat_arrays([x.flatten() for x in left.column("ids").chunks])
-
-        def flush() -> None:
-            own = owners.slice(sum(b.num_rows for b in batches), len(out))
-            batches.append(pa.RecordBatch.from_arrays([own, pa.array(out, pa.binary())], ["doc", "ids"]))
-            out.clear()
-
-        for sizes, blob in zip(left.column("sizes").to_pylist(), left.column("places").to_pylist()):
-            places, at = numbers_of(unsqueezed(blob)), 0
-            for size in sizes:
-                out.append(b"".join(map(ids_at.__getitem__, places[at : at + size].tolist())))
-                at += size
-                if len(out) == ROWS:
-                    flush()
-        flush()
-        ids_at.clear()
+        """A chunk's documents: its words' ids, in order of parts as the chunk lists the words, laid where the words stand."""
+        found = [unpacked(blob) for blob in right.sort_by("part").column("found").to_pylist()]
+        counts = np.concatenate([np.empty(0, np.int64), *(sizes for sizes, _ in found)])
+        ids = np.concatenate([np.empty(0, np.uint32), *(numbers_of(body) for _, body in found)])
+        chunk = left.to_pylist()[0] if left.num_rows == 1 else None
+        if chunk is None or len(counts) != chunk["count"]:
+            raise RuntimeError("a chunk and its words do not belong together")
+        rank = numbers_of(unsqueezed(chunk["ranks"]))
+        starts, lengths = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+        starts[rank], lengths[rank] = np.cumsum(counts) - counts, counts
+        places = numbers_of(unsqueezed(chunk["places"]))
+        length = lengths[places]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        laid = np.repeat(starts[places] - ends[:-1], length)
+        laid += np.arange(ends[-1])
+        out = ids[laid]
+        edges = ends[np.concatenate([[0], np.cumsum(np.array(chunk["sizes"], np.int64))])].astype(np.int32)
+        raw = pa.py_buffer(out)
+        columns = [
+            pa.concat_arrays([x.flatten() for x in left.column("ids").chunks]),
+            pa.ListArray.from_arrays(pa.array(edges), pa.Array.from_buffers(pa.int32(), len(out), [None, raw])),
+            pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64) * 4), raw]).cast(pa.binary()),
+        ]
+        del places, length, laid
         give_back()
-        return pa.Table.from_batches(batches)
+        return pa.Table.from_arrays(columns, ["doc", "ids", "packed"])
 
-    texts = chunks.select("chunk", "ids", "sizes", "places", "count")
-    whole = texts.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(put_together, f"doc {kind}, ids binary")
+    texts = chunks.select("chunk", "ids", "sizes", "places", "ranks", "count")
+    whole = texts.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(put_together, f"doc {kind}, ids array<int>, packed binary")
     return whole.withColumnRenamed("doc", id_col)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, data) for each row: the bytes that the ids stand for.
+def token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """The token-byte table: (token, hex) for every id up to the last, hex null where the vocabulary has none."""
+    of = {rank: token.hex() for token, rank in ranks.items()}
+    return spark.createDataFrame([(i, of.get(i)) for i in range(max(of, default=0) + 1)], "token int, hex string")
 
-    The join with the token-byte table is a lookup in the workers: the table is no larger than the
-    vocabulary. Null ids give null bytes; an id outside the vocabulary ends the job with an error.
-    """
-    top = max(ranks.values(), default=-1)
-    by_id: list[bytes | None] = [None] * (top + 1)
-    for token, rank in ranks.items():
-        by_id[rank] = token
-    tokens = encoded.sparkSession.sparkContext.broadcast(by_id)
-    rows = encoded.select(F.col(id_col).alias("doc"), F.col(ids_col).alias("ids"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_of = tokens.value.__getitem__
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                data = [b"".join(map(token_of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else None for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc", "ids", "data"])
-            give_back()
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
+    """encoded with a column data more: the bytes that the ids stand for.
 
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, ids binary, data binary").withColumnRenamed("doc", id_col)
+    Every row is joined with the token-byte table. That is no larger than the vocabulary and is broadcast whole, as one array in
+    order of ids, so that no id of a text becomes a row of a shuffle. Null ids give null bytes, no ids
+    empty bytes; an id outside the vocabulary ends the job with an error. All other columns stay; none may be called data.
+    """
+    if "data" in {c.lower() for c in encoded.columns}:
+        raise ValueError("a column is called data already")
+    listed = F.array_sort(F.collect_list(F.struct("token", "hex")))
+    table = token_bytes(encoded.sparkSession, ranks).agg(F.transform(listed, lambda t: t["hex"]).alias("tokens"))
+    outside = F.raise_error(F.lit("an id is not in the vocabulary")).cast("string")
+    rows = encoded.select(F.struct(*(encoded[c] for c in encoded.columns)).alias("row"), F.col(ids_col).alias("ids"))
+    joined = rows.join(F.broadcast(table), F.lit(True), "left")
+    hexed = F.array_join(F.transform("ids", lambda i: F.coalesce(F.get("tokens", i), outside)), "")
+    return joined.select("row", F.unhex(hexed).alias("data")).select("row.*", "data")

@@ -70,20 +70,49 @@ def test_byte_bpe_is_the_library(spark, odd):
     assert sorted([(r.doc_id, bytes(r["data"]).decode()) for r in got], key=str) == sorted(want, key=str)
     expected = {t: library.encode_ordinary(t) for _, t in want}
     for r in got:
-        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == expected[bytes(r["data"]).decode()]
+        assert r.ids == np.frombuffer(bytes(r.packed), "<u4").tolist() == expected[bytes(r["data"]).decode()]
     assert byte_bpe.encode(odd.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
-    with pytest.raises(Exception, match="IndexError|TypeError"):
-        byte_bpe.decode(spark.createDataFrame([(1, b"\xff\xff\xff\x00")], "doc_id long, ids binary"), ranks).collect()
+    for outside in (2**24, 50256, -1):
+        with pytest.raises(Exception, match="not in the vocabulary"):
+            byte_bpe.decode(spark.createDataFrame([(1, [outside])], "doc_id long, ids array<int>"), ranks).collect()
+    some = byte_bpe.decode(spark.createDataFrame([(1, None, "x"), (2, [], "y")], "row long, ids array<int>, tokens string"), ranks).collect()
+    assert [(r.row, r["data"], r.tokens) for r in some] == [(1, None, "x"), (2, b"", "y")]
+
+
+def test_byte_bpe_of_one_text_and_of_nulls(spark, monkeypatch):
+    """Copies of one text, and rows without any, are chunks of their own: none meets another's words, none is lost."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 100)
+    monkeypatch.setattr(byte_bpe, "CHUNK_ROWS", 50)
+    same = spark.range(0, 3000, 1, 8).selectExpr("id AS doc_id", "'the same text, again and again' AS text")
+    nulls = spark.range(3000, 6000, 1, 8).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text")
+    chunks = byte_bpe.positions(same.union(nulls), "doc_id", "text", public_tokenizers.PATTERN).toPandas()
+    assert chunks.chunk.is_unique and chunks.sizes.map(len).max() <= 50
+    got = byte_bpe.encode(same.union(nulls), ranks, public_tokenizers.PATTERN).selectExpr("ids", "doc_id < 3000 AS given").toPandas()
+    assert len(got) == 6000 and got.ids[~got.given].map(len).max() == 0
+    assert got.ids[got.given].map(tuple).nunique() == 1 and got.given.sum() == 3000
+
+
+def test_each_distinct_word_has_one_part(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 20_000)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    chunks = byte_bpe.positions(docs, "doc_id", "text", public_tokenizers.PATTERN)
+    lists = byte_bpe.dealt(chunks, 37).toPandas()
+    part_of = {}
+    for part, blob in zip(lists.part, lists.words):
+        for word in byte_bpe.items(blob):
+            assert part_of.setdefault(word, part) == part
+    assert lists.groupby("chunk").words.agg(lambda b: sum(len(byte_bpe.items(x)) for x in b)).to_dict() == chunks.toPandas().set_index("chunk")["count"].to_dict()
 
 
 def test_byte_bpe_chunks_do_not_matter(spark, monkeypatch):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 3000)
-    monkeypatch.setattr(byte_bpe, "ROWS", 2)
-    small = {r.doc_id: bytes(r.ids) for r in byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()}
+    monkeypatch.setattr(byte_bpe, "PART_WORDS", 500)
+    small = {r.doc_id: bytes(r.packed) for r in byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()}
     monkeypatch.undo()
-    assert small == {r.doc_id: bytes(r.ids) for r in byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()}
+    assert small == {r.doc_id: bytes(r.packed) for r in byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect()}
     query = {r.doc_id: r for r in queries.op3_byte_bpe(spark, FOLDER).collect()}
     for d, ids in small.items():
         assert (query[d].n_tokens, query[d].ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
