@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from campovia.llm.vectors import dimension, usable
+from campovia.llm.vectors import by_length, usable
 from campovia.session import durable
 
 #: Vectors that lists are packed into or split at for one task, and queries that one task takes.
 GROUP_ROWS, GROUP_QUERIES = 8192, 2048
 #: Rotated dimensions of a column block, and the share of pairs left under which pairs are followed one by one.
 COLUMNS, SPARSE = 16, 0.03
-MAX_LISTS = 4096
+#: Queries of a list that are scanned at once, and the most lists.
+QUERY_BLOCK, MAX_LISTS = 256, 4096
+#: Sample rows that play queries to find out how far to probe.
+PSEUDO_QUERIES = 512
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def rotation(dims: int, seed: int) -> np.ndarray:
@@ -34,7 +38,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def centroids(sample: np.ndarray, lists: int, seed: int, rounds: int = 12) -> np.ndarray:
-    """Lloyd's algorithm from a random start; an empty centre moves to the point farthest from its own."""
+    """Lloyd's algorithm from a random start; an empty centre moves to the point farthest from its own. Equal centres are one: there may be fewer than lists."""
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), lists, replace=False)].copy()
     for _ in range(rounds):
@@ -48,7 +52,25 @@ def centroids(sample: np.ndarray, lists: int, seed: int, rounds: int = 12) -> np
         centres = sums / np.maximum(counts, 1)[:, None]
         empty = np.flatnonzero(counts == 0)
         centres[empty] = sample[np.argsort(-far, kind="stable")[: len(empty)]]
-    return centres
+    return np.unique(centres, axis=0)
+
+
+def reach(queries: np.ndarray, query_at: np.ndarray, sample: np.ndarray, centres: np.ndarray, near: int, recall: float) -> float:
+    """How much farther than its nearest centre a query's probed centres may be, in squared distance, to hold the wanted share of near vectors.
+
+    Learnt from sample rows that play queries: the quantile, over them and each one's nearest other sample rows, of the
+    distance to the neighbour's centre less that to the nearest one. Data in clusters need little, uniform data much.
+    """
+    own = np.concatenate([squared(sample[at : at + 2048], centres).argmin(axis=1) for at in range(0, len(sample), 2048)])
+    excess = []
+    for at in range(0, len(queries), 64):
+        q = queries[at : at + 64]
+        d = squared(q, sample)
+        d[np.arange(len(q)), query_at[at : at + 64]] = np.inf
+        found = np.argpartition(d, near - 1, axis=1)[:, :near]
+        c = squared(q, centres)
+        excess.append((np.take_along_axis(c, own[found], axis=1) - c.min(axis=1)[:, None]).ravel())
+    return float(np.quantile(np.concatenate(excess), recall, method="higher"))
 
 
 def lifted(matrix: np.ndarray, top: float | None) -> np.ndarray:
@@ -85,27 +107,39 @@ def scan_list(q: np.ndarray, x: np.ndarray, bar: np.ndarray, doubt: float) -> np
     return total
 
 
-def scan_group(q: np.ndarray, probes: list[np.ndarray], x: np.ndarray, x_list: np.ndarray, k: int, doubt: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) that may be among the query's k nearest of the lists it probes."""
+def best_of(q: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs are among the k of highest score of their query, ties to smaller ids; in that order, query by query."""
+    order = np.lexsort((ids, -scores, q))
+    return order[np.arange(len(q)) - np.searchsorted(q[order], q[order], side="left") < k]
+
+
+def search_lists(
+    q: np.ndarray, q_ids: np.ndarray, probes: list[np.ndarray], x: np.ndarray, x_ids: np.ndarray, x_list: np.ndarray, top: float, turn: np.ndarray, k: int, doubt: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best found in the lists it probes, which lie in x; a query's own rows are no candidates."""
+    moved, queries = lifted(x, top) @ turn, lifted(q, None) @ turn
     best = np.full((len(q), k), np.inf)
     asked = np.concatenate(probes) if probes else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for own in np.unique(x_list):
-        members, who = np.flatnonzero(x_list == own), np.unique(owner[asked == own])
-        if not len(who):
-            continue
-        d = scan_list(q[who], x[members], best[who, -1] * (1 + 1e-9) + 1e-12, doubt)
-        merged = np.concatenate([best[who], d], axis=1)
-        best[who] = np.sort(np.partition(merged, k - 1, axis=1)[:, :k], axis=1)
-        i, j = np.nonzero(d <= best[who, -1][:, None] * (1 + 1e-9) + 1e-12)
-        i, j, d = i[np.isfinite(d[i, j])], j[np.isfinite(d[i, j])], d[i, j][np.isfinite(d[i, j])]
-        found.append((who[i], members[j], d))
+        members, everyone = np.flatnonzero(x_list == own), np.unique(owner[asked == own])
+        for at in range(0, len(everyone), QUERY_BLOCK):
+            who = everyone[at : at + QUERY_BLOCK]
+            d = scan_list(queries[who], moved[members], best[who, -1] * (1 + 1e-9) + 1e-12, doubt)
+            d[q_ids[who][:, None] == x_ids[members][None, :]] = np.inf
+            merged = np.concatenate([best[who], d], axis=1)
+            best[who] = np.sort(np.partition(merged, k - 1, axis=1)[:, :k], axis=1)
+            i, j = np.nonzero(np.isfinite(d) & (d <= best[who, -1][:, None] * (1 + 1e-9) + 1e-12))
+            i, j = who[i], members[j]
+            score = np.concatenate([np.empty(0), *((q[i[b : b + 65_536]] * x[j[b : b + 65_536]]).sum(axis=1) for b in range(0, len(i), 65_536))])
+            kept = best_of(i, score, x_ids[j], k)  # so that many copies of one vector stay few
+            found.append((i[kept], j[kept], score[kept]))
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j, d = (np.concatenate(c) for c in zip(*found))
-    near = d <= best[i, -1] * (1 + 1e-9) + 1e-12
-    return i[near], j[near]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    i, j, score = (np.concatenate(c) for c in zip(*found))
+    kept = best_of(i, score, x_ids[j], k)
+    return i[kept], j[kept], score[kept]
 
 
 def nearest(
@@ -115,40 +149,44 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 20_000,
-    probe_share: float = 0.6,
+    recall: float = 0.97,
     doubt: float = 1.5,
     seed: int = 42,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k candidates of largest inner product found, nearest first, ties to smaller vec_id.
 
     Candidates are all vectors but the query's own (told by id). The index: k-means centres fitted on at most sample_rows
-    vectors (those of smallest hashed id), about the square root of the vector count of them; every vector goes to its nearest
-    centre's list. A query probes the probe_share of lists whose centres are nearest, at every size of table, and further ones only
-    until they hold k candidates. Vectors are rotated at random, so any
-    columns are a fair sample of all; lists are scanned by column blocks, and a hypothesis test on the partial
-    distance gives up candidates early (doubt: the test's width; greater gives up less). Scores of what is left are the
-    inner products of the original vectors in double precision.
+    vectors (those of smallest hashed id), four times the square root of the vector count of them; every vector goes to its nearest
+    centre's list. A query probes the lists whose centres are hardly farther than its nearest one, how much is learnt from
+    sample rows so that the lists hold the share recall of their near vectors (`reach`): few lists where vectors lie in clusters, about
+    half of them where they are uniform. It goes on to further lists until they hold k candidates. Only lists that hold vectors
+    count. Vectors are rotated at random, so any columns are a fair sample of all; lists are scanned by column blocks, and a
+    hypothesis test on the partial distance gives up candidates early (doubt: the test's width; greater gives up less). Scores of what is
+    left are the inner products of the original vectors in double precision.
 
     Lists are packed into or split over groups of GROUP_ROWS vectors, queries into groups of GROUP_QUERIES, so no list, however
     many copies it holds, makes one large task. Vectors null, empty, zero or holding null or non-finite
-    components take no part, nor rows with a null id, nor vectors of another length than the commonest. With
-    fewer candidates than k all lists are probed. Repeated ids are candidates each. Other columns are
-    not read. Empty tables give an empty result.
+    components take no part, nor rows with a null id. Vectors of several lengths are searched length by length, each query among
+    its own. A query with fewer candidates than k gets all of them. Repeated ids are candidates each. Other columns are
+    not read. Empty tables give an empty result. The index is built when this is called.
     """
-    rows = usable(vectors, id_col, vector_col, zero=False)
-    dims = dimension(rows)
-    rows = rows.where(F.size("v") == dims)
-    asked = usable(queries, id_col, vector_col, zero=False).where(F.size("v") == dims)
-    spark = vectors.sparkSession
+    search = lambda rows, asked, dims: _nearest(rows, asked, dims, k, sample_rows, recall, doubt, seed)
+    return by_length(search, usable(vectors, id_col, vector_col, zero=False), usable(queries, id_col, vector_col, zero=False), RESULT)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, dims: int, k: int, sample_rows: int, recall: float, doubt: float, seed: int) -> DataFrame:
+    """The search among vectors of one length, of which there are some."""
+    spark = rows.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     count, top = rows.agg(F.count("*"), F.max(norm)).first()
-    if not count:
-        return asked.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0D AS score").limit(0)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
-    fit = lifted(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims), top)
-    lists = max(1, min(MAX_LISTS, round(math.sqrt(count)), len(fit)))
-    centres = centroids(fit, lists, seed)
-    probes = max(1, math.ceil(probe_share * lists))
+    plain = sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims)
+    fit = lifted(plain, top)
+    centres = centroids(fit, max(1, min(MAX_LISTS, round(4 * math.sqrt(count)), -(-len(fit) // 8))), seed)
+    lists = len(centres)
+    near = max(1, min(len(fit) - 1, round(k * len(fit) / count)))  # as near in the sample as the k nearest of all
+    some = min(PSEUDO_QUERIES, len(fit))
+    bound = reach(lifted(plain[:some], None), np.arange(some), fit, centres, near, recall) if len(fit) > 1 else 0.0
     held = np.zeros(lists, np.int64)  # vectors of each list, counted below
     turn = rotation(dims + 1, seed)
 
@@ -164,8 +202,10 @@ def nearest(
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = squared(lifted(matrix(batch.column(1)), None), centres)
+            d[:, held == 0] = np.inf
             order = d.argsort(axis=1, kind="stable").astype(np.int32)
-            wide = np.maximum(probes, 1 + (held[order].cumsum(axis=1) < enough).sum(axis=1))
+            within = (d <= d.min(axis=1)[:, None] + bound).sum(axis=1)
+            wide = np.minimum(np.maximum(within, 1 + (held[order].cumsum(axis=1) < enough).sum(axis=1)), (held > 0).sum())
             chosen = [row[:n] for row, n in zip(order, wide)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
 
@@ -199,17 +239,9 @@ def nearest(
         if left.num_rows and right.num_rows:
             left, right = left.sort_by("vec_id"), right.sort_by("vec_id")
             q, q_ids, x, x_ids = matrix(left.column("v")), left.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("vec_id").to_numpy()
-            # One more than k, for a query's own row may be among the nearest.
-            i, j = scan_group(lifted(q, None) @ turn, [np.array(p) for p in left.column("lists").to_pylist()], lifted(x, top) @ turn, right.column("list").to_numpy(), k + 1, doubt)
-            i, j = i[q_ids[i] != x_ids[j]], j[q_ids[i] != x_ids[j]]
-            score = np.empty(len(i))
-            for at in range(0, len(i), 65_536):
-                here = slice(at, at + 65_536)
-                score[here] = (q[i[here]] * x[j[here]]).sum(axis=1)
-            order = np.lexsort((x_ids[j], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
-            parts = [q_ids[i[first]], x_ids[j[first]], score[first]]
+            probes = [np.array(p) for p in left.column("lists").to_pylist()]
+            i, j, score = search_lists(q, q_ids, probes, x, x_ids, right.column("list").to_numpy(), top, turn, k, doubt)
+            parts = [q_ids[i], x_ids[j], score]
         return pa.table(parts, names=["query_id", "vec_id", "score"])
 
     found = sent.groupBy("part", "grp").cogroup(placed.groupBy("part", "grp")).applyInArrow(search, "query_id long, vec_id long, score double")

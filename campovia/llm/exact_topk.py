@@ -2,88 +2,78 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from campovia.llm.vectors import dimension, usable
+from campovia.llm.vectors import by_length, usable
 
 #: Rows of a candidate block and of a query block, and query blocks that one task takes together.
 CANDIDATES, QUERIES, QUERY_BLOCKS = 8192, 512, 8
-#: Parts of each sorted list that are read between two looks at the bounds.
-DEPTHS = (0.5, 0.75, 1.0)
-
-
-class SortedLists:
-    """A block's components as one sorted list a dimension, read from the top by queries with a positive weight there, else from the bottom."""
-
-    def __init__(self, block: np.ndarray):
-        self.block = block
-        order = np.argsort(block, axis=0, kind="stable")
-        self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.arange(len(block))[:, None], axis=0)  # from the bottom
-        self.sorted = np.take_along_axis(block, order, axis=0)
-
-    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """At this depth from the top and the bottom: which entries have been read, and the values at the frontiers."""
-        n = len(self.block)
-        down, up = self.place >= n - depth, self.place < depth
-        return down, up, self.sorted[n - depth], self.sorted[depth - 1]
-
-
-def search_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, block_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, candidate index, score) of each query's k best of a block, ties to smaller ids, its own row left out.
-
-    Threshold search without random access, for all queries at once: between two depths every list is read on,
-    so a candidate's lower bound is its read part plus the least its unread lists can hold, its upper bound the read part
-    plus its unread lists' frontiers. A candidate whose upper bound is under the k-th best lower bound is out; a
-    query ends when only k are left and read in full, or the lists end and the bounds meet. Sums are whole numbers
-    that the blocks' floating type holds exactly.
+#: Entries of each list read before the first look at the bounds, how much further each next look is, and candidates (times k)
+#: among which scores are resolved.
+FIRST_DEPTH, DEEPER, RESOLVED = 32, 2, 4
+RESULT = "query_id long, rank int, vec_id long, score long"
+
+
+def search_block(
+    queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, block_ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, candidate index, score) of each query's k best of a block, ties to smaller ids, its own row left out; and each query's depth.
+
+    No-random-access aggregation. Each dimension is a sorted list of the block's components, which queries with a positive weight
+    there read from the top and the others from the bottom. All lists are read on together, a little further each time; what is
+    read is added to the candidates' sums. A candidate's lower bound is its sum and the least its unread lists can hold,
+    its upper bound its sum and its unread lists' frontiers. One whose upper bound is under the k-th best lower bound cannot
+    qualify. A query ends when those that still can are few (RESOLVED * k) or the lists end; then their final scores are resolved, and the
+    best are taken. Sums are whole numbers that the blocks' floating type holds exactly.
     """
-    lists = SortedLists(block)
+    n, dims = block.shape
+    order = np.argsort(block, axis=0, kind="stable")
+    least, most = block[order[0], np.arange(dims)], block[order[-1], np.arange(dims)]
     gain, loss = np.maximum(queries, 0), np.minimum(queries, 0)
-    # What each entry holds at least: the lowest value for a positive weight, the highest for a negative one.
-    floor_gain, floor_loss = lists.sorted[0], lists.sorted[-1]
-    live = np.arange(len(queries))
-    own = query_ids[:, None] == block_ids[None, :]
+    live, depth = np.arange(len(queries)), 0
+    sums = np.zeros((n, len(queries)), block.dtype)
+    unread = np.ones((n, 2 * dims), block.dtype)  # from the top, and from the bottom
+    own = block_ids[:, None] == query_ids[None, :]
+    depths = np.empty(len(queries), np.int64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for part in DEPTHS:
-        depth = max(1, int(np.ceil(part * len(block))))
-        down, up, edge_down, edge_up = lists.read(depth)
-        read = np.hstack([np.where(down, block, 0), np.where(up, block, 0)]).T
+    while len(live):
+        last, depth = depth, min(n, max(FIRST_DEPTH, k, math.ceil(depth * DEEPER)))
+        read = np.zeros_like(unread)
+        for d in range(dims):
+            for rows, side in ((order[n - depth : n - last, d], d), (order[last:depth, d], dims + d)):
+                read[rows, side] = block[rows, d]
+                unread[rows, side] = 0
         weights = np.hstack([gain[live], loss[live]])
-        seen = weights @ read
-        full = depth == len(block)
-        if full:
-            low = high = seen
-        else:
-            unread = np.hstack([~down, ~up]).T.astype(block.dtype)
-            low = seen + (weights * np.concatenate([floor_gain, floor_loss])) @ unread
-            high = seen + (weights * np.concatenate([edge_down, edge_up])) @ unread
-        low = np.where(own[live], -np.inf, low)
-        high = np.where(own[live], -np.inf, high)
-        if len(block) > k:
-            bar = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-        else:
-            bar = np.full(len(live), -np.inf)
-        staying = (high >= bar[:, None]) & (high > -np.inf)
-        # A query has ended when every candidate that stays is known exactly and no other can qualify.
-        exact = ~(staying & (low < high)).any(axis=1)
-        q, c = np.nonzero(staying & exact[:, None])
-        out.append((live[q], c, low[q, c]))
-        if full:
-            break
-        live = live[~exact]
-        if not len(live):
-            break
-    q, c, score = (np.concatenate(x) for x in zip(*out))
+        some = np.flatnonzero(read.any(axis=1))
+        sums[some] += read[some] @ weights.T
+        low = high = sums
+        if depth < n:
+            edge_top, edge_bottom = block[order[n - depth], np.arange(dims)], block[order[depth - 1], np.arange(dims)]
+            low = sums + unread @ (weights * np.concatenate([least, most])).T
+            high = sums + unread @ (weights * np.concatenate([edge_top, edge_bottom])).T
+        mine = own[:, live]
+        low = np.where(mine, -np.inf, low).astype(block.dtype)
+        bar = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(live), -np.inf)
+        able = (high >= bar) & ~mine
+        ended = (able.sum(axis=0) <= RESOLVED * k) | (depth == n)
+        c, q = np.nonzero(able & ended)
+        score = np.concatenate([np.empty(0, block.dtype), *((queries[live[q[a : a + 65_536]]] * block[c[a : a + 65_536]]).sum(axis=1) for a in range(0, len(q), 65_536))])
+        out.append((live[q], c, score))
+        depths[live[ended]] = depth
+        live = live[~ended]
+        if ended.any():
+            sums = sums[:, ~ended]
+    q, c, score = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     order = np.lexsort((block_ids[c], -score, q))
     q, c, score = q[order], c[order], score[order]
-    first = np.searchsorted(q, q, side="left")
-    best = np.arange(len(q)) - first < k
-    return q[best], c[best], score[best]
+    best = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[best], c[best], score[best], depths
 
 
 def exact_topk(
@@ -93,18 +83,20 @@ def exact_topk(
 
     Components x become floor(scale * x). vectors are the candidates, queries a stated set of rows of the same shape; a query's
     own row, told by its id, is no candidate. Candidates and queries are laid in blocks of bounded size that meet by block
-    number; each pair of blocks is searched by reading the block's sorted lists, and the blocks' best are
+    number; each pair of blocks is searched by reading the block's sorted lists (`search_block`), and the blocks' best are
     merged by a ranked union of at most k rows a query and block.
 
-    Vectors null, empty or holding null or non-finite components take no part, nor rows with a null id, nor
-    vectors of another length than the commonest; zero vectors do. With fewer candidates than k all are returned. Repeated ids
+    Vectors null, empty or holding null or non-finite components take no part, nor rows with a null id; zero vectors do.
+    Vectors of several lengths are searched length by length, each query among its own. With fewer candidates than k all are returned. Repeated ids
     are candidates each. Scores must stay below 2 ** 53 in size, else the job ends with an error. Other columns are not
     read. Empty tables give an empty result.
     """
     floored = lambda df: usable(df, id_col, vector_col, zero=True).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    rows, asked = floored(vectors), floored(queries)
-    dims = dimension(rows)
-    rows, asked = rows.where(F.size("v") == dims), asked.where(F.size("v") == dims)
+    return by_length(lambda rows, asked, dims: _topk(rows, asked, dims, k), floored(vectors), floored(queries), RESULT)
+
+
+def _topk(rows: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
+    """The search among vectors of one length."""
     n_rows, n_asked = rows.count(), asked.count()
     row_blocks, asked_blocks = -(-n_rows // CANDIDATES) or 1, -(-n_asked // QUERIES) or 1
     groups = -(-asked_blocks // QUERY_BLOCKS)
@@ -130,7 +122,7 @@ def exact_topk(
                 q, x = q.astype(np.float32), x.astype(np.float32)
             for at in range(0, len(x), CANDIDATES):
                 for start in range(0, len(q), QUERIES):
-                    a, b, score = search_block(q[start : start + QUERIES], q_ids[start : start + QUERIES], x[at : at + CANDIDATES], x_ids[at : at + CANDIDATES], k)
+                    a, b, score, _ = search_block(q[start : start + QUERIES], q_ids[start : start + QUERIES], x[at : at + CANDIDATES], x_ids[at : at + CANDIDATES], k)
                     found.append((q_ids[start + a], x_ids[at + b], score.astype(np.int64)))
         parts = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
         return pa.table(parts, names=["query_id", "vec_id", "score"])

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Lengths of vectors in one table; each is searched by itself.
+MOST_LENGTHS = 16
+
 
 def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
     """(vec_id, v) with v as array<double>, of rows whose id is not null and whose vector is neither null nor empty nor holds null or non-finite components.
 
-    zero says whether a vector of zeros is usable. Vectors keep the length they have; a search takes those of the commonest one.
+    zero says whether a vector of zeros is usable. Vectors keep the length they have.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -17,7 +23,10 @@ def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame
     return kept if zero else kept.where(F.exists("v", lambda x: x != 0))
 
 
-def dimension(rows: DataFrame) -> int:
-    """The commonest vector length (the largest, in a tie), or 0 without rows."""
-    found = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return found["n"] if found else 0
+def by_length(search: Callable[[DataFrame, DataFrame, int], DataFrame], rows: DataFrame, asked: DataFrame, empty: str) -> DataFrame:
+    """A search within each length that vectors have, for only equally long ones have an inner product; there are at most MOST_LENGTHS of them."""
+    found = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").limit(MOST_LENGTHS + 1).collect()]
+    if len(found) > MOST_LENGTHS:
+        raise ValueError(f"vectors have more than {MOST_LENGTHS} lengths")
+    parts = [search(rows.where(F.size("v") == n), asked.where(F.size("v") == n), n) for n in found]
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], empty)

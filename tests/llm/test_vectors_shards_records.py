@@ -40,7 +40,7 @@ def test_exact_topk(cloud, monkeypatch):
     monkeypatch.setattr(exact_topk, "CANDIDATES", 150)
     monkeypatch.setattr(exact_topk, "QUERIES", 8)
     monkeypatch.setattr(exact_topk, "QUERY_BLOCKS", 2)
-    got = sorted((r.query_id, r.rank, r.vec_id, float(r.score)) for r in exact_topk.exact_topk(df, df.where("vec_id % 20 = 0"), k=20).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, float(r.score)) for r in exact_topk.exact_topk(df, df.where("vec_id % 20 = 0"), k=20).collect() if r.query_id < 900)
     assert got == brute(ids, np.floor(64 * x), ids[ids % 20 == 0], 20)
 
 
@@ -54,12 +54,28 @@ def test_exact_topk_small_and_large(spark):
         exact_topk.exact_topk(huge, huge).collect()
 
 
-def test_bounds_decide_before_the_lists_end():
+def test_lists_are_read_no_further_than_they_decide():
+    """Few candidates stand out: a hundredth of the entries is read, and the scores are those of a full product."""
     rng = np.random.default_rng(1)
-    block = rng.integers(0, 4, (400, 3)).astype(float)
-    block[:30] = 100 + np.arange(90).reshape(30, 3)
-    q, c, score = exact_topk.search_block(block[:2], np.array([-1, -2]), block, np.arange(400), 5)
-    assert c[q == 0].tolist() == [29, 28, 27, 26, 25] and (score == (block[q] * block[c]).sum(1)).all()
+    block = rng.integers(0, 4, (8000, 5)).astype(float)
+    block[:30] = 100 + np.arange(150).reshape(30, 5)
+    q, c, score, depths = exact_topk.search_block(block[:9], -1 - np.arange(9), block, np.arange(8000), 20)
+    assert (depths <= 80).all()
+    assert all(c[q == i].tolist() == list(range(29, 9, -1)) for i in range(9)) and (score == (block[q] * block[c]).sum(1)).all()
+    heavy = np.round(np.exp(1.5 * rng.standard_normal((5000, 6))) * 8)  # long tails: the heads of the lists decide
+    q, c, score, depths = exact_topk.search_block(heavy[:40], np.arange(40), heavy, np.arange(5000), 20)
+    assert depths.mean() < 0.5 * 5000
+    want = brute(np.arange(5000), heavy, range(40), 20)
+    assert [(w[0], w[2], w[3]) for w in want] == list(zip(q.tolist(), c.tolist(), score.tolist()))
+
+
+def test_exact_topk_by_length(spark):
+    df = spark.createDataFrame([(20 * i, [1.0 * i, 2.0], "") for i in range(4)] + [(20 * i + 7, [1.0], "") for i in range(3)] + [(1000, [3.0], "")], SCHEMA)
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in exact_topk.exact_topk(df, df.where("vec_id % 20 = 0"), k=2).collect())
+    assert got[:2] == [(0, 1, 20), (0, 2, 40)] and got[-2:] == [(1000, 1, 7), (1000, 2, 27)] and len(got) == 10
+    many = spark.createDataFrame([(i, [1.0] * i, "") for i in range(1, 30)], SCHEMA)
+    with pytest.raises(ValueError, match="lengths"):
+        exact_topk.exact_topk(many, many)
 
 
 def test_nearest_recall_and_scores(cloud, monkeypatch):
@@ -67,7 +83,8 @@ def test_nearest_recall_and_scores(cloud, monkeypatch):
     want = brute(ids, x, ids[ids % 20 == 0], 20)
     monkeypatch.setattr(ann_adaptive, "GROUP_ROWS", 64)
     monkeypatch.setattr(ann_adaptive, "GROUP_QUERIES", 16)
-    everywhere = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann_adaptive.nearest(df, df.where("vec_id % 20 = 0"), k=20, probe_share=1.0, doubt=9.0).collect())
+    monkeypatch.setattr(ann_adaptive, "reach", lambda *_: float("inf"))
+    everywhere = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann_adaptive.nearest(df, df.where("vec_id % 20 = 0"), k=20, doubt=9.0).collect() if r.query_id < 900)
     assert [w[:3] for w in want] == [g[:3] for g in everywhere] and np.allclose([w[3] for w in want], [g[3] for g in everywhere])
 
 
