@@ -26,32 +26,42 @@ def odd(spark):
 
 
 def brute_lines(docs):
-    """(id, text) -> kept text, by the definition."""
-    first, out = {}, []
+    """(id, text) -> kept text, by the definition: lines of later windows go, lines of a repeated window's first occurrence stay."""
+    places, out = {}, []
     ordered = sorted((d for d in docs if d[1] is not None), key=lambda d: (d[0] is None, d[0]))
     for d, text in ordered:
         lines = text.split("\n")
         for i in range(len(lines) - 2):
             window = tuple(lines[i : i + 3])
-            if "".join(window).strip(" "):
-                first.setdefault(window, (d, i))
+            if "".join(window).strip(" \t\n\x0b\f\r"):
+                places.setdefault(window, []).append((d, i))
+    later = {(d, i + k) for at in places.values() for d, i in at[1:] for k in range(3)}
+    first = {(at[0][0], at[0][1] + k) for at in places.values() if len(at) > 1 for k in range(3)}
+    gone = later - first
     for d, text in docs:
         if text is None:
             out.append((d, None, 0))
             continue
         lines = text.split("\n")
-        gone = {i + k for i in range(len(lines) - 2) for k in range(3) if first.get(tuple(lines[i : i + 3]), (d, i)) != (d, i)}
-        out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+        out.append((d, "\n".join(x for i, x in enumerate(lines) if (d, i) not in gone), sum((d, i) in gone for i in range(len(lines)))))
     return out
 
 
 def test_line_dedup_against_brute_force(spark):
-    docs = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "a\nb\nc"), (4, "a\nb"), (5, None), (6, ""), (7, "\n\n\n\n"), (8, "r\nr\nr\nr\nr"), (9, "p\n" * 3000 + "q"), (None, "a\nb\nc\nz")]
-    df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, at string")
+    docs = [
+        (1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "a\nb\nc"), (4, "a\nb"), (5, None), (6, ""), (7, "\n\n\n\n"), (8, "r\nr\nr\nr\nr"), (9, "p\n" * 3000 + "q"),
+        (10, "\t\n\t\n\t\n\t"), (11, " \n\t\n\r\n\x0b\n \n\t\n\r"), (12, "u\nv\nu\nv\nu\nv\nu"), (13, "r\nr\nr\nr"), (14, "\u3000\n\u3000\n\u3000\n\u3000"), (None, "a\nb\nc\nz"),
+    ]
+    kinds = "doc_id long, text string, at string, gone string, body string, rest string, count string"
+    df = spark.createDataFrame([(*d, *"kgbrc") for d in docs], kinds)
     got = line_dedup.remove_repeated_windows(df)
-    assert got.columns == ["doc_id", "text", "at", "removed_lines"]
+    assert got.columns == [*df.columns, "removed_lines"] and all(tuple(r)[2:7] == tuple("kgbrc") for r in got.collect())
+    mine = {r.doc_id: (r.text, r.removed_lines) for r in got.collect()}
+    assert mine[8] == ("r\nr\nr", 2) and mine[12] == ("u\nv\nu\nv", 3) and mine[13] == ("", 4) and mine[10] == ("\t\n\t\n\t\n\t", 0)
     assert sorted([(r.doc_id, r.text, r.removed_lines) for r in got.collect()], key=str) == sorted(brute_lines(docs), key=str)
     assert line_dedup.remove_repeated_windows(df.limit(0)).count() == 0
+    again = line_dedup.remove_repeated_windows(got)
+    assert again.columns == got.columns
     twice = line_dedup.remove_repeated_windows(df.where("doc_id = 1").union(df.where("doc_id = 1"))).collect()
     assert [r.removed_lines for r in twice] == [0, 0]  # rows equal in id and text are one document
 
