@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; MinHash only finds where to compare."""
+"""Near-duplicates by exact Jaccard similarity of word shingles; SimHash deletion variants only find where to compare."""
 
 from __future__ import annotations
 
@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campovia.llm.components import connected_components
-from campovia.llm.simhash_dedup import WORD, linked
+from campovia.llm.simhash_dedup import WORD, _mixed, _ones, close_pairs, word_columns
 from campovia.session import durable, give_back
 
-#: A set is met under BANDS keys, each of ROWS of its HASHES smallest values: two of Jaccard similarity 0.8 share none with probability 5e-5.
-HASHES, BANDS, ROWS = 128, 25, 5
-#: One bit of each smallest value: sets of similarity 0.8 differ in 12.8 of 128 bits, with a spread of 3.4; 0.6 is 25.6.
-LOOSE_BITS = 26
-WORDS = HASHES // WORD
-#: Shingles whose values are made at once.
-BLOCK = 4096
+#: A set's SimHash has WORDS * 64 bits, of which two sets of Jaccard similarity 0.8 differ in 29.1 on average, with a spread of 5 (the
+#: cosine of sets of one size is 0.889). They meet where one of the EACH segments of a word differs by at most a bit: with 12 segments of 16
+#: bits a pair at 0.8 exactly does so with a probability of 0.98, at 0.85 of 0.996, at 0.9 of 0.9998. LOOSE_BITS is over three spreads above that average.
+WORDS, EACH, LOOSE_BITS = 3, 4, 46
+#: Shingles of the sets that are compared in one task, about.
+COMPARED = 4_000_000
 
 
 def shingles(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -37,44 +36,30 @@ def shingles(text: bytes, width: int, seed: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(first, last)], np.uint64))
 
 
-def multipliers(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def least_values(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The smallest value of a set of hashes under each factor."""
-    parts = [(hashes[at : at + BLOCK, None] * factors).min(axis=0) for at in range(0, len(hashes), BLOCK)]
-    return np.minimum.reduce(parts)
+def set_simhash(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of a set of hashes, none twice, as 64-bit words."""
+    ones = np.stack([_ones(_mixed(hashes, k)) for k in range(words)])
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """(doc, print, own, w0, w1, keys): hashes of the text and of its shingle set, the set's bits and its keys, none where the text is null or blank."""
+    """(doc, print, own, size, w0, w1, ...): hashes of the text and of its shingle set, the set's size (0 where the text is null or blank) and its SimHash."""
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = multipliers(seed)
         for batch in batches:
-            own = np.zeros(batch.num_rows, np.uint64)
-            bits = np.zeros((batch.num_rows, HASHES), np.uint8)
-            keys: list[np.ndarray] = []
+            own, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
+            bits = np.zeros((batch.num_rows, WORDS), np.uint64)
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 found = shingles(text.as_py() or b"", width, seed)
-                if not len(found):
-                    keys.append(np.empty(0, np.int64))
-                    continue
-                own[i] = xxhash.xxh64_intdigest(found.tobytes(), seed)
-                least = least_values(found, factors)
-                bits[i] = (least >> np.uint64(20)) & np.uint64(1)
-                bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
-                keys.append(np.array([xxhash.xxh64_intdigest(b.tobytes(), seed) for b in bands], np.uint64).view(np.int64))
-            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(own.view(np.int64)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS)), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc", "print", "own", "w0", "w1", "keys"],
-            )
+                if len(found):
+                    own[i], sizes[i], bits[i] = xxhash.xxh64_intdigest(found.tobytes(), seed), len(found), set_simhash(found, WORDS)
+            words = (pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(WORDS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.view(np.int64)), pa.array(sizes), *words], ["doc", "print", "own", "size", *word_columns(WORDS)])
         give_back()
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, print long, own long, w0 long, w1 long, keys array<long>")
+    kinds = ", ".join(f"{c} long" for c in word_columns(WORDS))
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, print long, own long, size long, {kinds}")
 
 
 def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -121,21 +106,22 @@ def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def verified(contested: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """(own, root) of the rows (loose, own, body): the exact components within each loose one, named by one of its sets."""
+    """(own, root, blocks): exact links among the rows (loose, left, right, blocks, own, body) of one loose, left and right, each set to the first of its component there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loose, names, sets = None, [], []
+        last, names, sets = None, [], []
 
         def done() -> pa.RecordBatch:
             own = np.array(names, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[similar_roots(sets, similarity)])], ["own", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[similar_roots(sets, similarity)]), pa.array([last[3]] * len(own), pa.int64())], ["own", "root", "blocks"])
 
         for batch in batches:
-            for group, own, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                if group != loose:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for key, own, body in zip(keys, batch.column(4).to_pylist(), batch.column(5).cast(pa.binary())):
+                if key != last:
                     if names:
                         yield done()
-                    loose, names, sets = group, [], []
+                    last, names, sets = key, [], []
                 if not names or names[-1] != own:
                     names.append(own)
                     sets.append(shingles(body.as_py() or b"", width, seed))
@@ -145,28 +131,36 @@ def verified(contested: DataFrame, width: int, similarity: float, seed: int) ->
         sets.clear()
         give_back()
 
-    return contested.select("loose", "own", "body").repartition("loose").sortWithinPartitions("loose", "own").mapInArrow(run, "own long, root long")
+    dealt = contested.select("loose", "left", "right", "blocks", "own", "body").repartition("loose", "left", "right").sortWithinPartitions("loose", "left", "right", "own")
+    return dealt.mapInArrow(run, "own long, root long, blocks long")
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, seed: int) -> DataFrame:
     """(doc, print, component_id), one row for each row of docs.
 
-    Texts of one shingle set are merged. Sets that share a key and are not far apart by their bits form loose components, which hold
-    nearly every pair of the asked similarity; within each the sets are compared exactly, and only that makes links.
+    Texts of one shingle set are merged. Sets whose SimHashes meet under a deletion variant and are at most LOOSE_BITS bits apart form
+    loose components; within each the sets are compared exactly, and only that makes links. A loose component of more than
+    COMPARED shingles is dealt in blocks, of which each two are compared in a task of their own, so that none holds more; the blocks' links
+    are joined afterwards. Null and blank texts have the empty set, which is similar to itself alone.
     """
     marked = durable(sketches(docs, id_col, text_col, width, seed))
-    some = F.first(F.struct("w0", "w1", "keys"))
+    some = F.first(F.struct("size", *word_columns(WORDS)))
     sets = durable(marked.groupBy("own").agg(F.min("doc").alias("first"), F.min(F.struct("doc", "print")).alias("pick"), some.alias("s")).select("own", "first", "pick", "s.*"))
-    index = sets.select("w0", "w1", F.posexplode("keys").alias("band", "part")).select((F.col("band") + HASHES).alias("slot"), "part", "w0", "w1")
-    links = connected_components(linked(index, LOOSE_BITS, WORDS), "a", "b")
-    bits = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("w0", "w1")))
-    placed = sets.where("size(keys) > 0").select("own", "pick", bits.alias("node")).join(links, "node", "left").select("own", "pick", F.coalesce("root", "node").alias("loose"))
-    several = placed.groupBy("loose").agg(F.count("*").alias("n")).where("n > 1").select("loose")
-    wanted = placed.join(several, "loose").select("loose", "own", F.col("pick.doc").alias("_doc"), F.col("pick.print").alias("_print"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("body"))
-    contested = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_print")))
+    prints = sets.where("size > 0").select(*word_columns(WORDS)).distinct()
+    links = connected_components(close_pairs(prints, LOOSE_BITS, WORDS, EACH), "a", "b")
+    node = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in word_columns(WORDS)))
+    placed = sets.where("size > 0").select("own", "pick", "size", node.alias("node")).join(links, "node", "left").select("own", "pick", "size", F.coalesce("root", "node").alias("loose"))
+    several = placed.groupBy("loose").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / COMPARED).alias("blocks")).where("n > 1").drop("n")
+    wanted = placed.join(several, "loose").withColumn("block", F.pmod(F.xxhash64("own"), F.col("blocks")))
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: (F.col("blocks") == 1) | (o != F.col("block"))))
+    pairs = wanted.select("loose", "blocks", "own", F.col("pick.doc").alias("id"), F.col("pick.print").alias("hash"), "block", other.alias("other"))
+    pairs = pairs.select("loose", "blocks", "own", "id", "hash", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("body"))
+    contested = texts.join(pairs, F.col("doc").eqNullSafe(F.col("id")) & (F.col("print") == F.col("hash")))
     exact = durable(verified(contested, width, similarity, seed))
-    rooted = sets.select("own", "first").join(exact, "own", "left").select("own", "first", F.coalesce("root", "own").alias("root"))
+    joined = connected_components(exact.where("blocks > 1"), "own", "root").select(F.col("node").alias("own"), "root")
+    roots = exact.where("blocks = 1").select("own", "root").union(joined)
+    rooted = sets.select("own", "first").join(roots, "own", "left").select("own", "first", F.coalesce("root", "own").alias("root"))
     component = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_set = rooted.join(component, "root").select("own", "component_id")
     return marked.select("doc", "print", "own").join(by_set, "own", "left").select("doc", "print", "component_id")

@@ -16,8 +16,10 @@ from campovia.session import durable, give_back
 WORD = 64
 #: Shingle hashes whose bits are counted at once, and fingerprints compared with a bucket at once.
 HASH_BLOCK, PROBE_BLOCK = 16_384, 256
-#: Buckets up to this size are compared in shifted vectors; larger ones are searched breadth first.
+#: Buckets up to this size are compared in shifted vectors; larger ones are cut further and what is dense is searched breadth first.
 SMALL_BUCKET = 64
+#: Comparisons made at once in a search.
+AT_ONCE = 4_000_000
 #: Multipliers of the 64-bit mixer that makes further hashes of a shingle from its first one.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -80,17 +82,17 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed:
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, print long, {kinds}")
 
 
-def segments(max_bits: int, words: int) -> list[tuple[int, int, int]]:
-    """(word, shift, width) of the fewest equal segments in each word of which one differs by at most one bit."""
-    each = -(-(max_bits // 2 + 1) // words)
+def segments(max_bits: int, words: int, each: int | None = None) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of equal segments, each of them in a word: given, or the fewest of which one must differ by at most one bit."""
+    each = each or -(-(max_bits // 2 + 1) // words)
     edges = [WORD * i // each for i in range(each + 1)]
     return [(k, a, b - a) for k in range(words) for a, b in zip(edges, edges[1:])]
 
 
-def signatures(fps: DataFrame, max_bits: int, words: int) -> DataFrame:
+def signatures(fps: DataFrame, max_bits: int, words: int, each: int | None = None) -> DataFrame:
     """(slot, part, words): each segment with each of its bits deleted, at that bit's slot, and whole, at a slot after all bits'."""
     keys = []
-    for i, (k, shift, width) in enumerate(segments(max_bits, words)):
+    for i, (k, shift, width) in enumerate(segments(max_bits, words, each)):
         part = F.shiftrightunsigned(f"w{k}", shift).bitwiseAND(F.lit((1 << width) - 1 if width < WORD else -1))
         keys.append(F.struct(F.lit(WORD * words + i).alias("slot"), part.alias("part")))
         keys += [F.struct(F.lit(WORD * k + shift + b).alias("slot"), part.bitwiseAND(F.lit(~(1 << b) if b < WORD - 1 else 2 ** (WORD - 1) - 1)).alias("part")) for b in range(width)]
@@ -120,7 +122,8 @@ def spanning_links(values: np.ndarray, side: np.ndarray | None, max_bits: int) -
     while len(rest) > 1:
         front, rest, alone = rest[:1], rest[1:], True
         while len(front) and len(rest):
-            probe, front = front[:PROBE_BLOCK], front[PROBE_BLOCK:]
+            size = max(1, min(PROBE_BLOCK, AT_ONCE // len(rest)))
+            probe, front = front[:size], front[size:]
             near = close(probe, rest)
             hit = near.any(axis=0)
             if hit.any():
@@ -130,7 +133,8 @@ def spanning_links(values: np.ndarray, side: np.ndarray | None, max_bits: int) -
                 front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
         lone = lone + 1 if alone else 0
         if lone >= 8 and not sifted:  # mostly strangers: go on with those that have a close one
-            counts = [close(rest[at : at + PROBE_BLOCK], rest).sum(axis=1) for at in range(0, len(rest), PROBE_BLOCK)]
+            size = max(1, min(PROBE_BLOCK, AT_ONCE // max(1, len(rest))))
+            counts = [close(rest[at : at + size], rest).sum(axis=1) for at in range(0, len(rest), size)]
             if counts:
                 rest = rest[np.concatenate(counts) > (side is None)]
             sifted = True
@@ -138,29 +142,75 @@ def spanning_links(values: np.ndarray, side: np.ndarray | None, max_bits: int) -
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def _bucket_links(slots: np.ndarray, parts: np.ndarray, values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as indexes) of whole buckets, given in order of (slot, part)."""
-    words, rows = values.shape
-    new = np.flatnonzero(np.concatenate([[True], (slots[1:] != slots[:-1]) | (parts[1:] != parts[:-1])]))
-    sizes = np.diff(np.concatenate([new, [rows]]))
-    exact = slots >= WORD * words
-    word_of = np.where(exact, 0, slots // WORD)
-    bit = (values[word_of, np.arange(rows)] >> (slots % WORD).astype(np.uint64)) & np.uint64(1)  # the deleted bit; of no use at whole segments
+def _in_runs(new: np.ndarray, sizes: np.ndarray, values: np.ndarray, sides: np.ndarray | None, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as indexes) of the runs that begin at new, of up to SMALL_BUCKET members: pairs of different sides, where there are sides (-1: any)."""
     found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     size_of = np.repeat(sizes, sizes)
-    index_of = np.arange(rows) - np.repeat(new, sizes)
+    index_of = np.arange(len(size_of)) - np.repeat(new, sizes)
     small = np.flatnonzero((size_of > 1) & (size_of <= SMALL_BUCKET))
     for step in range(1, SMALL_BUCKET):
         small = small[index_of[small] + step < size_of[small]]
         if not len(small):
             break
-        i = small[exact[small] | (bit[small] != bit[small + step])]
+        i = small if sides is None else small[(sides[small] < 0) | (sides[small] != sides[small + step])]
         ok = _apart(values[:, i], values[:, i + step]) <= max_bits
         found_a.append(i[ok])
         found_b.append(i[ok] + step)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and their sizes."""
+    other = np.zeros(len(keys[0]), bool)
+    for key in keys:
+        other[1:] |= key[1:] != key[:-1]
+    new = np.flatnonzero(np.concatenate([[True], other[1:]])) if len(other) else np.empty(0, np.int64)
+    return new, np.diff(np.concatenate([new, [len(other)]]))
+
+
+def _large_links(values: np.ndarray, side: np.ndarray | None, max_bits: int, shift: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a large bucket, whose members share a segment of width bits at shift.
+
+    Fingerprints of one word are cut again: of max_bits + 1 parts of the other bits two close ones have one in common, so only members
+    that share a part are compared, in runs as small buckets are. What still is a large run is dense, and searched breadth first, as
+    are buckets of which the parts would be too short to tell strangers apart.
+    """
+    rest = WORD - width
+    if len(values) > 1 or rest // (max_bits + 1) < 5:
+        return spanning_links(values, side, max_bits)
+    own = values[0]
+    turn = np.uint64((shift + width) % WORD)
+    turned = (own >> turn) | (own << (np.uint64(WORD) - turn)) if turn else own
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    edges = [rest * i // (max_bits + 1) for i in range(max_bits + 2)]
+    for low, high in zip(edges, edges[1:]):
+        part = (turned >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(part, kind="stable")
+        new, sizes = _runs(part[order])
+        a, b = _in_runs(new, sizes, values[:, order], None if side is None else side[order].astype(np.int8), max_bits)
+        found_a.append(order[a])
+        found_b.append(order[b])
+        for k in np.flatnonzero(sizes > SMALL_BUCKET):
+            run = order[new[k] : new[k] + sizes[k]]
+            a, b = spanning_links(values[:, run], None if side is None else side[run], max_bits)
+            found_a.append(run[a])
+            found_b.append(run[b])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _bucket_links(slots: np.ndarray, parts: np.ndarray, values: np.ndarray, max_bits: int, cuts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as indexes) of whole buckets, given in order of (slot, part), of fingerprints with the segments cuts."""
+    words, rows = values.shape
+    new, sizes = _runs(slots, parts)
+    exact = slots >= WORD * words
+    word_of = np.where(exact, 0, slots // WORD)
+    bit = (values[word_of, np.arange(rows)] >> (slots % WORD).astype(np.uint64)) & np.uint64(1)  # the deleted bit; of no use at whole segments
+    a, b = _in_runs(new, sizes, values, np.where(exact, -1, bit.astype(np.int64)), max_bits)
+    found_a, found_b = [a], [b]
     for k in np.flatnonzero(sizes > SMALL_BUCKET):
-        own = slice(new[k], new[k] + sizes[k])
-        a, b = spanning_links(values[:, own], None if exact[new[k]] else bit[own], max_bits)
+        own, slot = slice(new[k], new[k] + sizes[k]), int(slots[new[k]])
+        _, shift, width = cuts[slot - WORD * words] if exact[new[k]] else next(c for c in cuts if c[0] == slot // WORD and c[1] <= slot % WORD < c[1] + c[2])
+        a, b = _large_links(values[:, own], None if exact[new[k]] else bit[own], max_bits, shift, width)
         found_a.append(a + new[k])
         found_b.append(b + new[k])
     return np.concatenate(found_a), np.concatenate(found_b)
@@ -187,13 +237,12 @@ def rooted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both[own], both[root[own]]
 
 
-def close_pairs(fps: DataFrame, max_bits: int, words: int) -> DataFrame:
-    """(a, b) links, as hexadecimal fingerprints, that connect all distinct fingerprints joined by pairs at most max_bits bits apart."""
-    return linked(signatures(fps, max_bits, words), max_bits, words)
+def close_pairs(fps: DataFrame, max_bits: int, words: int, each: int | None = None) -> DataFrame:
+    """(a, b) links, as hexadecimal fingerprints, that connect all distinct fingerprints joined by pairs at most max_bits bits apart.
 
-
-def linked(index: DataFrame, max_bits: int, words: int) -> DataFrame:
-    """The same links for an index (slot, part, words) of any making: between fingerprints of one slot and part."""
+    With a given number of segments in each word, only those pairs of which one segment differs by at most one bit.
+    """
+    index, cuts = signatures(fps, max_bits, words, each), segments(max_bits, words, each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # the bucket that the next batch may continue
@@ -201,7 +250,7 @@ def linked(index: DataFrame, max_bits: int, words: int) -> DataFrame:
         def links(cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             slots, parts = (np.concatenate([x[i] for x in cols]) for i in (0, 1))
             values = np.concatenate([x[2] for x in cols], axis=1)
-            a, b = _bucket_links(slots, parts, values, max_bits)
+            a, b = _bucket_links(slots, parts, values, max_bits, cuts)
             nodes, roots = rooted(values[:, a].T, values[:, b].T)
             ends = [[row.astype(">u8").tobytes().hex() for row in side] for side in (nodes, roots)]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ends], ["a", "b"])
@@ -264,16 +313,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs, all columns, with one document left of each near-duplicate component: that of the smallest id.
 
-    Documents are linked where the sets of their shingles have a Jaccard similarity of at least the given one, told exactly.
-    Of texts that share the smallest id the one of the smallest hash stays, and rows equal in id and text leave one row.
-    Components without any id leave a row for each different text, for nothing tells which to keep. Columns may
-    have any name but _id, _text and _print.
+    Documents are linked where the sets of their shingles have a Jaccard similarity of at least the given one, told exactly
+    (`shingle_links.similar_groups`). Of texts that share the smallest id the one of the smallest hash stays, and rows equal in id and text
+    leave one row. Null and blank texts are similar to each other alone. Components without any id leave a row for each different text, for
+    nothing tells which to keep. Columns may have any names. An empty table gives an empty result. The links are made when this is called.
     """
-    from campovia.llm.shingle_dedup import similar_groups
+    from campovia.llm.shingle_links import similar_groups
 
     groups = similar_groups(docs, id_col, text_col, width, similarity, seed)
-    known = groups.where("doc = component_id").groupBy("component_id").agg(F.min("print").alias("_text")).select(F.col("component_id").alias("_id"), "_text")
-    unknown = groups.where("component_id IS NULL").select(F.col("doc").alias("_id"), F.col("print").alias("_text")).distinct()
-    own = docs.withColumn("_print", F.xxhash64(text_col))
-    first = own.join(known.union(unknown), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_text")), "left_semi")
-    return first.dropDuplicates([id_col, "_print"]).drop("_print")
+    known = groups.where("doc = component_id").groupBy("component_id").agg(F.min("print").alias("text")).select(F.col("component_id").alias("id"), "text")
+    unknown = groups.where("component_id IS NULL").select(F.col("doc").alias("id"), F.col("print").alias("text")).distinct()
+    own = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("print"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    first = own.join(known.union(unknown), F.col("own").eqNullSafe(F.col("id")) & (F.col("print") == F.col("text")), "left_semi")
+    return first.dropDuplicates(["own", "print"]).select("row.*")
