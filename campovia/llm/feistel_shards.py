@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from campovia.session import durable
 
-#: Buckets in which rows are numbered side by side; each is sorted in one task.
-NUMBERING_BUCKETS = 4096
+#: Different rows of a bucket, on average, in which rows are numbered side by side (each is sorted in one task), and the most
+#: buckets, whose offsets are broadcast.
+BUCKET_ROWS, MOST_BUCKETS = 65_536, 1_000_000
 #: Copies of one row that one task unfolds.
 COPIES_BLOCK = 65_536
 ROUNDS = 4
@@ -47,9 +48,10 @@ def numbered(df: DataFrame, columns: list[str], number: str) -> tuple[DataFrame,
     Equal rows are counted before they are shuffled and unfolded in blocks afterwards, so no row that is
     repeated very often lands in one task.
     """
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(NUMBERING_BUCKETS))
-    kinds = durable(df.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_bucket", bucket))
-    totals = kinds.groupBy("_bucket").agg(F.sum("_copies").alias("_own"))  # at most NUMBERING_BUCKETS rows
+    counted = durable(df.groupBy(*columns).agg(F.count("*").alias("_copies")))
+    buckets = min(MOST_BUCKETS, -(-counted.count() // BUCKET_ROWS)) or 1
+    kinds = counted.withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
+    totals = kinds.groupBy("_bucket").agg(F.sum("_copies").alias("_own"))  # at most MOST_BUCKETS rows
     rows = totals.agg(F.coalesce(F.sum("_own"), F.lit(0))).first()[0]
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bucket", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_offset"))

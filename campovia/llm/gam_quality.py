@@ -215,7 +215,8 @@ def learn(
 
 
 def scored(docs: DataFrame, model: Gam, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs, all columns and rows, with the score of each whole text in a column out, which docs may not have; null texts score as empty ones."""
+    """docs, all columns and rows, with the score of each whole text in a column out, in place of one of that name; null texts score as empty ones."""
+    docs = docs.drop(out)
     names = docs.columns
     at = names.index(text_col)
 
@@ -233,8 +234,6 @@ def classify(docs: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5 on, else 0).
 
     Every row is kept; null and empty texts are scored as empty ones; repeated rows score alike; the label tables, ids and
-    other columns are no inputs. Columns of docs called score or predicted are an error. An empty table gives an empty result.
+    other columns are no inputs. Columns of docs called score or predicted are replaced. An empty table gives an empty result.
     """
-    if clash := {"score", "predicted"} & set(docs.columns):
-        raise ValueError(f"docs may not have columns called {sorted(clash)}")
-    return scored(docs, model, text_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored(docs.drop("predicted"), model, text_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Children of an inner node, and records of a file on average.
-FANOUT, FILE_RECORDS = 16, 4096
+from campovia.session import durable
+
+#: Children of an inner node, records of a file on average, and files for pages without an id.
+FANOUT, FILE_RECORDS, UNNUMBERED = 16, 4096, 65_536
 
 
 def record_bytes(url: Column, payload: Column) -> Column:
@@ -24,9 +26,9 @@ def record_bytes(url: Column, payload: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit(b"\r\n\r\n"))
 
 
-def file_of(number: Column, file_records: int) -> Column:
-    """The file of a page: runs of file_records ids; null ids make a file of their own (-1)."""
-    return F.coalesce(F.floor(number / file_records), F.lit(-1)).cast("long")
+def file_of(number: Column, url: Column, file_records: int) -> Column:
+    """The file of a page: runs of file_records ids. Pages without an id are dealt by their url to UNNUMBERED files below all others that ids from 0 on have."""
+    return F.coalesce(F.floor(number / file_records).cast("long"), -1 - F.pmod(F.xxhash64(url), F.lit(UNNUMBERED)))
 
 
 def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
@@ -34,9 +36,10 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Null urls and pages are empty ones. Repeated rows are records each. Other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("id"), record_bytes(F.col(url_col), F.col(html_col)).alias("data"))
+    file = file_of(F.col(id_col), F.col(url_col), file_records)
+    rows = pages.select(F.col(id_col).alias("id"), file.alias("file"), record_bytes(F.col(url_col), F.col(html_col)).alias("data"))
     order = Window.partitionBy("file").orderBy("id", F.sha2("data", 256))
-    numbered = rows.withColumn("file", file_of(F.col("id"), file_records)).withColumn("record", (F.row_number().over(order) - 1).cast("long"))
+    numbered = rows.withColumn("record", (F.row_number().over(order) - 1).cast("long"))
     return numbered.select("file", "record", "data")
 
 
@@ -51,8 +54,9 @@ def laid_out(rows: DataFrame, order: list[str]) -> DataFrame:
 def leaves_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
     """(file, node, start, stop, hash, id): the leaves of the records that to_records makes; bytes are hashed in the scan and go no further."""
     data = record_bytes(F.col(url_col), F.col(html_col))
-    rows = pages.select(F.col(id_col).alias("id"), F.octet_length(data).cast("long").alias("size"), F.sha2(data, 256).alias("hash"))
-    return laid_out(rows.withColumn("file", file_of(F.col("id"), file_records)), ["id", "hash"])
+    file = file_of(F.col(id_col), F.col(url_col), file_records)
+    rows = pages.select(F.col(id_col).alias("id"), file.alias("file"), F.octet_length(data).cast("long").alias("size"), F.sha2(data, 256).alias("hash"))
+    return laid_out(rows, ["id", "hash"])
 
 
 def leaves_of_records(records: DataFrame) -> DataFrame:
@@ -81,10 +85,10 @@ def levels_for(records: int) -> int:
 
 
 def merkle(leaf_rows: DataFrame, levels: int) -> list[DataFrame]:
-    """All levels of every file's tree, leaves first, single roots last."""
+    """All levels of every file's tree, leaves first, single roots last. Each level is written once, so that none is made again for the one above or for an audit."""
     tree = [leaf_rows]
     for _ in range(levels):
-        tree.append(parents(tree[-1]))
+        tree.append(durable(parents(tree[-1])))
     return tree
 
 
@@ -95,7 +99,8 @@ def audit(leaves_a: DataFrame, leaves_b: DataFrame, file_records: int = FILE_REC
     of FANOUT children a node; roots are compared first, and only below nodes that differ are the children compared,
     down to the records. Returns (file, node, fault, a_start, a_stop, b_start, b_stop) and (file, root). fault is
     altered (other bytes), moved (the same bytes at other offsets), missing_in_a or missing_in_b; a record whose
-    offsets another one's fault shifts is moved. Equal replicas and empty ones give no faults.
+    offsets another one's fault shifts is moved. Equal replicas and empty ones give no faults. Every level of the trees, and of the descent,
+    is written when this is called; leaves are read once for each use, so they had better be written too.
     """
     most = max(x.agg(F.coalesce(F.max("node"), F.lit(0))).first()[0] for x in (leaves_a, leaves_b)) + 1
     levels = levels_for(max(most, file_records))
@@ -108,7 +113,7 @@ def audit(leaves_a: DataFrame, leaves_b: DataFrame, file_records: int = FILE_REC
             a, b = (x.withColumn("up", F.floor(F.col("node") / FANOUT)).join(up, ["file", "up"], "left_semi").drop("up") for x in (a, b))
         left = a.select("file", "node", F.struct("start", "stop", "hash").alias("a"))
         right = b.select("file", "node", F.struct("start", "stop", "hash").alias("b"))
-        wrong = left.join(right, ["file", "node"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+        wrong = durable(left.join(right, ["file", "node"], "full").where(~F.col("a").eqNullSafe(F.col("b"))))
     fault = (
         F.when(F.col("a").isNull(), "missing_in_a").when(F.col("b").isNull(), "missing_in_b").when(F.col("a.hash") == F.col("b.hash"), "moved").otherwise("altered")
     )

@@ -1,11 +1,12 @@
 """The pipeline's stages, one by one and together."""
 
 import public_tokenizers
+from test_near_dedup import kept_ids
 from test_texts import brute_lines
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from campovia.llm import gam_quality, simhash_dedup
+from campovia.llm import gam_quality
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -41,22 +42,31 @@ def test_changed_lengths(spark):
 
 
 def test_run_against_brute_force(spark):
+    """Scores from the model, line dedup by its definition, exact similarities of all pairs, and the tokenizer's own counts."""
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = gam_quality.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = [row for row in rows if model.score(gam_quality.matrix([row[1].encode()]))[0] >= 0.5]
     cut = [(d, t) for d, t, _ in brute_lines(kept)]
-    prints = {d: int.from_bytes(simhash_dedup.simhash(t.encode(), 5, 42, 2).astype(">u8").tobytes(), "big") for d, t in cut}
-    label = {d: d for d in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a, x in prints.items():
-            for b, y in prints.items():
-                if label[b] < label[a] and bin(x ^ y).count("1") <= 19:
-                    label[a], changed = label[b], True
+    stay = kept_ids(cut)
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    want = {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in cut if label[d] == d}
+    want = {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in cut if d in stay}
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert got.groupby("doc_id").length.sum().to_dict() == want and 0 < len(want) < len(kept) < len(rows)
+
+
+def test_odd_documents(spark):
+    """Null and repeated rows, null ids and clashing columns go through all stages; an empty table gives an empty one."""
+    text = " ".join(f"word{i % 40} and{i % 7}, then{i % 11}" for i in range(120)) + "."
+    rows = [(1, text), (1, text), (2, text + " end"), (3, None), (None, text.upper()), (4, ""), (5, "x"), (6, text.replace("word", "other"))]
+    names = "score predicted removed_lines _id _own _print rest row body own gone n_chars".split()
+    docs = spark.createDataFrame([(*r, *([7] * len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, FOLDER)
+        assert found.columns == docs.columns and all(tuple(r)[2:-1] == (7,) * (len(names) - 1) for r in found.collect())
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    near = {(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect()}
+    assert near == {(1, text), (3, None), (5, "x"), (6, text.replace("word", "other"))}  # a null text and an empty one are alike
+    assert corpus_pipeline.packed(spark, docs, FOLDER).count() >= len(rows)
+    assert corpus_pipeline.packed(spark, docs.limit(0), FOLDER).count() == 0

@@ -160,6 +160,27 @@ def test_packing(spark, odd):
     assert (laid.ids.map(len) == 2048).all() and laid.used.sum() == got.length.sum()
 
 
+def test_packing_query_piece_by_piece(spark):
+    """All pieces of the query against the library: each document cut up whole, each sequence filled without gaps, first-fit decreasing in each group."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = queries.op10_packing(spark, FOLDER).toPandas()
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").toPandas()
+    ids_of = {d: np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for d, t in zip(docs.doc_id, docs.text)}
+    want = set()
+    for d, ids in ids_of.items():
+        want |= {(d, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)) for a in range(0, len(ids), 2048)}
+    assert set(zip(got.doc_id, got.start, got.length, got.ids_crc32, got.doc_tokens)) == want and len(got) == len(want)
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
+    for _, group in got.groupby(got.sequence_id // 2**32):
+        bins: list[int] = []
+        for n in sorted(group.length, reverse=True):
+            at = next((i for i, used in enumerate(bins) if used + n <= 2048), len(bins))
+            bins[at:at + 1] = [(bins[at] if at < len(bins) else 0) + n]
+        assert sorted(bins) == sorted(group.groupby("sequence_id").length.sum())
+
+
 def test_packing_wastes_little(spark):
     got = queries.op10_packing(spark, FOLDER).toPandas()
     assert got.length.sum() > 0.97 * 2048 * got.sequence_id.nunique()

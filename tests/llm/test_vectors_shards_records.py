@@ -1,10 +1,13 @@
 """Searches, sharding, fixity and the quality classifier."""
 
+import bisect
 import hashlib
+import math
+import zlib
 
 import numpy as np
 import pytest
-import zlib
+import xxhash
 from pyspark.sql import functions as F
 
 from campovia.llm import ann_adaptive, exact_topk, feistel_shards, gam_quality, queries, warc_fixity
@@ -214,5 +217,101 @@ def test_quality_edges(spark):
     one = gam_quality.learn(docs, spark.createDataFrame([(1, 1), (2, 1), (3, 1), (3, None), (None, 0)], "doc_id long, quality int"))
     assert all(r.score > 0.5 for r in gam_quality.classify(docs, one).collect())
     assert gam_quality.classify(docs.limit(0), one).count() == 0
-    with pytest.raises(ValueError):
-        gam_quality.classify(docs.withColumn("score", F.lit(1)), one)
+    clash = gam_quality.classify(docs.withColumn("score", F.lit(1)).withColumn("predicted", F.lit("x")), one)
+    assert clash.columns == ["doc_id", "text", "label", "score", "predicted"] and all(r.predicted == 1 for r in clash.collect())  # replaced
+
+
+def plain_features(text: str) -> list[float]:
+    """The classifier's features, written out once more without arrays."""
+    raw = text.encode()
+    words = raw.split()
+    if not words:
+        return [0.0] * 17
+    n, size = len(words), len(raw)
+    count = lambda members: sum(raw.count(bytes([b])) for b in members)
+    filled = [x for x in raw.split(b"\n") if x.strip()]
+    upper, lower = count(range(65, 91)), count(range(97, 123))
+    return [
+        math.log(1 + n), sum(map(len, words)) / n, len(set(words)) / n**0.9, sum(a == b for a, b in zip(words, words[1:])) / n, max(words.count(w) for w in set(words)) / n,
+        upper / (upper + lower + 1), count(b"|") / n, count(b"!") / n, count(b"#$%&*+<=>@[\\]^_`{}~/") / n, count(b"0123456789") / size, count(range(128, 256)) / size, count(b".,;:?") / n,
+        math.log(1 + size / len(filled)), 1 - len(set(filled)) / len(filled), count(b" \t\n\r\v\f") / size, sum(len(w) > 20 for w in words) / n, sum(len(w) == 1 for w in words) / n,
+    ]
+
+
+def test_quality_query_against_sums_of_tables(spark):
+    """Every score of the query is the logistic of table entries looked up one by one, for features counted in another way."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = gam_quality.learn(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.op7_gam_quality(spark, FOLDER).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = plain_features(r.text or "")
+        total = model.base + sum(t[bisect.bisect_right(c.tolist(), v)] for c, t, v in zip(model.cuts, model.tables, x))
+        for (a, b), table in zip(model.pairs, model.pair_tables):
+            total += table[bisect.bisect_right(model.pair_cuts[a].tolist(), x[a])][bisect.bisect_right(model.pair_cuts[b].tolist(), x[b])]
+        score = 1 / (1 + math.exp(-min(60, max(-60, total))))
+        mine = got[r.doc_id]
+        assert abs(mine.score - score) < 1e-6 and mine.predicted == (mine.score >= 0.5) and mine.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_boosting_lowers_the_loss_as_a_plain_stump_does():
+    """The first step of the first table is the gradient step of the best two-level tree, found by trying all of them."""
+    rng = np.random.default_rng(12)
+    g, h = rng.standard_normal(9), rng.uniform(6, 9, 9)
+    got = gam_quality.shallow_tree(g, h)
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+    best = lambda a, b: max(range(a + 1, b), key=lambda m: gain(a, m) + gain(m, b))
+    first = best(0, 9)
+    edges = [0]
+    for a, b in ((0, first), (first, 9)):
+        if b - a > 1 and gain(a, best(a, b)) + gain(best(a, b), b) > gain(a, b):
+            edges.append(best(a, b))
+        edges.append(b)
+    want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in zip(edges, edges[1:])])
+    assert np.allclose(got, want)
+
+
+def plain_place(number: int, rows: int, seed: int) -> int:
+    """The Feistel permutation and its walk in plain numbers."""
+    left_size = max(1, math.isqrt(rows))
+    right_size = -(-rows // left_size)
+
+    def keyed(value: int, key: int) -> int:
+        state = 42
+        for data in (value.to_bytes(8, "little"), seed.to_bytes(4, "little"), key.to_bytes(4, "little")):
+            state = xxhash.xxh64_intdigest(data, state)
+        return state - 2**64 if state >= 2**63 else state
+
+    while True:
+        left, right = divmod(number, right_size)
+        for k in range(feistel_shards.ROUNDS):
+            left = (left + keyed(right, 2 * k) % left_size) % left_size
+            right = (right + keyed(left, 2 * k + 1) % right_size) % right_size
+        number = left * right_size + right
+        if number < rows:
+            return number
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 1003])
+def test_places_against_plain_numbers(spark, n):
+    got = {r[0]: r[1] for r in spark.range(n).select("id", feistel_shards.place(F.col("id"), n, 42)).collect()}
+    assert got == {i: plain_place(i, n, 42) for i in range(n)}
+
+
+def test_shard_query_against_plain_numbers(spark, monkeypatch):
+    """Rows numbered by bucket and value, permuted in plain numbers, and dealt in turn."""
+    monkeypatch.setattr(feistel_shards, "BUCKET_ROWS", 50)
+    got = queries.op9_feistel_shards(spark, FOLDER).toPandas()
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    digests = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    kinds = digests.distinct().count()
+    keyed = digests.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "crc"), F.lit(-(-kinds // 50)))).toPandas().sort_values(["bucket", "doc_id", "size", "crc"])
+    want = {d: divmod(plain_place(i, len(keyed), 42), 16) for i, d in enumerate(keyed.doc_id)}
+    assert {d: (slot, shard) for d, slot, shard in zip(got.doc_id, got.slot, got.shard)} == want
+
+
+def test_pages_without_ids_are_dealt_by_url(spark):
+    pages = spark.range(500).selectExpr("CAST(NULL AS long) AS page_id", "concat('http://x/', id) AS url", "'<p>' AS html")
+    leaves = warc_fixity.leaves_of_pages(pages)
+    assert leaves.count() == 500 and leaves.where("file >= 0").count() == 0 and leaves.groupBy("file").count().agg(F.max("count")).first()[0] <= 3
