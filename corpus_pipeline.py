@@ -12,21 +12,33 @@ from campovia.session import durable, table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """Id, text and all other columns as one, so that columns which operators add meet none of their names."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("0"), *(docs[c] for c in docs.columns if c not in ("doc_id", "text"))).alias("others"))
+
+
+def _unpacked(found: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The columns again, some of them changed."""
+    return found.select(*((F.col(c) if c in ("doc_id", "text") else changed.get(c, F.col("others")[c])).alias(c) for c in columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labelled ones that are not held out, does not reject."""
+    """Documents that the classifier, learnt from the labelled ones that are not held out, does not reject. Null texts count as empty."""
     model = gam_quality.learn(docs, table(spark, sf_dir, "labels"))
-    return gam_quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    return _unpacked(gam_quality.classify(_carried(docs), model).where("predicted = 1"), docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of repeated three-line windows; n_chars is brought up to date."""
-    cut = line_dedup.remove_repeated_windows(docs)
-    changed = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", changed).select(*docs.columns)
+    cut = line_dedup.remove_repeated_windows(_carried(docs))
+    if "n_chars" not in docs.columns:
+        return _unpacked(cut, docs.columns)
+    changed = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("others.n_chars"))
+    return _unpacked(cut, docs.columns, n_chars=changed)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more, candidates by SimHash deletion variants."""
     return simhash_dedup.keep_one(docs)
 
 
@@ -42,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what a stage leaves is written before the next one reads it."""
+    """All stages in turn; what a stage leaves is written before the next one reads it.
+
+    Nulls, empty and repeated rows and columns of any names are as the operators define; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
