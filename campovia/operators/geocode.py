@@ -12,6 +12,7 @@ from campovia.functions.geo import REGION_BOX, at_city_centre, box, generic, poi
 from campovia.functions.ids import cep_fits_state, geocoding_reason
 from campovia.functions.text import cache_key, contains_all
 from campovia.operators.dedup import append_missing, first_by
+from campovia.operators.reports import one_a_key
 from campovia.operators.spatial import point_in_place
 
 # Result kinds that name more than an address, and sources and statuses.
@@ -29,12 +30,12 @@ def cascade(requests: DataFrame, key: str, uf: str, sources: list[tuple[str, Dat
     """requests (unique keys) with lat, lon, source: the first source with a believed answer, else "falha".
 
     An answer is believed if it is not generic, lies in the state's box, is of a fine enough kind, and, with polygons (table, keys), lies in its place:
-    an unknown place is not. The first source, the cache, is checked for the box alone.
+    an unknown place is not. The first source, the cache, is checked for the box alone. Of several answers of a source for a key the smallest counts.
     """
     out = requests
     for i, (_, table) in enumerate(sources):
         kind = F.col("kind") if "kind" in table.columns else F.lit(None).cast("string")
-        out = out.join(table.select(key, F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon"), kind.alias("kind")).alias(f"_s{i}")), key, "left")
+        out = out.join(one_a_key(table, [key], [F.col("lat").alias("lat"), F.col("lon").alias("lon"), kind.alias("kind")], f"_s{i}"), key, "left")
         lat, lon = F.col(f"_s{i}.lat"), F.col(f"_s{i}.lon")
         good = point_status(lat, lon, F.col(uf)) == "ok"
         if i:

@@ -25,22 +25,37 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
-def sorted_median(values: Column) -> Column:
-    """Element n // 2 of the values in order."""
-    s = F.array_sort(values)
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def median_rank(n: Column) -> Column:
+    """The place, from 0, of element n // 2 of n values in order."""
+    return F.floor(n / 2)
 
 
-def sorted_p95(values: Column) -> Column:
-    """Element int(0.95 n) - 1 of the values in order; the only one, if there is one."""
-    s = F.array_sort(values)
-    return F.when(F.size(s) < 2, F.get(s, F.lit(0))).otherwise(F.get(s, F.floor(F.size(s) * 0.95).cast("int") - 1))
+def p95_rank(n: Column) -> Column:
+    """The place of element int(0.95 n) - 1; of the only one, if there is one."""
+    return F.when(n < 2, 0).otherwise(F.floor(n * 0.95) - 1)
 
 
-def nearest_rank_p95(values: Column) -> Column:
-    """Element round(0.95 (n - 1)), halves to even, of the values in order; 0 without values."""
-    s = F.array_sort(values)
-    return F.when(F.size(s) == 0, F.lit(0.0)).otherwise(F.get(s, F.bround(F.lit(0.95) * (F.size(s) - 1)).cast("int")))
+def nearest_p95_rank(n: Column) -> Column:
+    """The place of element round(0.95 (n - 1)), halves to even."""
+    return F.bround(F.lit(0.95) * (n - 1))
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, **ranks) -> DataFrame:
+    """(keys, ...): for each key the value at each named place among its values in order, a place being a function of their number.
+
+    Equal values are counted first, and a running count over the different ones finds the places: no key's values are gathered in a
+    row. Null values do not count; keys with null values only are left out.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    placed = counted.withColumn("_upto", upto).withColumn("_total", total)
+    return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > rank(F.col("_total")), F.col(value))).alias(name) for name, rank in ranks.items()])
+
+
+def one_a_key(df: DataFrame, keys: list[str], columns: list[Column], name: str) -> DataFrame:
+    """(keys, name): the columns as a struct, once a key: of several rows of a key the smallest struct, so that a join by the key repeats no row."""
+    return df.groupBy(*keys).agg(F.min(F.struct(*columns)).alias(name))
 
 
 def weighted_centre(df: DataFrame, key: str, lat: str, lon: str, weight: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from campovia.functions.geo import haversine_km
 from campovia.operators import heuristics as h
-from campovia.operators.reports import weighted_centre
+from campovia.operators.reports import one_a_key, weighted_centre
 from campovia.operators.territory import DEFAULTS, per_group
 
 #: A leg under these is not believed (km, minutes); a route of fewer than two points takes so many minutes.
@@ -53,13 +53,13 @@ def tour_costs(sequenced: DataFrame, route: list[str], seq: str, lat: str, lon:
 def pair_costs(pairs: DataFrame, cache: DataFrame, providers: list[DataFrame], keys: list[str], here: tuple[str, str, str, str], alpha: float, kmh: float) -> DataFrame:
     """pairs with distancia_km, tempo_min, fonte: from the cache, else the first provider whose answer is believed, else great circle times alpha.
 
-    cache and providers: (keys, km, minutes[, fonte]) with unique keys. Distances to 3, minutes to 1 decimal.
+    cache and providers: (keys, km, minutes[, fonte]); of several answers for a key the shortest counts. Distances to 3, minutes to 1 decimal.
     """
     out = pairs
     steps = []
     for i, source in enumerate([cache, *providers]):
         name = "cache" if i == 0 else f"provider{i}"
-        own = source.select(*keys, F.struct(F.col("km").alias("km"), F.col("minutes").alias("minutes"), F.lit(name).alias("fonte")).alias(f"_s{i}"))
+        own = one_a_key(source, keys, [F.col("km").alias("km"), F.col("minutes").alias("minutes"), F.lit(name).alias("fonte")], f"_s{i}")
         out = out.join(own, keys, "left")
         believed = (F.col(f"_s{i}.km") >= LEAST_KM) & (F.col(f"_s{i}.minutes") >= LEAST_MINUTES)
         steps.append(F.when(believed, F.col(f"_s{i}")) if i else F.col(f"_s{i}"))
@@ -150,7 +150,7 @@ def split_routes(stops: DataFrame, cluster: list[str], key: str, lat: str, lon:
                 fits = cost["minutes"] <= s["day_minutes"] and cost["km"] <= s["day_km"]
                 parts.append(part.assign(rota=r, seq=np.arange(1, len(part) + 1), n_pdvs=len(part), km=cost["km"], minutes=cost["minutes"], status="OK" if fits else "EXCEDIDO"))
             return pd.concat(parts)[[*cluster, "rota", "seq", key, "n_pdvs", "km", "minutes", "status"]]
-        except Exception as error:  # one bad group must not end the others
+        except (ValueError, ArithmeticError) as error:  # one group of bad data must not end the others
             return pdf[[*cluster, key]].assign(rota=None, seq=None, n_pdvs=len(pdf), km=np.nan, minutes=np.nan, status=f"erro: {error}")[[*cluster, "rota", "seq", key, "n_pdvs", "km", "minutes", "status"]]
 
     kinds = {c: stops.schema[c].dataType.simpleString() for c in [*cluster, key]}

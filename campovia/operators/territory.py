@@ -193,7 +193,7 @@ def with_consultants(df: DataFrame, group: str, key: str, lat: str, lon: str, co
     """(group, key, consultor, distancia_km, excedente): each group's points assigned to the consultants (id, lat, lon: a short list, taken to the driver).
 
     Without a band the nearest; greedy: in key order the nearest with room; else the assignment of least total distance within
-    the band, which is relaxed where it cannot hold.
+    the band, which is relaxed where it cannot hold. Points without coordinates have no consultant and are not in excess.
     """
     staff = consultants.orderBy("id").limit(CENTRE_BLOCK + 1).collect()
     if not staff or len(staff) > CENTRE_BLOCK:
@@ -214,8 +214,12 @@ def with_consultants(df: DataFrame, group: str, key: str, lat: str, lon: str, co
         return pd.DataFrame({group: pdf[group], key: pdf[key], "consultor": [names[j] for j in at], "distancia_km": d[np.arange(len(xy)), at], "excedente": over})
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
-    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, consultor {consultants.schema['id'].dataType.simpleString()}, distancia_km double, excedente boolean"
-    return per_group(df.select(group, key, lat, lon), [group], key, lat, lon, run, schema)
+    staff_kind = consultants.schema["id"].dataType.simpleString()
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, consultor {staff_kind}, distancia_km double, excedente boolean"
+    nowhere = df.where(F.col(lat).isNull() | F.col(lon).isNull()).select(
+        group, key, F.lit(None).cast(staff_kind).alias("consultor"), F.lit(None).cast("double").alias("distancia_km"), F.lit(False).alias("excedente")
+    )
+    return per_group(df.select(group, key, lat, lon), [group], key, lat, lon, run, schema).unionByName(nowhere)
 
 
 def band_status(n: Column, least: int | None, most: int | None) -> tuple[Column, Column]:
@@ -298,8 +302,9 @@ def sector_summary(df: DataFrame, group: list[str], lat: str, lon: str) -> DataF
     """Each sector's centre, size, and median and 95th-percentile distance from the centre."""
     mean = df.groupBy(*group).agg(F.avg(lat).alias("centro_lat"), F.avg(lon).alias("centro_lon"))
     km = haversine_km(F.col("centro_lat"), F.col("centro_lon"), F.col(lat), F.col(lon))
-    g = df.join(mean, group).groupBy(*group, "centro_lat", "centro_lon").agg(F.count("*").alias("n_pdvs"), F.collect_list(km).alias("_d"))
-    return g.select(*group, "centro_lat", "centro_lon", "n_pdvs", reports.sorted_median(F.col("_d")).alias("raio_med_km"), reports.sorted_p95(F.col("_d")).alias("raio_p95_km"))
+    away = df.join(mean, group).select(*group, "centro_lat", "centro_lon", km.alias("_km"))
+    sizes = away.groupBy(*group, "centro_lat", "centro_lon").agg(F.count("*").alias("n_pdvs"))
+    return sizes.join(reports.ranked_values(away, group, "_km", raio_med_km=reports.median_rank, raio_p95_km=reports.p95_rank), group, "left")
 
 
 def passive_clusters(df: DataFrame, group: str, key: str, lat: str, lon: str, weight: str, kmh: float = 35.0, minutes: float = 60.0, most: int | None = None) -> DataFrame:
@@ -370,9 +375,10 @@ def manual_sectors(points: DataFrame, choices: DataFrame, consultants: DataFrame
     if not choices.join(active.select(F.col("id").alias("consultor")), "consultor", "left_anti").isEmpty():
         raise ValueError("a chosen consultant is unknown or inactive")
     rows = choices.join(points.select(key, lat, lon), key).join(active.select(F.col("id").alias("consultor"), F.col("lat").alias("_clat"), F.col("lon").alias("_clon")), "consultor")
-    km = haversine_km(F.col(lat), F.col(lon), F.col("_clat"), F.col("_clon"))
-    g = rows.groupBy("consultor").agg(F.count("*").alias("n_pdvs"), F.avg(km).alias("m"), F.collect_list(km).alias("d"))
-    return g.select("consultor", "n_pdvs", F.round("m", 3).alias("raio_med_km"), F.round(reports.nearest_rank_p95(F.col("d")), 3).alias("raio_p95_km"))
+    away = rows.select("consultor", haversine_km(F.col(lat), F.col(lon), F.col("_clat"), F.col("_clon")).alias("_km"))
+    means = away.groupBy("consultor").agg(F.count("*").alias("n_pdvs"), F.round(F.avg("_km"), 3).alias("raio_med_km"))
+    far = reports.ranked_values(away, ["consultor"], "_km", raio_p95_km=reports.nearest_p95_rank)
+    return means.join(far, "consultor", "left").withColumn("raio_p95_km", F.round(F.coalesce("raio_p95_km", F.lit(0.0)), 3))
 
 
 ALGORITHMS: dict[str, Callable[..., DataFrame]] = {

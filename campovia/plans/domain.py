@@ -653,7 +653,7 @@ def _sheet(spark, sf_dir):
 @query("geo20_clean_points", "SELECT c_custkey AS linha, 1234.56::DOUBLE AS pdv_vendas, 510 AS abre, TRUE AS estrategico, c_custkey % 20 = 0 AS sintetico FROM customer WHERE c_custkey % 20 <> 1 AND c_custkey % 30 <> 2")
 def geo20(spark, sf_dir):
     good, _ = clean.clean_points(_sheet(spark, sf_dir), "linha")
-    return good.select("linha", "pdv_vendas", F.col("janela_atendimento_inicio").alias("abre"), F.col("is_estrategico").alias("estrategico"), (F.substring("cnpj", 9, 4) == "0001").alias("sintetico")).withColumn("sintetico", F.col("linha") % 20 == 0)
+    return good.select("linha", "pdv_vendas", F.col("janela_atendimento_inicio").alias("abre"), F.col("is_estrategico").alias("estrategico"), (F.col("cnpj") != F.lpad((F.col("linha") * 7919).cast("string"), 14, "0")).alias("sintetico"))
 
 
 @query("geo20_clean_rejected", "SELECT c_custkey AS linha, 'campo_obrigatorio_logradouro' AS motivo_invalidade FROM customer WHERE c_custkey % 30 = 2 UNION ALL SELECT 1, 'cnpj_duplicado_arquivo'")

@@ -99,7 +99,7 @@ def resolved_ceps(ceps: DataFrame, cache: DataFrame, providers: list[DataFrame])
     """(cep, cidade, uf) from the cache, else the first provider with a city and two state letters; unresolved postcodes are left out."""
     out = ceps.select("cep").distinct()
     for i, source in enumerate([cache, *providers]):
-        good = source.where("cidade IS NOT NULL AND length(uf) = 2").select("cep", F.struct("cidade", "uf").alias(f"_s{i}"))
+        good = source.where("cidade IS NOT NULL AND length(uf) = 2").groupBy("cep").agg(F.min(F.struct("cidade", "uf")).alias(f"_s{i}"))
         out = out.join(good, "cep", "left")
     best = F.coalesce(*[F.col(f"_s{i}") for i in range(len(providers) + 1)])
     return out.withColumn("_b", best).where("_b IS NOT NULL").select("cep", "_b.cidade", "_b.uf")
