@@ -164,26 +164,33 @@ def run_status(routes: DataFrame) -> DataFrame:
     return routes.agg(F.when(failed, "partial_failed").when(over, "done_with_warnings").otherwise("done").alias("status"))
 
 
-def time_window_routes(stops: DataFrame, cluster: str, key: str, lat: str, lon: str, opens: str, closes: str, service: str, strategic: str, capacity: int = 12, strategic_capacity: int = 4, day: tuple[float, float] = (480.0, 1080.0), kmh: float = 35.0, alpha: float = 1.3) -> DataFrame:
-    """(cluster, key, rota, seq, chegada, status): routes within opening times; viavel_sla, or fallback_excedente for what no route can serve in its window.
+def time_window_routes(stops: DataFrame, cluster: str, key: str, lat: str, lon: str, opens: str, closes: str, service: str, strategic: str, capacity: int = 12, strategic_capacity: int = 4, day: tuple[float, float] = (480.0, 1080.0), kmh: float = 35.0, alpha: float = 1.3, strategic_minutes: float = math.inf, strict: bool = False, relaxed: bool = False) -> DataFrame:
+    """(cluster, key, rota, seq, chegada, saida, status): routes within opening times, with when service begins and ends at each stop.
 
-    Missing windows are the whole day, missing service times 30 minutes.
+    viavel_sla where a route's windows hold, else fallback_excedente: with relaxed a stop that no strict route can serve is put in a route with open
+    windows and a longer day, without it such stops come without a route. Missing windows are the whole day, or with strict an error;
+    missing service times are 30 minutes. A stop counts as strategic too if its service takes strategic_minutes or more.
     """
+    if strict and not stops.where(F.col(opens).isNull() | F.col(closes).isNull()).isEmpty():
+        raise ValueError("a stop has no time window")
 
     def run(pdf: pd.DataFrame, xy: np.ndarray) -> pd.DataFrame:
+        minutes = pdf[service].fillna(30.0).to_numpy(float)
         found = h.time_window_routes(
-            xy, xy.mean(0), pdf[opens].fillna(day[0]).to_numpy(float), pdf[closes].fillna(day[1]).to_numpy(float), pdf[service].fillna(30.0).to_numpy(float),
-            pdf[strategic].fillna(False).to_numpy(bool), capacity, strategic_capacity, day, kmh, alpha,
+            xy, xy.mean(0), pdf[opens].fillna(day[0]).to_numpy(float), pdf[closes].fillna(day[1]).to_numpy(float), minutes,
+            pdf[strategic].fillna(False).to_numpy(bool) | (minutes >= strategic_minutes), capacity, strategic_capacity, day, kmh, alpha, relaxed,
         )
-        rows = [(p, r, i, t, "viavel_sla") for r, (own, times) in enumerate(zip(found["routes"], found["times"]), 1) for i, (p, t) in enumerate(zip(own, times), 1)]
-        rows += [(p, None, None, None, "fallback_excedente") for p in found["dropped"]]
-        out = pd.DataFrame(rows, columns=["i", "rota", "seq", "chegada", "status"])
+        status = {False: "viavel_sla", True: "fallback_excedente"}
+        laid = enumerate(zip(found["routes"], found["times"], found["fallback"]), 1)
+        rows = [(p, r, i, t, t + minutes[p], status[beyond]) for r, (own, times, beyond) in laid for i, (p, t) in enumerate(zip(own, times), 1)]
+        rows += [(p, None, None, None, None, "fallback_excedente") for p in found["dropped"]]
+        out = pd.DataFrame(rows, columns=["i", "rota", "seq", "chegada", "saida", "status"])
         out.insert(0, key, pdf[key].to_numpy()[out["i"].to_numpy(int)])
         out.insert(0, cluster, pdf[cluster].iloc[0])
         return out.drop(columns="i")
 
     kinds = {c: stops.schema[c].dataType.simpleString() for c in (cluster, key)}
-    return per_group(stops.select(cluster, key, lat, lon, opens, closes, service, strategic), [cluster], key, lat, lon, run, f"{cluster} {kinds[cluster]}, {key} {kinds[key]}, rota long, seq long, chegada double, status string")
+    return per_group(stops.select(cluster, key, lat, lon, opens, closes, service, strategic), [cluster], key, lat, lon, run, f"{cluster} {kinds[cluster]}, {key} {kinds[key]}, rota long, seq long, chegada double, saida double, status string")
 
 
 def assign_sellers(routes: DataFrame, group: str, key: str, lat: str, lon: str, days: int, freq: int) -> DataFrame:

@@ -60,7 +60,10 @@ def test_time_windows_hold():
     assert found["dropped"] == [0] and sorted(sum(found["routes"], [])) == list(range(1, n))
     for route, times in zip(found["routes"], found["times"]):
         assert len(route) <= 4 and sum(i % 3 == 0 for i in route) <= 2
-        assert all(opens[i] <= t <= closes[i] for i, t in zip(route, times))
+        assert all(opens[i] <= t <= closes[i] - 10 for i, t in zip(route, times))
+    late = heuristics.time_window_routes(XY[:n], XY[:n].mean(0), opens, closes, np.full(n, 10.0), np.arange(n) % 3 == 0, 4, 2, (480, 1400), 80.0, 1.0, relaxed=True)
+    assert late["dropped"] == [] and sorted(sum(late["routes"], [])) == list(range(n)) and any(late["fallback"])
+    assert all(f for r, f in zip(late["routes"], late["fallback"]) if 0 in r)
 
 
 @pytest.mark.parametrize("mode", list(routing.SPLITTERS))
