@@ -18,8 +18,8 @@ WORD = 64
 HASH_BLOCK, PROBE_BLOCK = 16_384, 256
 #: Buckets up to this size are compared in shifted vectors; larger ones are cut further and what is dense is searched breadth first.
 SMALL_BUCKET = 64
-#: Comparisons made at once in a search.
-AT_ONCE = 4_000_000
+#: Comparisons made at once in a search, and links that a task holds before it joins them.
+AT_ONCE, LINKS_HELD = 4_000_000, 100_000
 #: Multipliers of the 64-bit mixer that makes further hashes of a shingle from its first one.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -247,13 +247,16 @@ def close_pairs(fps: DataFrame, max_bits: int, words: int, each: int | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # the bucket that the next batch may continue
 
-        def links(cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        none = np.empty((0, words), np.uint64)
+        found = [(none, none)]  # links of the buckets so far, each node's to the smallest it is connected with
+
+        def links(cols: list[tuple[np.ndarray, ...]]) -> None:
             slots, parts = (np.concatenate([x[i] for x in cols]) for i in (0, 1))
             values = np.concatenate([x[2] for x in cols], axis=1)
             a, b = _bucket_links(slots, parts, values, max_bits, cuts)
-            nodes, roots = rooted(values[:, a].T, values[:, b].T)
-            ends = [[row.astype(">u8").tobytes().hex() for row in side] for side in (nodes, roots)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ends], ["a", "b"])
+            found.append((values[:, a].T, values[:, b].T))
+            if sum(len(x) for x, _ in found[1:]) > max(LINKS_HELD, len(found[0][0])):
+                found[:] = [rooted(*(np.concatenate(x) for x in zip(*found)))]
 
         for batch in batches:
             if not batch.num_rows:
@@ -262,15 +265,20 @@ def close_pairs(fps: DataFrame, max_bits: int, words: int, each: int | None = No
             values = np.stack(rest).view(np.uint64)
             cut = len(slots) - int(((slots == slots[-1]) & (parts == parts[-1])).sum())
             if cut:
-                yield links([*held, (slots[:cut], parts[:cut], values[:, :cut])])
+                links([*held, (slots[:cut], parts[:cut], values[:, :cut])])
                 held = []
             elif held and (held[-1][0][-1], held[-1][1][-1]) != (slots[0], parts[0]):
-                yield links(held)
+                links(held)
                 held = []
             held.append((slots[cut:], parts[cut:], values[:, cut:]))
         if held:
-            yield links(held)
+            links(held)
+        nodes, roots = rooted(*(np.concatenate(x) for x in zip(*found)))
+        for at in range(0, len(nodes), 10_000):
+            ends = [[row.astype(">u8").tobytes().hex() for row in side[at : at + 10_000]] for side in (nodes, roots)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ends], ["a", "b"])
         held.clear()
+        found.clear()
         give_back()
 
     return index.repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(run, "a string, b string").distinct()
