@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from campovia.session import bucketed, give_back, per_process
 
 #: Text and rows after which a chunk of documents closes, and list entries that one part of the word shuffle takes on average.
-CHUNK_CHARS, CHUNK_ROWS, PART_WORDS = 14_000_000, 100_000, 1_000_000
+CHUNK_CHARS, CHUNK_ROWS, PART_WORDS = 8_000_000, 100_000, 500_000
 #: Values of the 32-bit hash by which words are dealt.
 HASHES = 2**32
 
@@ -217,6 +217,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         laid = np.repeat(starts[places] - ends[:-1], length)
         laid += np.arange(ends[-1])
         out = ids[laid]
+        del found, places, length, laid
         edges = ends[np.concatenate([[0], np.cumsum(np.array(chunk["sizes"], np.int64))])].astype(np.int32)
         raw = pa.py_buffer(out)
         columns = [
@@ -224,7 +225,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             pa.ListArray.from_arrays(pa.array(edges), pa.Array.from_buffers(pa.int32(), len(out), [None, raw])),
             pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64) * 4), raw]).cast(pa.binary()),
         ]
-        del places, length, laid
         give_back()
         return pa.Table.from_arrays(columns, ["doc", "ids", "packed"])
 
