@@ -13,8 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Centres are the suppliers up to this key.
-CENTRES = 20
+#: Consultants of the team, a short list by its meaning.
+TEAM = 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -46,21 +46,22 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres or consultants: (cid, clat, clon, cname); at most CENTRES + 1 rows."""
-    return every_centre(spark, sf_dir).where(F.col("cid") <= CENTRES)
-
-
-def every_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same columns of all suppliers: grows with the table."""
+    """Centres: (cid, clat, clon, cname) of all suppliers; grows with the table."""
     s = table(spark, sf_dir, "supplier")
     return s.select(F.col("s_suppkey").alias("cid"), degrees("s_suppkey", 6151, 60000, -25).alias("clat"), degrees("s_suppkey", 15485, 80000, -53).alias("clon"), F.col("s_name").alias("cname"))
 
 
+def team(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consultants of the assignments, as (id, lat, lon): the TEAM suppliers of the highest balance, a top-k report of the table."""
+    best = table(spark, sf_dir, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(TEAM).select(F.col("s_suppkey").alias("cid"))
+    return centres(spark, sf_dir).join(best, "cid", "left_semi").select(F.col("cid").alias("id"), F.col("clat").alias("lat"), F.col("clon").alias("lon"))
+
+
 POINTS = """points AS (SELECT c_custkey AS id, -25::DOUBLE + ((c_custkey * 7919) % 60000)::DOUBLE / 10000::DOUBLE AS lat,
   -53::DOUBLE + ((c_custkey * 104729) % 80000)::DOUBLE / 10000::DOUBLE AS lon, c_acctbal AS sales, c_nationkey AS state, c_mktsegment AS city FROM customer)"""
 CENTRES_SQL = """centres AS (SELECT s_suppkey AS cid, -25::DOUBLE + ((s_suppkey * 6151) % 60000)::DOUBLE / 10000::DOUBLE AS clat,
-  -53::DOUBLE + ((s_suppkey * 15485) % 80000)::DOUBLE / 10000::DOUBLE AS clon, s_name AS cname FROM supplier WHERE s_suppkey <= 20)"""
-WHOLE_CENTRES = (" WHERE s_suppkey <= 20", "")
+  -53::DOUBLE + ((s_suppkey * 15485) % 80000)::DOUBLE / 10000::DOUBLE AS clon, s_name AS cname FROM supplier)"""
+TEAM_SQL = CENTRES_SQL.removesuffix(")") + f" ORDER BY s_acctbal DESC, s_suppkey LIMIT {TEAM})"
 #: UTC dates of the order table's timestamps as days.
 DAY = "CAST({c} AS DATE)"
 

@@ -9,22 +9,22 @@ from campovia.functions import dates, geo
 from campovia.functions.ids import registry_cnpj
 from campovia.functions.text import cache_key
 from campovia.operators import agenda, clean, geocode, reports, routing, spatial, territory
-from campovia.plans.base import ADDRESSES, CENTRES_SQL, POINTS, SQL, WHOLE_CENTRES, address_parts, centres, every_centre, points, query
+from campovia.plans.base import ADDRESSES, CENTRES_SQL, POINTS, TEAM_SQL, address_parts, centres, points, query, team
 from campovia.session import table
 
 _KM = geo.haversine_sql("lat", "lon", "clat", "clon")
 NEAREST = f"nearest AS (SELECT * FROM (SELECT p.*, cid, cname, clat, clon, {_KM} AS km, row_number() OVER (PARTITION BY id ORDER BY {_KM}, cid) AS rn FROM points p, centres) WHERE rn = 1)"
 
 
-def _nearest(spark, sf_dir, source=centres):
-    p = points(spark, sf_dir)
-    if source is every_centre:  # points x centres distances, so a small file of points is shared out
-        p = p.repartition(4 * spark.sparkContext.defaultParallelism)
-    return spatial.nearest_centre(p, source(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
+def nearest(spark, sf_dir):
+    """Points at the nearest of all centres. The work is points x centres distances, so a small file of points is shared out."""
+    p = points(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
+    return spatial.nearest_centre(p, centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
 
 
-def _consultants(spark, sf_dir):
-    return centres(spark, sf_dir).select(F.col("cid").alias("id"), F.col("clat").alias("lat"), F.col("clon").alias("lon"))
+def _nearest_of_team(spark, sf_dir):
+    staff = team(spark, sf_dir).select(F.col("id").alias("cid"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    return spatial.nearest_centre(points(spark, sf_dir), staff, "lat", "lon", "cid", "clat", "clon")
 
 
 @query("report_sector_summary", f"""WITH {POINTS}, {CENTRES_SQL}, {NEAREST}, g AS (SELECT cid, count(*) AS n_pdvs, round(avg(km), 4) AS dist_media, round(max(km), 4) AS dist_max FROM nearest GROUP BY cid),
@@ -32,30 +32,21 @@ c AS (SELECT cid, city, row_number() OVER (PARTITION BY cid ORDER BY count(*) DE
 SELECT g.cid, cname, n_pdvs, dist_media, dist_max, city, CASE WHEN n_pdvs > 90 THEN 'EXCEDENTE' WHEN n_pdvs < 30 THEN 'ABAIXO_MIN' ELSE 'OK' END AS banda FROM g JOIN centres USING (cid) JOIN c ON c.cid = g.cid AND rn = 1 ORDER BY cid""")
 def report_sector_summary(spark, sf_dir):
     """Points at their nearest centre; each centre's size, distances, commonest city and band."""
-    return _sectors(spark, sf_dir, centres)
-
-
-@query("report_sector_summary_whole", SQL["report_sector_summary"].replace(*WHOLE_CENTRES))
-def report_sector_summary_whole(spark, sf_dir):
-    return _sectors(spark, sf_dir, every_centre)
-
-
-def _sectors(spark, sf_dir, source):
     km, n = F.col("distancia_km"), F.col("n")
-    cities = _nearest(spark, sf_dir, source).groupBy("cid", "city").agg(F.count("*").alias("n"), F.sum(km).alias("km"), F.max(km).alias("far"))
+    cities = nearest(spark, sf_dir).groupBy("cid", "city").agg(F.count("*").alias("n"), F.sum(km).alias("km"), F.max(km).alias("far"))
     whole = Window.partitionBy("cid")
     ranked = cities.select(
         "cid", "city", F.sum(n).over(whole).alias("n_pdvs"), F.sum("km").over(whole).alias("km"), F.round(F.max("far").over(whole), 4).alias("dist_max"),
         F.row_number().over(whole.orderBy(F.desc("n"), "city")).alias("nth"),
     )
-    named = ranked.where("nth = 1").join(source(spark, sf_dir).select("cid", "cname"), "cid")
+    named = ranked.where("nth = 1").join(centres(spark, sf_dir).select("cid", "cname"), "cid")
     band = territory.band_status(F.col("n_pdvs"), 30, 90)[0]
     return named.select("cid", "cname", "n_pdvs", F.round(F.col("km") / F.col("n_pdvs"), 4).alias("dist_media"), "dist_max", "city", band.alias("banda")).orderBy("cid")
 
 
 @query("j09_nearest_centre", f"WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT id, cid, round(km, 6) AS km FROM nearest")
 def j09(spark, sf_dir):
-    return _nearest(spark, sf_dir).select("id", "cid", F.round("distancia_km", 6).alias("km"))
+    return nearest(spark, sf_dir).select("id", "cid", F.round("distancia_km", 6).alias("km"))
 
 
 @query("j10_within_km", f"WITH {POINTS}, {CENTRES_SQL} SELECT cid, id, round({_KM}, 6) AS km FROM centres, points WHERE {_KM} <= 40")
@@ -63,16 +54,6 @@ def j10(spark, sf_dir):
     return spatial.within_km(centres(spark, sf_dir), points(spark, sf_dir), 40.0, "clat", "clon", "lat", "lon").select("cid", "id", F.round("km", 6).alias("km"))
 
 
-@query("j09_nearest_centre_whole", SQL["j09_nearest_centre"].replace(*WHOLE_CENTRES))
-def j09_whole(spark, sf_dir):
-    return _nearest(spark, sf_dir, every_centre).select("id", "cid", F.round("distancia_km", 6).alias("km"))
-
-
-@query("j10_within_km_whole", SQL["j10_within_km"].replace(*WHOLE_CENTRES))
-def j10_whole(spark, sf_dir):
-    return spatial.within_km(every_centre(spark, sf_dir), points(spark, sf_dir), 40.0, "clat", "clon", "lat", "lon").select("cid", "id", F.round("km", 6).alias("km"))
-
-
 _PAIR = geo.haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
 _KNN = f"d AS (SELECT a.id, {_PAIR} AS km, row_number() OVER (PARTITION BY a.id ORDER BY {_PAIR}) AS rn FROM points a JOIN points b ON a.id <> b.id)"
 
@@ -98,23 +79,13 @@ def _squares(spark, sf_dir):
     return city.withColumn("rings", F.array(ring(-51.0, -24.0, -47.0, -20.0), ring(-49.0, -22.5, -48.0, -21.5)))
 
 
-_IN = "lat > {s} - {b} AND lat < {n} + {b} AND lon > {w} - {b} AND lon < {e} + {b}"
+#: The distance to each side of the square and of its hole, whose sides run along the axes: (along, from, to, across, at).
+_SIDES = [side for w, s, e, n in ((-51, -24, -47, -20), (-49, -22.5, -48, -21.5)) for side in (("lat", s, n, "lon", w), ("lat", s, n, "lon", e), ("lon", w, e, "lat", s), ("lon", w, e, "lat", n))]
+_NEAR = " OR ".join(f"sqrt(pow(greatest({a} - {along}, {along} - ({b}), 0), 2) + pow({across} - ({at}), 2)) <= 0.005" for along, a, b, across, at in _SIDES)
 
 
-@query("j12_geo07_geo08_point_in_polygon", f"""WITH {POINTS} SELECT id, CASE WHEN city = 'BUILDING' THEN NULL ELSE lat BETWEEN -24 AND -20 AND lon BETWEEN -51 AND -47 AND NOT (lat BETWEEN -22.5 AND -21.5 AND lon BETWEEN -49 AND -48) END AS dentro FROM points
-WHERE abs(lat + 24) > 0.006 AND abs(lat + 20) > 0.006 AND abs(lon + 51) > 0.006 AND abs(lon + 47) > 0.006 AND abs(lat + 22.5) > 0.006 AND abs(lat + 21.5) > 0.006 AND abs(lon + 49) > 0.006 AND abs(lon + 48) > 0.006""")
+@query("j12_geo07_geo08_point_in_polygon", f"""WITH {POINTS} SELECT id, CASE WHEN city = 'BUILDING' THEN NULL ELSE (lat BETWEEN -24 AND -20 AND lon BETWEEN -51 AND -47 AND NOT (lat BETWEEN -22.5 AND -21.5 AND lon BETWEEN -49 AND -48)) OR {_NEAR} END AS dentro FROM points""")
 def j12(spark, sf_dir):
-    """Points not within the buffer of any line; tests cover the buffer itself."""
-    p = points(spark, sf_dir)
-    clear = F.lit(True)
-    for c, lines in (("lat", (-24.0, -20.0, -22.5, -21.5)), ("lon", (-51.0, -47.0, -49.0, -48.0))):
-        for line in lines:
-            clear = clear & (F.abs(F.col(c) - line) > 0.006)
-    return spatial.point_in_place(p.where(clear), _squares(spark, sf_dir), ["city"], "lat", "lon").select("id", "dentro")
-
-
-@query("j12_geo07_geo08_point_in_polygon_whole")
-def j12_whole(spark, sf_dir):
     """All points, those within the buffer of an edge too."""
     return spatial.point_in_place(points(spark, sf_dir), _squares(spark, sf_dir), ["city"], "lat", "lon").select("id", "dentro")
 
@@ -186,23 +157,23 @@ def cl11(spark, sf_dir):
 
 @query("cl12_greedy_consultants")
 def cl12(spark, sf_dir):
-    return territory.with_consultants(points(spark, sf_dir), "state", "id", "lat", "lon", _consultants(spark, sf_dir), None, 3, greedy=True)
+    return territory.with_consultants(points(spark, sf_dir), "state", "id", "lat", "lon", team(spark, sf_dir), None, 3, greedy=True)
 
 
 @query("cl13_cl26_banded_consultants")
 def cl13(spark, sf_dir):
-    return territory.with_consultants(points(spark, sf_dir), "state", "id", "lat", "lon", _consultants(spark, sf_dir), 1, 4)
+    return territory.with_consultants(points(spark, sf_dir), "state", "id", "lat", "lon", team(spark, sf_dir), 1, 4)
 
 
-@query("cl13_unbanded_consultants", f"WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT id, cid AS consultor, round(km, 6) AS km FROM nearest")
+@query("cl13_unbanded_consultants", f"WITH {POINTS}, {TEAM_SQL}, {NEAREST} SELECT id, cid AS consultor, round(km, 6) AS km FROM nearest")
 def cl13_free(spark, sf_dir):
-    a = territory.with_consultants(points(spark, sf_dir), "state", "id", "lat", "lon", _consultants(spark, sf_dir), None, None)
+    a = territory.with_consultants(points(spark, sf_dir), "state", "id", "lat", "lon", team(spark, sf_dir), None, None)
     return a.select("id", "consultor", F.round("distancia_km", 6).alias("km"))
 
 
 @query("cl14_band_status", f"WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT cid, CASE WHEN count(*) > 90 THEN 'EXCEDENTE' WHEN count(*) < 60 THEN 'ABAIXO_MIN' ELSE 'OK' END AS banda, greatest(0, count(*) - 90) AS excedentes FROM nearest GROUP BY cid")
 def cl14(spark, sf_dir):
-    g = _nearest(spark, sf_dir).groupBy("cid").agg(F.count("*").alias("n"))
+    g = nearest(spark, sf_dir).groupBy("cid").agg(F.count("*").alias("n"))
     status, over = territory.band_status(F.col("n"), 60, 90)
     return g.select("cid", status.alias("banda"), over.alias("excedentes"))
 
@@ -244,24 +215,24 @@ def cl21(spark, sf_dir):
 
 @query("cl22_balanced_centres")
 def cl22(spark, sf_dir):
-    return territory.balanced_centres(_nearest(spark, sf_dir), "state", "id", "lat", "lon", "cid", _consultants(spark, sf_dir), 2, 6, 300.0)
+    return territory.balanced_centres(_nearest_of_team(spark, sf_dir), "state", "id", "lat", "lon", "cid", team(spark, sf_dir), 2, 6, 300.0)
 
 
 @query("cl23_active_points", f"WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT id, cid, round(km / 0.4::DOUBLE, 4) AS tempo FROM nearest")
 def cl23(spark, sf_dir):
-    return _nearest(spark, sf_dir).select("id", "cid", F.round(F.col("distancia_km") / 0.4, 4).alias("tempo"))
+    return nearest(spark, sf_dir).select("id", "cid", F.round(F.col("distancia_km") / 0.4, 4).alias("tempo"))
 
 
 @query("cl24_balanced_points")
 def cl24(spark, sf_dir):
-    return territory.balanced_centres(_nearest(spark, sf_dir), "state", "id", "lat", "lon", "cid", _consultants(spark, sf_dir), 2, 6, None)
+    return territory.balanced_centres(_nearest_of_team(spark, sf_dir), "state", "id", "lat", "lon", "cid", team(spark, sf_dir), 2, 6, None)
 
 
 @query("cl25_manual_sectors", f"""WITH {POINTS}, {CENTRES_SQL}, d AS (SELECT cid AS consultor, {_KM} AS km FROM points JOIN centres ON cid = id % 21), g AS (SELECT consultor, count(*) AS n_pdvs, avg(km) AS m, list_sort(list(km)) AS d FROM d GROUP BY consultor)
 SELECT consultor, n_pdvs, round(m, 3) AS raio_med_km, round(d[CAST(round_even(0.95 * (n_pdvs - 1), 0) AS INTEGER) + 1], 3) AS raio_p95_km FROM g""")
 def cl25(spark, sf_dir):
     p = points(spark, sf_dir)
-    staff = _consultants(spark, sf_dir).withColumn("ativo", F.lit(True))
+    staff = centres(spark, sf_dir).select(F.col("cid").alias("id"), F.col("clat").alias("lat"), F.col("clon").alias("lon"), F.lit(True).alias("ativo"))
     choices = p.select("id", (F.col("id") % 21).alias("consultor")).join(staff.select(F.col("id").alias("consultor")), "consultor", "left_semi")
     return territory.manual_sectors(p, choices.select("id", "consultor"), staff, "id", "lat", "lon")
 
@@ -327,14 +298,8 @@ def rt05(spark, sf_dir):
     return g.select("state", F.round(km, 4).alias("km"), F.round(minutes, 4).alias("minutes"))
 
 
-@query("rt06_distance_matrix", f"WITH {POINTS} SELECT a.state, a.id AS i, b.id AS j, round({_PAIR} * 1.3::DOUBLE, 3) AS km, round({_PAIR} * 1.3::DOUBLE / 35 * 60, 1) AS minutes FROM points a JOIN points b ON a.state = b.state AND a.id // 300 = b.id // 300 WHERE a.id < 300 AND b.id < 300")
+@query("rt06_distance_matrix", f"WITH {POINTS} SELECT a.state, a.id // 300 AS route, a.id AS i, b.id AS j, round({_PAIR} * 1.3::DOUBLE, 3) AS km, round({_PAIR} * 1.3::DOUBLE / 35 * 60, 1) AS minutes FROM points a JOIN points b ON a.state = b.state AND a.id // 300 = b.id // 300")
 def rt06(spark, sf_dir):
-    """The matrices of the first route of each state."""
-    return routing.distance_matrix(points(spark, sf_dir).where("id < 300"), "state", "id", "lat", "lon", 1.3, 35.0)
-
-
-@query("rt06_distance_matrix_whole", SQL["rt06_distance_matrix"].replace(" WHERE a.id < 300 AND b.id < 300", "").replace("SELECT a.state,", "SELECT a.state, a.id // 300 AS route,"))
-def rt06_whole(spark, sf_dir):
     """The matrices of all routes."""
     p = points(spark, sf_dir).withColumn("route", F.floor(F.col("id") / 300))
     return routing.distance_matrix(p, ["state", "route"], "id", "lat", "lon", 1.3, 35.0)
@@ -409,15 +374,8 @@ _DAYS = """days AS (SELECT day, CAST(row_number() OVER (ORDER BY day) AS INTEGER
  AND day NOT IN (DATE '2025-03-03', DATE '2025-03-04', DATE '2025-04-18', DATE '2025-04-21', DATE '2025-05-01', DATE '2025-11-20', DATE '2025-12-25'))"""
 
 
-@query("w09_ag01_schedule", f"WITH {_DAYS}, r AS (SELECT c_nationkey, 'R' || (c_custkey % 200) AS rota, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 200, 'R' || (c_custkey % 200)) AS nth FROM customer WHERE c_custkey < 1200) SELECT r.c_nationkey, rota, day AS data, count(*) AS n FROM r JOIN days USING (nth) GROUP BY ALL")
+@query("w09_ag01_schedule", f"WITH {_DAYS}, r AS (SELECT c_nationkey, c_custkey // 1000 AS part, 'R' || (c_custkey % 200) AS rota, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey % 200, 'R' || (c_custkey % 200)) AS nth FROM customer) SELECT r.c_nationkey, part, rota, day AS data, count(*) AS n FROM r JOIN days USING (nth) GROUP BY ALL")
 def ag01(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").where("c_custkey < 1200").select("c_nationkey", F.concat(F.lit("R"), (F.col("c_custkey") % 200).cast("string")).alias("rota"))
-    placed = agenda.schedule(r, dates.working_days(spark, "2025-01-02", "2025-12-31"), "c_nationkey", "rota")
-    return placed.groupBy("c_nationkey", "rota", "data").agg(F.count("*").alias("n"))
-
-
-@query("w09_ag01_schedule_whole", f"WITH {_DAYS}, r AS (SELECT c_nationkey, c_custkey // 1000 AS part, 'R' || (c_custkey % 200) AS rota, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey % 200, 'R' || (c_custkey % 200)) AS nth FROM customer) SELECT r.c_nationkey, part, rota, day AS data, count(*) AS n FROM r JOIN days USING (nth) GROUP BY ALL")
-def ag01_whole(spark, sf_dir):
     """All customers' routes: a consultant has a state's routes of a thousand keys, so the period holds the list at any size of the table."""
     key = F.col("c_custkey")
     r = table(spark, sf_dir, "customer").select("c_nationkey", F.floor(key / 1000).alias("part"), F.concat(F.lit("R"), (key % 200).cast("string")).alias("rota"))

@@ -5,67 +5,45 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from campovia.functions import geo
-from campovia.operators import filters, reports, spatial, territory
-from campovia.plans.base import CENTRES_SQL, POINTS, SQL, centres, points, query
-from campovia.plans.domain import NEAREST
+from campovia.operators import filters, reports, territory
+from campovia.plans.base import CENTRES_SQL, POINTS, points, query
+from campovia.plans.domain import NEAREST, nearest
 from campovia.session import table
 
 
-def _near(spark, sf_dir):
-    return spatial.nearest_centre(points(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
-
-
 @query("rpt_cluster_summary", f"""WITH {POINTS}, {CENTRES_SQL}, {NEAREST}, g AS (SELECT cid, count(*) AS n_pdvs, avg(lat) AS clat, avg(lon) AS clon FROM nearest GROUP BY cid), d AS (SELECT g.cid, list_sort(list({geo.haversine_sql('g.clat', 'g.clon', 'n.lat', 'n.lon')})) AS d FROM nearest n JOIN g USING (cid) GROUP BY g.cid)
-SELECT cid, n_pdvs, round(clat, 6) AS centro_lat, round(clon, 6) AS centro_lon, round(d[n_pdvs // 2 + 1], 4) AS raio_med_km, round(CASE WHEN n_pdvs < 2 THEN d[1] ELSE d[CAST(floor(0.95 * n_pdvs) AS INTEGER)] END, 4) AS raio_p95_km FROM g JOIN d USING (cid)""")
+SELECT cid, n_pdvs, round(clat, 10) AS centro_lat, round(clon, 10) AS centro_lon, round(d[n_pdvs // 2 + 1], 4) AS raio_med_km, round(CASE WHEN n_pdvs < 2 THEN d[1] ELSE d[CAST(floor(0.95 * n_pdvs) AS INTEGER)] END, 4) AS raio_p95_km FROM g JOIN d USING (cid)""")
 def cluster_summary(spark, sf_dir):
-    s = territory.sector_summary(_near(spark, sf_dir).select("cid", "lat", "lon"), ["cid"], "lat", "lon")
+    s = territory.sector_summary(nearest(spark, sf_dir).select("cid", "lat", "lon"), ["cid"], "lat", "lon")
     r = lambda c, n: F.round(c, n).alias(c)
-    return s.select("cid", "n_pdvs", r("centro_lat", 6), r("centro_lon", 6), r("raio_med_km", 4), r("raio_p95_km", 4))
+    return s.select("cid", "n_pdvs", r("centro_lat", 10), r("centro_lon", 10), r("raio_med_km", 4), r("raio_p95_km", 4))
 
 
 @query("rpt_point_detail_isolated", f"WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT id, cid, round(km, 6) AS km, km > 1.8 * avg(km) OVER (PARTITION BY cid) AS isolado FROM nearest")
 def point_detail(spark, sf_dir):
-    return reports.isolated(_near(spark, sf_dir), "cid", "distancia_km", 1.8).select("id", "cid", F.round("distancia_km", 6).alias("km"), "isolado")
+    return reports.isolated(nearest(spark, sf_dir), "cid", "distancia_km", 1.8).select("id", "cid", F.round("distancia_km", 6).alias("km"), "isolado")
 
 
 @query("rpt_postcode_summary", f"""WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT cid, count(DISTINCT id // 7) AS ceps, round(sum(sales), 2) AS clientes, round(avg(km), 4) AS dist_media, round(max(km), 4) AS dist_max, round(avg(km / 35 * 60), 4) AS tempo_medio FROM nearest GROUP BY cid HAVING count(*) > 10 ORDER BY cid""")
 def postcode_summary(spark, sf_dir):
-    g = _near(spark, sf_dir).groupBy("cid").agg(
+    g = nearest(spark, sf_dir).groupBy("cid").agg(
         F.countDistinct(F.floor(F.col("id") / 7)).alias("ceps"), F.round(F.sum("sales"), 2).alias("clientes"), F.round(F.avg("distancia_km"), 4).alias("dist_media"),
         F.round(F.max("distancia_km"), 4).alias("dist_max"), F.round(F.avg(F.col("distancia_km") / 35 * 60), 4).alias("tempo_medio"), F.count("*").alias("n"),
     )
     return g.where("n > 10").drop("n").orderBy("cid")
 
 
-@query("rpt_routes_by_seller", "SELECT DISTINCT ON (l_suppkey, l_orderkey) l_suppkey, l_orderkey, p_brand AS cidade, p_type AS uf FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey <= 20 ORDER BY l_suppkey, l_orderkey, p_brand, p_type")
+@query("rpt_routes_by_seller", "SELECT DISTINCT ON (l_suppkey, l_orderkey) l_suppkey, l_orderkey, p_brand AS cidade, p_type AS uf FROM lineitem JOIN part ON p_partkey = l_partkey ORDER BY l_suppkey, l_orderkey, p_brand, p_type")
 def routes_by_seller(spark, sf_dir):
-    return _seller_routes(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_suppkey <= 20"))
-
-
-@query("rpt_routes_by_seller_whole", SQL["rpt_routes_by_seller"].replace(" WHERE l_suppkey <= 20", ""))
-def routes_by_every_seller(spark, sf_dir):
-    return _seller_routes(spark, sf_dir, table(spark, sf_dir, "lineitem"))
-
-
-def _seller_routes(spark, sf_dir, lineitem):
-    li = lineitem.select("l_suppkey", "l_orderkey", "l_partkey")
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("cidade"), F.col("p_type").alias("uf"))
     g = li.join(p, "l_partkey").groupBy("l_suppkey", "l_orderkey").agg(F.min(F.struct("cidade", "uf")).alias("b"))
     return g.select("l_suppkey", "l_orderkey", "b.cidade", "b.uf")
 
 
-@query("rpt_points_by_seller", "SELECT o_custkey AS vendedor, l_orderkey, l_linenumber, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_custkey < 100")
+@query("rpt_points_by_seller", "SELECT o_custkey AS vendedor, l_orderkey, l_linenumber, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey")
 def points_by_seller(spark, sf_dir):
-    return _seller_points(spark, sf_dir, table(spark, sf_dir, "orders").where("o_custkey < 100"))
-
-
-@query("rpt_points_by_seller_whole", SQL["rpt_points_by_seller"].replace(" WHERE o_custkey < 100", ""))
-def points_by_every_seller(spark, sf_dir):
-    return _seller_points(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
-def _seller_points(spark, sf_dir, orders):
-    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("vendedor"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("vendedor"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     return table(spark, sf_dir, "lineitem").join(o, "l_orderkey").join(p, "l_partkey", "left").select("vendedor", "l_orderkey", "l_linenumber", "p_name")
 

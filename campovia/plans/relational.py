@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from campovia.functions import geo, ids, text
 from campovia.operators import dedup, filters, reports, upserts
-from campovia.plans.base import ADDRESSES, POINTS, SQL, address_parts, points, query
+from campovia.plans.base import ADDRESSES, POINTS, address_parts, points, query
 from campovia.session import table
 
 
@@ -368,19 +368,10 @@ def a19(spark, sf_dir):
     return t(spark, sf_dir, "events").agg(F.count("*").alias("total"), F.count(F.when(kind == "click", 1)).alias("cache_hits"), F.round(100 * F.count(F.when(kind != "view", 1)) / F.count("*"), 2).alias("rate"))
 
 
-@query("a20_nested_itinerary", """WITH d AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, string_agg(CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR), ' ' ORDER BY l_orderkey, l_linenumber) AS visits FROM lineitem WHERE l_suppkey <= 20 GROUP BY ALL)
+@query("a20_nested_itinerary", """WITH d AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, string_agg(CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR), ' ' ORDER BY l_orderkey, l_linenumber) AS visits FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, string_agg(CAST(day AS VARCHAR) || ': ' || visits, '; ' ORDER BY day) AS itinerary FROM d GROUP BY l_suppkey""")
 def a20(spark, sf_dir):
-    return _itineraries(t(spark, sf_dir, "lineitem").where("l_suppkey <= 20"))
-
-
-@query("a20_nested_itinerary_whole", SQL["a20_nested_itinerary"].replace(" WHERE l_suppkey <= 20", ""))
-def a20_whole(spark, sf_dir):
-    return _itineraries(t(spark, sf_dir, "lineitem"))
-
-
-def _itineraries(lineitem):
-    li = lineitem.select("l_suppkey", F.to_date("l_shipdate").alias("day"), F.struct("l_orderkey", "l_linenumber").alias("v"))
+    li = t(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day"), F.struct("l_orderkey", "l_linenumber").alias("v"))
     show = lambda v: F.concat_ws(".", v["l_orderkey"].cast("string"), v["l_linenumber"].cast("string"))
     days = li.groupBy("l_suppkey", "day").agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), show), " ").alias("visits"))
     whole = days.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("day", "visits"))).alias("days"))
@@ -502,15 +493,8 @@ def s04(spark, sf_dir):
     return t(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "user_id")
 
 
-@query("s06_natural_order", "WITH r AS (SELECT c_custkey, 'R' || c_custkey % 30 AS rota FROM customer) SELECT c_custkey, rota, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(rota, '(\\d+)', 1) AS INTEGER), c_custkey) AS INTEGER) AS pos FROM r ORDER BY pos LIMIT 200")
+@query("s06_natural_order", "WITH r AS (SELECT c_custkey, 'R' || c_custkey % 30 AS rota FROM customer) SELECT c_custkey, rota, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(rota, '(\\d+)', 1) AS INTEGER), c_custkey) AS INTEGER) AS pos FROM r ORDER BY pos")
 def s06(spark, sf_dir):
-    r = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("R"), (F.col("c_custkey") % 30).cast("string")).alias("rota"))
-    top = r.orderBy(reports.natural_number(F.col("rota")), "c_custkey").limit(200)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(reports.natural_number(F.col("rota")), "c_custkey")))
-
-
-@query("s06_natural_order_whole", SQL["s06_natural_order"].replace(" LIMIT 200", ""))
-def s06_whole(spark, sf_dir):
     """Every row's place: rows before its number, counted by number, and its place within its number."""
     r = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("R"), (F.col("c_custkey") % 30).cast("string")).alias("rota"))
     r = r.withColumn("nth", reports.natural_number(F.col("rota")))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from campovia.plans import catalogue
-from campovia.plans.base import centres, points
+from campovia.plans.base import points, team
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = catalogue.queries()
@@ -30,7 +30,7 @@ def table(spark):
 
 @pytest.fixture(scope="module")
 def staff(spark):
-    return centres(spark, FOLDER).toPandas().sort_values("cid")
+    return team(spark, FOLDER).toDF("cid", "clat", "clon").toPandas().sort_values("cid")
 
 
 def result(spark, name) -> pd.DataFrame:

@@ -30,40 +30,40 @@ def test_every_point_is_on_a_route(spark, duck, name):
 
 
 def test_matrices_of_every_route(spark, duck):
-    got = same(spark, duck, "rt06_distance_matrix_whole")
+    got = same(spark, duck, "rt06_distance_matrix")
     assert got.i.nunique() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
 
 
 def test_every_route_gets_a_day(spark, duck):
-    got = same(spark, duck, "w09_ag01_schedule_whole")
+    got = same(spark, duck, "w09_ag01_schedule")
     assert got.n.sum() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
 
 
 def test_every_sellers_reports(spark, duck):
     sellers = duck.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0]
-    assert same(spark, duck, "a20_nested_itinerary_whole").l_suppkey.nunique() == sellers
-    assert same(spark, duck, "rpt_routes_by_seller_whole").l_suppkey.nunique() == sellers
-    assert len(same(spark, duck, "rpt_points_by_seller_whole")) == duck.execute("SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey").fetchone()[0]
+    assert same(spark, duck, "a20_nested_itinerary").l_suppkey.nunique() == sellers
+    assert same(spark, duck, "rpt_routes_by_seller").l_suppkey.nunique() == sellers
+    assert len(same(spark, duck, "rpt_points_by_seller")) == duck.execute("SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey").fetchone()[0]
 
 
 @pytest.mark.parametrize("block", [2000, 30])
 def test_every_centre_is_searched(spark, duck, monkeypatch, block):
     """In one list and, with more centres than it takes, in several."""
     monkeypatch.setattr(spatial, "CENTRE_BLOCK", block)
-    assert same(spark, duck, "j09_nearest_centre_whole").cid.max() > 20
-    assert same(spark, duck, "j10_within_km_whole").cid.max() > 20
-    assert same(spark, duck, "report_sector_summary_whole").n_pdvs.sum() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
+    assert same(spark, duck, "j09_nearest_centre").cid.max() > 20
+    assert same(spark, duck, "j10_within_km").cid.max() > 20
+    assert same(spark, duck, "report_sector_summary").n_pdvs.sum() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
 
 
 def test_every_row_has_a_place(spark, duck):
-    got = same(spark, duck, "s06_natural_order_whole")
+    got = same(spark, duck, "s06_natural_order")
     assert sorted(got.pos) == list(range(1, duck.execute("SELECT count(*) FROM customer").fetchone()[0] + 1))
 
 
 def test_points_at_the_edges(spark):
     """Inside the square and out of its hole, or at most 0.005 degrees from an edge of either, by brute force."""
     places = [r for r in base.points(spark, "/root/testdata/sf0.1").select("id", "lat", "lon", "city").collect()]
-    got = {r.id: r.dentro for r in QUERIES["j12_geo07_geo08_point_in_polygon_whole"](spark, "/root/testdata/sf0.1").collect()}
+    got = {r.id: r.dentro for r in QUERIES["j12_geo07_geo08_point_in_polygon"](spark, "/root/testdata/sf0.1").collect()}
     assert set(got) == {p.id for p in places}
     boxes = [(-51.0, -24.0, -47.0, -20.0), (-49.0, -22.5, -48.0, -21.5)]
     hard = 0
