@@ -16,10 +16,14 @@ _KM = geo.haversine_sql("lat", "lon", "clat", "clon")
 NEAREST = f"nearest AS (SELECT * FROM (SELECT p.*, cid, cname, clat, clon, {_KM} AS km, row_number() OVER (PARTITION BY id ORDER BY {_KM}, cid) AS rn FROM points p, centres) WHERE rn = 1)"
 
 
+def _shared(spark, sf_dir):
+    """Points, shared out: searches among all centres are long work for each row of a small file."""
+    return points(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def nearest(spark, sf_dir):
-    """Points at the nearest of all centres. The work is points x centres distances, so a small file of points is shared out."""
-    p = points(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
-    return spatial.nearest_centre(p, centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
+    """Points at the nearest of all centres."""
+    return spatial.nearest_centre(_shared(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
 
 
 def _nearest_of_team(spark, sf_dir):
@@ -209,7 +213,7 @@ def cl20(spark, sf_dir):
 
 @query("cl21_active_clusters", f"WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT id, cid, round(km, 6) AS distancia_km, round(km / 35 * 60, 4) AS tempo_min, FALSE AS is_outlier FROM nearest WHERE km / 35 * 60 <= 60 AND km <= 30")
 def cl21(spark, sf_dir):
-    a = territory.active_clusters(points(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
+    a = territory.active_clusters(_shared(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
     return a.select("id", "cid", F.round("distancia_km", 6).alias("distancia_km"), F.round("tempo_min", 4).alias("tempo_min"), "is_outlier")
 
 
