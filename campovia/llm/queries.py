@@ -19,6 +19,7 @@ from campovia.llm import (
     packing,
     preference_format,
     simhash_dedup,
+    token_align,
     warc_fixity,
 )
 from campovia.session import durable, table
@@ -111,6 +112,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, length=2048, end_id=1, with_ids=False)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of every document overlap, and how their linked pairs stand in the whole corpus."""
+    byte_level, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    documents, _ = token_align.align(table(spark, sf_dir, "documents"), byte_level, pieces, with_groups=False)
+    return documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_best_a")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query."""
     return {
@@ -124,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_preference_format": op8_preference_format,
         "op9_feistel_shards": op9_feistel_shards,
         "op10_packing": op10_packing,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
