@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def test_empty_and_other_ids(spark):
 
 def test_chunks_of_any_size_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(token_align, "CALL_CHARS", 40)
-    monkeypatch.setattr(token_align, "CHUNK_LINKS", 30)
+    monkeypatch.setattr(token_align, "CHUNK_CHARS", 60)
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)
     chunks = token_align.link_chunks(docs, open(A, "rb").read(), open(B, "rb").read(), "doc_id", "text", True)
     assert chunks.select("chunk").distinct().count() >= 3
@@ -91,3 +92,25 @@ def test_query(spark):
     got = {r.doc_id: r for r in queries.op11_token_alignment(spark, folder).collect()}
     assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
     assert all((got[i].n_a, got[i].n_b, got[i].n_groups, got[i].n_links, got[i].groups_sha256) == (*w[:4], w[6]) for i, w in wanted.items())
+
+
+def test_text_that_is_no_utf8(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text UNION ALL SELECT 2L, 'plain words'")
+    got = {r.doc_id: r for r in token_align.align(df, A, B)[0].collect()}
+    assert got[1].n_links == got[1].count_sum == 0 and got[1].groups_sha256 == "" and got[2].n_links > 0
+
+
+def test_segments_are_encoded_as_in_the_whole():
+    """Encoding segment by segment gives what encoding the whole gives, for any mixture of spaces, marks and letters."""
+    import random
+
+    kit = token_align.TwoTokenizers(open(A, "rb").read(), open(B, "rb").read())
+    draw = random.Random(3)
+    for _ in range(1500):
+        text = "".join(draw.choice("  \t\n\u00a0\u3000▁ab'sé1.漢\x1c") for _ in range(draw.randint(1, 30)))
+        segments = kit.segments(" " + text)
+        assert "".join(segments) == " " + text
+        side_a, side_b, covered = kit.encode(segments[-1:] + segments)  # a row of segments need not be a text
+        if covered.all():
+            for got, of, size in ((side_a, kit.a.encode(" " + text, add_special_tokens=False).ids, kit.a_size), (side_b, kit.b.encode(text), kit.b_size)):
+                assert got[np.cumsum(size[got]) > covered[0]].tolist() == of
