@@ -15,6 +15,7 @@ from campovia.llm import (
     exact_topk,
     feistel_shards,
     gam_quality,
+    hard_negatives,
     line_dedup,
     packing,
     preference_format,
@@ -119,6 +120,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_best_a")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its five nearest of the same label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    changed = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(changed, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query."""
     return {
@@ -133,9 +141,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_feistel_shards": op9_feistel_shards,
         "op10_packing": op10_packing,
         "op11_token_alignment": op11_token_alignment,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_warc_fixity": warc_fixity.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op8_preference_format": preference_format.ORACLE_SQL}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_warc_fixity": warc_fixity.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op8_preference_format": preference_format.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}

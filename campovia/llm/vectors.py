@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 MOST_LENGTHS = 16
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
-    """(vec_id, v) with v as array<double>, of rows whose id is not null and whose vector is neither null nor empty nor holds null or non-finite components.
+def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool, more: Sequence[str] = ()) -> DataFrame:
+    """(vec_id, v, and the columns more) with v as array<double>, of rows whose id is not null and whose vector is neither null nor empty nor holds null or non-finite components.
 
     zero says whether a vector of zeros is usable. Vectors keep the length they have.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), *more)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite)
     return kept if zero else kept.where(F.exists("v", lambda x: x != 0))
