@@ -22,6 +22,7 @@ from campovia.llm import (
     simhash_dedup,
     token_align,
     warc_fixity,
+    weak_pii,
 )
 from campovia.session import durable, table
 
@@ -127,6 +128,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(changed, F.col("vec_id") % 100 == 0)
 
 
+def op13_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, all spans, and how many the method added."""
+    found = weak_pii.find(table(spark, sf_dir, "documents"))
+    base, added = F.col("base"), F.col("added")
+    return found.select(
+        "doc_id", *(weak_pii.counted(base, k).alias(f"n_{name}") for k, name in enumerate(weak_pii.KINDS)), F.sha2(weak_pii.written(base), 256).alias("base_sha256"),
+        weak_pii.written(F.concat(base, added)).alias("spans"), F.size(added).cast("long").alias("n_added"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query."""
     return {
@@ -142,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": op10_packing,
         "op11_token_alignment": op11_token_alignment,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_weak_pii": op13_weak_pii,
     }
 
 
