@@ -144,30 +144,38 @@ def judged(text: str, kind: int, start: int, end: int, base: bool, failed: bool)
     return "".join(map(vote, votes)), sum(1 << i for i, x in enumerate(bits) if x)
 
 
-def reliabilities(patterns: list[tuple[int, str, int]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """(priors by kind, [labeler, truth, vote] probabilities) by expectation-maximisation over (kind, votes, count).
+def reliabilities(patterns: list[tuple[int, bool, str, int]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """(priors by kind, [labeler, truth, vote] probabilities) by expectation-maximisation over (kind, base, votes, count).
 
-    Each span is personal data or not; given that, labelers vote independently, each with its own probabilities of y, n and no vote. The
+    Each span is personal data or not; given that, labelers that vote do so independently, each with its own probabilities of y and n; no vote
+    says nothing. Base spans are personal data by definition, which anchors the estimate; priors are of the other spans of a kind. The
     start is the majority of votes; added counts hold a labeler to be better than chance until the data say otherwise.
     """
-    kinds, counts = np.array([k for k, _, _ in patterns], int), np.array([c for *_, c in patterns], float)
-    votes = np.array([["yn-".index(v) for v in p] for _, p, _ in patterns], int).reshape(len(patterns), len(LABELERS))
+    kinds, base, counts = np.array([p[0] for p in patterns], int), np.array([p[1] for p in patterns], bool), np.array([p[3] for p in patterns], float)
+    votes = as_numbers([p[2] for p in patterns])
     belief = np.clip(((votes == 0).sum(axis=1) - (votes == 1).sum(axis=1)) / len(LABELERS) * 0.5 + 0.5, 0.05, 0.95)
-    added = np.array([[2.0, 4.0, 4.0], [4.0, 2.0, 4.0]])  # by truth (no, yes) and vote (y, n, none)
+    added = np.array([[2.0, 4.0], [4.0, 2.0]])  # by truth (no, yes) and vote (y, n)
     for _ in range(rounds):
+        belief = np.where(base, 1.0, belief)
         weight = np.stack([counts * (1 - belief), counts * belief])
-        priors = (np.bincount(kinds, weight[1], 4) + 2) / (np.bincount(kinds, counts, 4) + 4)
-        table = np.stack([np.stack([np.bincount(votes[:, n], w, 3) for w in weight]) + added for n in range(len(LABELERS))])
+        priors = (np.bincount(kinds, weight[1] * ~base, 4) + 2) / (np.bincount(kinds, counts * ~base, 4) + 4)
+        table = np.stack([np.stack([np.bincount(votes[:, n], w, 3)[:2] for w in weight]) + added for n in range(len(LABELERS))])
         table /= table.sum(axis=2, keepdims=True)
         belief = posterior(kinds, votes, priors, table)
     return priors, table
 
 
+def as_numbers(votes: list[str]) -> np.ndarray:
+    """Votes as 0 (y), 1 (n), 2 (none), a column for each labeler."""
+    return np.array([["yn-".index(v) for v in one] for one in votes], int).reshape(len(votes), len(LABELERS))
+
+
 def posterior(kinds: np.ndarray, votes: np.ndarray, priors: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The probability that spans of these kinds and votes are personal data."""
     logs = np.log(np.stack([1 - priors[kinds], priors[kinds]]))
+    silent = np.ones((2, 1))
     for n in range(len(LABELERS)):
-        logs = logs + np.log(table[n][:, votes[:, n]])
+        logs = logs + np.log(np.hstack([table[n], silent])[:, votes[:, n]])
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
@@ -211,12 +219,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def learn(found: DataFrame) -> np.ndarray:
     """The span classifier's weights, from all candidates' votes."""
-    each = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.features")
-    patterns = each.groupBy("kind", "votes").count().orderBy("kind", "votes").collect()  # at most 4 * 3 ** 5 rows
+    each = found.select(F.explode("spans").alias("s")).select("s.kind", "s.base", "s.votes", "s.features")
+    patterns = each.groupBy("kind", "base", "votes").count().orderBy("kind", "base", "votes").collect()  # at most 2 * 4 * 3 ** 5 rows
     priors, table = reliabilities([tuple(r) for r in patterns])
-    groups = each.groupBy("kind", "votes", "features").count().orderBy(F.xxhash64("kind", "votes", "features"), "features", "votes").limit(TRAIN_GROUPS).collect()
-    votes = np.array([["yn-".index(v) for v in g.votes] for g in groups], int).reshape(len(groups), len(LABELERS))
-    belief = posterior(np.array([g.kind for g in groups], int), votes, priors, table)
+    groups = each.groupBy("kind", "base", "votes", "features").count().orderBy(F.xxhash64("kind", "base", "votes", "features"), "features", "votes").limit(TRAIN_GROUPS).collect()
+    belief = posterior(np.array([g.kind for g in groups], int), as_numbers([g.votes for g in groups]), priors, table)
+    belief = np.where([g.base for g in groups], 1.0, belief)
     return fit_classifier(np.array([g.features for g in groups], np.int64), belief, np.array([g["count"] for g in groups], float))
 
 
@@ -228,7 +236,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     touching neither each other nor a base span.
 
     Five labelers vote on every proposal of every document, base spans included: its form, the validity of its digits or domain, gazetteers (issuers, calling
-    codes, ends of domains), words before it, and its borders. Equal votes are counted by Spark (at most 972 patterns); expectation-maximisation over those counts
+    codes, ends of domains), words before it, and its borders. Equal votes are counted by Spark (at most 1,944 patterns); expectation-maximisation over those counts
     estimates how reliable each labeler is and how likely each pattern is personal data. A logistic classifier over features of
     the span and its surroundings learns these likelihoods from at most TRAIN_GROUPS groups of equal spans, and decides on every proposal.
 
