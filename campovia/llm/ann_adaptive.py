@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from campovia.llm.vectors import by_length, usable
+from campovia.llm.vectors import distinct_queries, in_blocks, ranked, usable
 from campovia.session import durable
 
 #: Vectors that lists are packed into or split at for one task, and queries that one task takes.
@@ -21,9 +21,10 @@ GROUP_ROWS, GROUP_QUERIES = 8192, 2048
 COLUMNS, SPARSE = 16, 0.03
 #: Queries of a list that are scanned at once, and the most lists.
 QUERY_BLOCK, MAX_LISTS = 256, 4096
+#: Lengths of vectors that have an index each, the most frequent ones; all others together are searched exactly, in blocks.
+INDEXED_LENGTHS = 8
 #: Sample rows that play queries to find out how far to probe.
 PSEUDO_QUERIES = 512
-RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def rotation(dims: int, seed: int) -> np.ndarray:
@@ -166,16 +167,34 @@ def nearest(
 
     Lists are packed into or split over groups of GROUP_ROWS vectors, queries into groups of GROUP_QUERIES, so no list, however
     many copies it holds, makes one large task. Vectors null, empty, zero or holding null or non-finite
-    components take no part, nor rows with a null id. Vectors of several lengths are searched length by length, each query among
-    its own. A query with fewer candidates than k gets all of them. Repeated ids are candidates each. Other columns are
+    components take no part, nor rows with a null id. Each query is searched among vectors of its own length; the INDEXED_LENGTHS most frequent
+    lengths have an index each, vectors of all others are searched exactly. Query rows that share an id and a vector are one query; those that share an id alone have
+    k candidates each under it. A query with fewer candidates than k gets all of them. Repeated ids are candidates each. Other columns are
     not read. Empty tables give an empty result. The index is built when this is called.
     """
-    search = lambda rows, asked, dims: _nearest(rows, asked, dims, k, sample_rows, recall, doubt, seed)
-    return by_length(search, usable(vectors, id_col, vector_col, zero=False), usable(queries, id_col, vector_col, zero=False), RESULT)
+    rows, asked = usable(vectors, id_col, vector_col, zero=False), distinct_queries(usable(queries, id_col, vector_col, zero=False))
+    length = F.size("v")
+    indexed = [r["n"] for r in rows.groupBy(length.alias("n")).count().orderBy(F.desc("count"), "n").limit(INDEXED_LENGTHS + 1).collect()]
+    parts = [_nearest(rows.where(length == n), asked.where(length == n), n, k, sample_rows, recall, doubt, seed) for n in indexed[:INDEXED_LENGTHS]]
+    if not 0 < len(indexed) <= INDEXED_LENGTHS:
+        rest = ~length.isin(indexed[:INDEXED_LENGTHS])
+        parts.append(in_blocks(rows.where(rest), asked.where(rest), lambda q, q_ids, x, x_ids: scan_all(q, q_ids, x, x_ids, k), "double"))
+    return ranked(reduce(DataFrame.union, parts), k)
+
+
+def scan_all(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best, all pairs compared, a few queries at a time; a query's own rows are no candidates."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for at in range(0, len(q), 64):
+        i, j = np.nonzero(q_ids[at : at + 64, None] != x_ids[None, :])
+        score = np.concatenate([np.empty(0), *((q[at + i[b : b + 65_536]] * x[j[b : b + 65_536]]).sum(axis=1) for b in range(0, len(i), 65_536))])
+        kept = best_of(i, score, x_ids[j], k)
+        found.append((at + i[kept], j[kept], score[kept]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _nearest(rows: DataFrame, asked: DataFrame, dims: int, k: int, sample_rows: int, recall: float, doubt: float, seed: int) -> DataFrame:
-    """The search among vectors of one length, of which there are some."""
+    """(query_id, key, vec_id, score) found among vectors of one length, of which there are some."""
     spark = rows.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     count, top = rows.agg(F.count("*"), F.max(norm)).first()
@@ -190,7 +209,7 @@ def _nearest(rows: DataFrame, asked: DataFrame, dims: int, k: int, sample_rows:
     held = np.zeros(lists, np.int64)  # vectors of each list, counted below
     turn = rotation(dims + 1, seed)
 
-    def matrix(column: pa.Array) -> np.ndarray:
+    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
@@ -205,15 +224,15 @@ def _nearest(rows: DataFrame, asked: DataFrame, dims: int, k: int, sample_rows:
             d[:, held == 0] = np.inf
             order = d.argsort(axis=1, kind="stable").astype(np.int32)
             within = (d <= d.min(axis=1)[:, None] + bound).sum(axis=1)
-            wide = np.minimum(np.maximum(within, 1 + (held[order].cumsum(axis=1) < enough).sum(axis=1)), (held > 0).sum())
+            enough = k + batch.column(3).to_numpy()  # a query's own rows are no candidates
+            wide = np.minimum(np.maximum(within, 1 + (held[order].cumsum(axis=1) < enough[:, None]).sum(axis=1)), (held > 0).sum())
             chosen = [row[:n] for row, n in zip(order, wide)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(chosen, pa.list_(pa.int32()))], ["vec_id", "v", "key", "lists"])
 
-    assigned = durable(rows.mapInArrow(assign, "vec_id long, v array<double>, list int"))
+    assigned = durable(rows.mapInArrow(assign, "vec_id long, v array<double>, list int").withColumn("nth", F.monotonically_increasing_id()))
     sizes = assigned.groupBy("list").count().orderBy("list").collect()  # at most MAX_LISTS rows
     for own, size in sizes:
         held[own] = size
-    enough = k + assigned.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # a query's own rows are no candidates
     groups_of, group, room = [], 0, GROUP_ROWS
     for own, size in sizes:
         parts = -(-size // GROUP_ROWS)
@@ -225,25 +244,26 @@ def _nearest(rows: DataFrame, asked: DataFrame, dims: int, k: int, sample_rows:
     packed = spark.createDataFrame(groups_of, kinds)
     query_groups = max(1, -(-asked.count() // GROUP_QUERIES))
 
-    placed = assigned.join(packed, "list").select(
-        F.element_at("groups", (F.pmod(F.xxhash64("vec_id"), F.size("groups")) + 1).cast("int")).alias("grp"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_groups - 1).cast("long"))).alias("part"), "vec_id", "v", "list",
+    own_rows = assigned.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    chosen = asked.join(own_rows, "vec_id", "left").select("vec_id", "v", "key", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+    probing = durable(chosen.mapInArrow(choose, "vec_id long, v array<double>, key long, lists array<int>").withColumn("part", F.pmod(F.xxhash64("vec_id", "key"), F.lit(query_groups))))
+    aims = durable(probing.select("vec_id", "key", "part", F.explode("lists").alias("list")).join(packed, "list"))
+    # a list goes only to the groups of queries of which one probes it
+    wanted = aims.select("list", F.col("part").alias("for")).distinct()
+    placed = assigned.join(packed, "list").join(wanted, "list").select(
+        F.element_at("groups", (F.pmod(F.xxhash64("vec_id", "nth"), F.size("groups")) + 1).cast("int")).alias("in"), "for", F.col("vec_id").alias("vec_id"), "v", "list"
     )
-    probing = asked.mapInArrow(choose, "vec_id long, v array<double>, lists array<int>").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(query_groups)))
-    aims = probing.select("vec_id", "part", F.explode("lists").alias("list")).join(packed, "list")
-    aims = aims.select("vec_id", "part", "list", F.explode("groups").alias("grp")).groupBy("vec_id", "part", "grp").agg(F.collect_set("list").alias("lists"))
-    sent = aims.join(probing.select("vec_id", "v"), "vec_id")
+    met = aims.select("vec_id", "key", "part", "list", F.explode("groups").alias("grp")).groupBy("vec_id", "key", "part", "grp").agg(F.collect_set("list").alias("lists"))
+    sent = met.join(probing.select("vec_id", "key", "v"), ["vec_id", "key"])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        parts = [*[np.empty(0, np.int64)] * 3, np.empty(0)]
         if left.num_rows and right.num_rows:
-            left, right = left.sort_by("vec_id"), right.sort_by("vec_id")
+            left, right = left.sort_by([("vec_id", "ascending"), ("key", "ascending")]), right.sort_by("vec_id")
             q, q_ids, x, x_ids = matrix(left.column("v")), left.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("vec_id").to_numpy()
             probes = [np.array(p) for p in left.column("lists").to_pylist()]
             i, j, score = search_lists(q, q_ids, probes, x, x_ids, right.column("list").to_numpy(), top, turn, k, doubt)
-            parts = [q_ids[i], x_ids[j], score]
-        return pa.table(parts, names=["query_id", "vec_id", "score"])
+            parts = [q_ids[i], left.column("key").to_numpy()[i], x_ids[j], score]
+        return pa.table(parts, names=["query_id", "key", "vec_id", "score"])
 
-    found = sent.groupBy("part", "grp").cogroup(placed.groupBy("part", "grp")).applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return sent.groupBy("part", "grp").cogroup(placed.groupBy("for", "in")).applyInArrow(search, "query_id long, key long, vec_id long, score double")

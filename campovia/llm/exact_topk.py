@@ -5,23 +5,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from campovia.llm.vectors import by_length, usable
+from campovia.llm import vectors as vectors_of
+from campovia.llm.vectors import distinct_queries, in_blocks, ranked, usable
 
-#: Rows of a candidate block and of a query block, and query blocks that one task takes together.
-CANDIDATES, QUERIES, QUERY_BLOCKS = 8192, 512, 8
 #: Entries of each list read before the first look at the bounds, how much further each next look is, and candidates (times k)
 #: among which scores are resolved.
 FIRST_DEPTH, DEEPER, RESOLVED = 32, 2, 4
-RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def search_block(
-    queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, block_ids: np.ndarray, k: int
+    queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, block_ids: np.ndarray, k: int, order: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query index, candidate index, score) of each query's k best of a block, ties to smaller ids, its own row left out; and each query's depth.
 
@@ -30,10 +26,10 @@ def search_block(
     read is added to the candidates' sums. A candidate's lower bound is its sum and the least its unread lists can hold,
     its upper bound its sum and its unread lists' frontiers. One whose upper bound is under the k-th best lower bound cannot
     qualify. A query ends when those that still can are few (RESOLVED * k) or the lists end; then their final scores are resolved, and the
-    best are taken. Sums are whole numbers that the blocks' floating type holds exactly.
+    best are taken. Sums are whole numbers that the blocks' floating type holds exactly. order: the sorted lists, where the block has them already.
     """
     n, dims = block.shape
-    order = np.argsort(block, axis=0, kind="stable")
+    order = np.argsort(block, axis=0, kind="stable") if order is None else order
     least, most = block[order[0], np.arange(dims)], block[order[-1], np.arange(dims)]
     gain, loss = np.maximum(queries, 0), np.minimum(queries, 0)
     live, depth = np.arange(len(queries)), 0
@@ -87,58 +83,39 @@ def exact_topk(
     merged by a ranked union of at most k rows a query and block.
 
     Vectors null, empty or holding null or non-finite components take no part, nor rows with a null id; zero vectors do.
-    Vectors of several lengths are searched length by length, each query among its own. With fewer candidates than k all are returned. Repeated ids
-    are candidates each. Scores must stay below 2 ** 53 in size, else the job ends with an error. Other columns are not
+    Vectors of several lengths, however many, share the blocks; each query is searched among its own length. With fewer candidates than k all are returned. Repeated ids
+    are candidates each. Query rows that share an id and a vector are one query; those that share an id alone have k candidates each under it. Scores must stay below 2 ** 53 in size, else the job ends with an error. Other columns are not
     read. Empty tables give an empty result.
     """
     floored = lambda df: usable(df, id_col, vector_col, zero=True).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    return by_length(lambda rows, asked, dims: _topk(rows, asked, dims, k), floored(vectors), floored(queries), RESULT)
-
-
-def _topk(rows: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
-    """The search among vectors of one length."""
-    n_rows, n_asked = rows.count(), asked.count()
-    row_blocks, asked_blocks = -(-n_rows // CANDIDATES) or 1, -(-n_asked // QUERIES) or 1
-    groups = -(-asked_blocks // QUERY_BLOCKS)
-    block = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = asked.withColumn("grp", block(max(groups, 1), 1)).withColumn("blk", every(row_blocks))
-    right = rows.withColumn("blk", block(row_blocks, 0)).withColumn("grp", every(max(groups, 1)))
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        table = table.sort_by("vec_id")
-        flat = table.column("v").combine_chunks().flatten().to_numpy()
-        return flat.reshape(-1, dims), table.column("vec_id").to_numpy()
-
-    def meet(asked_part: pa.Table, rows_part: pa.Table) -> pa.Table:
-        q, q_ids = matrix(asked_part)
-        x, x_ids = matrix(rows_part)
+
+    def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        most = np.abs(q).max(axis=0) @ np.abs(x).max(axis=0)
+        if most >= 2**53:
+            raise OverflowError("scores may pass 2 ** 53")
+        if most < 2**24:  # all sums are whole numbers that single precision holds exactly
+            q, x = q.astype(np.float32), x.astype(np.float32)
         found: list[tuple[np.ndarray, ...]] = []
-        if len(q) and len(x):
-            most = np.abs(q).max(axis=0) @ np.abs(x).max(axis=0)
-            if most >= 2**53:
-                raise OverflowError("scores may pass 2 ** 53")
-            if most < 2**24:  # all sums are whole numbers that single precision holds exactly
-                q, x = q.astype(np.float32), x.astype(np.float32)
-            for at in range(0, len(x), CANDIDATES):
-                for start in range(0, len(q), QUERIES):
-                    a, b, score, _ = search_block(q[start : start + QUERIES], q_ids[start : start + QUERIES], x[at : at + CANDIDATES], x_ids[at : at + CANDIDATES], k)
-                    found.append((q_ids[start + a], x_ids[at + b], score.astype(np.int64)))
-        parts = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
-        return pa.table(parts, names=["query_id", "vec_id", "score"])
-
-    best = left.groupBy("grp", "blk").cogroup(right.groupBy("grp", "blk")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        for at in range(0, len(x), vectors_of.CANDIDATES):
+            block = x[at : at + vectors_of.CANDIDATES]
+            lists = np.argsort(block, axis=0, kind="stable")
+            for start in range(0, len(q), vectors_of.QUERIES):
+                part = slice(start, start + vectors_of.QUERIES)
+                a, b, score, _ = search_block(q[part], q_ids[part], block, x_ids[at : at + len(block)], k, lists)
+                found.append((start + a, at + b, score.astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    return ranked(in_blocks(floored(vectors), distinct_queries(floored(queries)), search, "long"), k)
 
 
 ORACLE_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+queries AS (SELECT row_number() OVER () AS query, * FROM (SELECT DISTINCT * FROM usable WHERE vec_id % 20 = 0)),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+  SELECT q.query, q.vec_id AS query_id, c.vec_id, CAST(CASE WHEN len(q.v) = len(c.v) THEN list_inner_product(q.v, c.v) END AS BIGINT) AS score
+  FROM queries q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from campovia.llm import ann_adaptive, exact_topk, feistel_shards, gam_quality, queries, warc_fixity
+from campovia.llm import ann_adaptive, exact_topk, feistel_shards, gam_quality, queries, vectors, warc_fixity
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<double>, rank string"
@@ -40,9 +40,9 @@ def cloud(spark):
 
 def test_exact_topk(cloud, monkeypatch):
     df, ids, x = cloud
-    monkeypatch.setattr(exact_topk, "CANDIDATES", 150)
-    monkeypatch.setattr(exact_topk, "QUERIES", 8)
-    monkeypatch.setattr(exact_topk, "QUERY_BLOCKS", 2)
+    monkeypatch.setattr(vectors, "CANDIDATES", 150)
+    monkeypatch.setattr(vectors, "QUERIES", 8)
+    monkeypatch.setattr(vectors, "QUERY_BLOCKS", 2)
     got = sorted((r.query_id, r.rank, r.vec_id, float(r.score)) for r in exact_topk.exact_topk(df, df.where("vec_id % 20 = 0"), k=20).collect() if r.query_id < 900)
     assert got == brute(ids, np.floor(64 * x), ids[ids % 20 == 0], 20)
 
@@ -77,8 +77,7 @@ def test_exact_topk_by_length(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in exact_topk.exact_topk(df, df.where("vec_id % 20 = 0"), k=2).collect())
     assert got[:2] == [(0, 1, 20), (0, 2, 40)] and got[-2:] == [(1000, 1, 7), (1000, 2, 27)] and len(got) == 10
     many = spark.createDataFrame([(i, [1.0] * i, "") for i in range(1, 30)], SCHEMA)
-    with pytest.raises(ValueError, match="lengths"):
-        exact_topk.exact_topk(many, many)
+    assert exact_topk.exact_topk(many, many).count() == 0  # every vector is the only one of its length
 
 
 def test_nearest_recall_and_scores(cloud, monkeypatch):
@@ -315,3 +314,25 @@ def test_pages_without_ids_are_dealt_by_url(spark):
     pages = spark.range(500).selectExpr("CAST(NULL AS long) AS page_id", "concat('http://x/', id) AS url", "'<p>' AS html")
     leaves = warc_fixity.leaves_of_pages(pages)
     assert leaves.count() == 500 and leaves.where("file >= 0").count() == 0 and leaves.groupBy("file").count().agg(F.max("count")).first()[0] <= 3
+
+
+def by_vector(table, k, scale=None):
+    """(query_id, rank, vec_id, score) of every different query row; rows (id, vector), equal lengths only."""
+    out = []
+    good = [(i, tuple(math.floor(scale * c) for c in v) if scale else tuple(v)) for i, v in table]
+    for q, v in sorted({(i, v) for i, v in good if i % 20 == 0}):
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:k]
+        out += [(q, n, i, -score) for n, (score, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("operator", [ann_adaptive.nearest, exact_topk.exact_topk])
+def test_repeated_queries_and_many_lengths(spark, operator):
+    """A copied query row gets k different candidates once; another row of its id k of its own; twenty lengths in one table."""
+    rng = np.random.default_rng(5)
+    table = [(i, [float(c) for c in rng.integers(-9, 9, i % 20 + 1)]) for i in range(400)]
+    table = [(i, v if any(v) else [1.0] * len(v)) for i, v in table]
+    table += [table[20], table[40], (60, [3.0]), (60, [float(c) for c in rng.integers(1, 9, 7)]), table[7], table[7]]
+    df = spark.createDataFrame([(i, v, "x") for i, v in table], SCHEMA).repartition(4)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in operator(df, df.where("vec_id % 20 = 0"), k=6).collect())
+    assert got == by_vector(table, 6, None if operator is ann_adaptive.nearest else 64)
