@@ -10,36 +10,10 @@ from pyspark.sql import functions as F
 from campovia.functions.geo import haversine_km, planar_sq
 from campovia.session import durable
 
-#: Centres that go to every row at once; more are taken in blocks of this size.
-CENTRE_BLOCK = 2000
 #: km of one degree of latitude, a little under the sphere's 111.19 so that bounds stay bounds.
 DEGREE_KM = 111.1
 
 
-def nearest_centre(points: DataFrame, centres: DataFrame, lat: str, lon: str, cid: str, clat: str, clon: str) -> DataFrame:
-    """points with the nearest centre's id and distance in km; ties go to the smaller id. Without centres both are null.
-
-    The centres are gathered into arrays of at most CENTRE_BLOCK, each point looks for its nearest in each array, and
-    with several arrays the smallest wins by an aggregate. No pair of point and centre becomes a row.
-    """
-    block = F.pmod(F.xxhash64(cid), F.lit(max(1, -(-centres.count() // CENTRE_BLOCK))))
-    entry = F.struct(F.col(cid).alias("cid"), F.col(clat).alias("clat"), F.col(clon).alias("clon"))
-    lists = centres.groupBy(block.alias("_block")).agg(F.collect_list(entry).alias("_centres"))
-    if lists.count() > 1:
-        keyed = points.withColumn("_row", F.monotonically_increasing_id())
-        near = keyed.crossJoin(lists).withColumn("_best", _nearest_of(F.col("_centres"), F.col(lat), F.col(lon)))
-        best = near.groupBy("_row", *points.columns).agg(F.min("_best").alias("_best")).drop("_row")
-    else:
-        # Through a generator the search is made once a row, whatever later conditions ask of its result.
-        found = F.explode(F.array(_nearest_of(F.col("_centres"), F.col(lat), F.col(lon))))
-        best = points.join(F.broadcast(lists), F.lit(True), "left").select(*points.columns, found.alias("_best"))
-    return best.select(*points.columns, F.col("_best.cid").alias(cid), F.col("_best.km").alias("distancia_km"))
-
-
-def _nearest_of(centres: Column, lat: Column, lon: Column) -> Column:
-    return F.array_min(F.transform(centres, lambda c: F.struct(haversine_km(lat, lon, c["clat"], c["clon"]).alias("km"), c["cid"].alias("cid"))))
-
-
 def cell(c: Column, size: float) -> Column:
     """The grid line below a coordinate."""
     return F.floor(c / size).cast("long")

@@ -15,8 +15,12 @@ from campovia.functions.geo import bearing, haversine_km, planar_sq
 from campovia.operators import heuristics as h
 from campovia.operators import reports
 from campovia.operators.filters import guard_size
-from campovia.operators.spatial import CENTRE_BLOCK, flag_outliers, nearest_centre
+from campovia.operators.nearest import nearest_centre
+from campovia.operators.spatial import flag_outliers
+from campovia.session import durable
 
+#: Consultants of a short list at most.
+CENTRE_BLOCK = 2000
 #: Points of a block of which distance matrices are made.
 MEDOID_BLOCK = 1000
 #: Usual settings: working days, visits a period, minutes a day, km a route, minutes a stop, km/h, road factor, rounds, outlier bar.
@@ -299,7 +303,8 @@ def radii_hold(df: DataFrame, p95: str, most_km: float) -> DataFrame:
 
 
 def sector_summary(df: DataFrame, group: list[str], lat: str, lon: str) -> DataFrame:
-    """Each sector's centre, size, and median and 95th-percentile distance from the centre."""
+    """Each sector's centre, size, and median and 95th-percentile distance from the centre. df is written once, for it is read four times."""
+    df = durable(df.select(*group, lat, lon))
     mean = df.groupBy(*group).agg(F.avg(lat).alias("centro_lat"), F.avg(lon).alias("centro_lon"))
     km = haversine_km(F.col("centro_lat"), F.col("centro_lon"), F.col(lat), F.col(lon))
     away = df.join(mean, group).select(*group, "centro_lat", "centro_lon", km.alias("_km"))

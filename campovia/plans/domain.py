@@ -9,6 +9,7 @@ from campovia.functions import dates, geo
 from campovia.functions.ids import registry_cnpj
 from campovia.functions.text import cache_key
 from campovia.operators import agenda, clean, geocode, reports, routing, spatial, territory
+from campovia.operators.nearest import nearest_centre
 from campovia.plans.base import ADDRESSES, CENTRES_SQL, POINTS, TEAM_SQL, address_parts, centres, points, query, team
 from campovia.session import table
 
@@ -16,19 +17,14 @@ _KM = geo.haversine_sql("lat", "lon", "clat", "clon")
 NEAREST = f"nearest AS (SELECT * FROM (SELECT p.*, cid, cname, clat, clon, {_KM} AS km, row_number() OVER (PARTITION BY id ORDER BY {_KM}, cid) AS rn FROM points p, centres) WHERE rn = 1)"
 
 
-def _shared(spark, sf_dir):
-    """Points, shared out: searches among all centres are long work for each row of a small file."""
-    return points(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
-
-
 def nearest(spark, sf_dir):
     """Points at the nearest of all centres."""
-    return spatial.nearest_centre(_shared(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
+    return nearest_centre(points(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
 
 
 def _nearest_of_team(spark, sf_dir):
     staff = team(spark, sf_dir).select(F.col("id").alias("cid"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    return spatial.nearest_centre(points(spark, sf_dir), staff, "lat", "lon", "cid", "clat", "clon")
+    return nearest_centre(points(spark, sf_dir), staff, "lat", "lon", "cid", "clat", "clon")
 
 
 @query("report_sector_summary", f"""WITH {POINTS}, {CENTRES_SQL}, {NEAREST}, g AS (SELECT cid, count(*) AS n_pdvs, round(avg(km), 4) AS dist_media, round(max(km), 4) AS dist_max FROM nearest GROUP BY cid),
@@ -213,7 +209,7 @@ def cl20(spark, sf_dir):
 
 @query("cl21_active_clusters", f"WITH {POINTS}, {CENTRES_SQL}, {NEAREST} SELECT id, cid, round(km, 6) AS distancia_km, round(km / 35 * 60, 4) AS tempo_min, FALSE AS is_outlier FROM nearest WHERE km / 35 * 60 <= 60 AND km <= 30")
 def cl21(spark, sf_dir):
-    a = territory.active_clusters(_shared(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
+    a = territory.active_clusters(points(spark, sf_dir), centres(spark, sf_dir), "lat", "lon", "cid", "clat", "clon")
     return a.select("id", "cid", F.round("distancia_km", 6).alias("distancia_km"), F.round("tempo_min", 4).alias("tempo_min"), "is_outlier")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from campovia.operators import clean, dedup, filters, geocode, heuristics, routing, spatial, territory, upserts
+from campovia.operators import clean, dedup, filters, geocode, heuristics, nearest, routing, spatial, territory, upserts
 from campovia.sources import readers, sinks
 
 RNG = np.random.default_rng(5)
@@ -90,12 +90,36 @@ def test_greedy_capacity(cloud, spark):
         territory.with_consultants(cloud, "g", "id", "lat", "lon", staff, None, 10, greedy=True, overflow=False).collect()
 
 
-def test_nearest_centre_in_blocks(cloud, spark, monkeypatch):
-    c = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(XY[:20])], "cid int, clat double, clon double")
-    whole = spatial.nearest_centre(cloud, c, "lat", "lon", "cid", "clat", "clon").orderBy("id").collect()
-    monkeypatch.setattr(spatial, "CENTRE_BLOCK", 6)
-    assert spatial.nearest_centre(cloud, c, "lat", "lon", "cid", "clat", "clon").orderBy("id").collect() == whole
-    assert spatial.nearest_centre(cloud, c.limit(0), "lat", "lon", "cid", "clat", "clon").where("cid IS NULL").count() == 60
+def test_nearest_centre_in_shards(cloud, spark, monkeypatch):
+    c = spark.createDataFrame([(i, -20 - (i * 7 % 11) * 0.2, -50 + (i * 5 % 13) * 0.2) for i in range(40)], "cid int, clat double, clon double")
+    whole = nearest.nearest_centre(cloud, c, "lat", "lon", "cid", "clat", "clon").orderBy("id").collect()
+    monkeypatch.setattr(nearest, "CENTRES_AT_ONCE", 12)
+    monkeypatch.setattr(nearest, "SHARD_POINTS", 7)
+    assert nearest.nearest_centre(cloud, c, "lat", "lon", "cid", "clat", "clon").orderBy("id").collect() == whole
+    assert nearest.nearest_centre(cloud, c.limit(0), "lat", "lon", "cid", "clat", "clon").where("cid IS NULL").count() == 60
+
+
+def test_nearest_centre_without_coordinates(spark):
+    p = spark.sql("SELECT * FROM VALUES (1, 0D, 179.9D, map('a', 1)), (2, null, 1D, null), (3, double('nan'), 1D, null), (4, 0D, 0D, null), (4, 0D, 0D, null) AS t(id, lat, lon, `a.b`)")
+    c = spark.sql("SELECT * FROM VALUES (7, 0D, -179.9D), (9, 0D, 1D), (8, 0D, -1D), (5, null, 0D), (null, 0D, 0D), (10, 0D, -1D) AS t(cid, clat, clon)")
+    got = [(r.id, r.cid, r.distancia_km and round(r.distancia_km, 3)) for r in nearest.nearest_centre(p, c, "lat", "lon", "cid", "clat", "clon").orderBy("id").collect()]
+    assert got == [(1, 7, 22.239), (2, None, None), (3, None, None), (4, 8, 111.195), (4, 8, 111.195)]
+
+
+@pytest.mark.parametrize("n", [1, 17, 1000, 100_000])
+def test_centre_tree_reads_few_centres(n):
+    """The nearest of all, by far fewer comparisons than points times centres."""
+    rng = np.random.default_rng(n)
+    lat, lon = rng.uniform(-30, 5, n), rng.uniform(-70, -35, n)
+    lat[: n // 2] = rng.normal(-23.5, 0.1, n // 2)  # half of them in one town
+    lon[: n // 2] = rng.normal(-46.6, 0.1, n // 2)
+    q_lat, q_lon = np.concatenate([rng.uniform(-89, 89, 20), rng.uniform(-30, 5, 1500), lat[:30]]), np.concatenate([rng.uniform(-180, 180, 20), rng.uniform(-70, -35, 1500), lon[:30]])[: 1520 + min(n, 30)]
+    tree = nearest.CentreTree(lat, lon)
+    found, km = tree.nearest(q_lat, q_lon)
+    for at in range(0, len(q_lat), 250):
+        d = heuristics.km_matrix(np.stack([q_lat, q_lon], 1)[at : at + 250], np.stack([lat, lon], 1))
+        assert (np.abs(d.min(1) - km[at : at + 250]) < 1e-9).all() and (d[np.arange(len(d)), found[at : at + 250]] <= d.min(1) + 1e-9).all()
+    assert tree.measured <= len(q_lat) * min(n, 120)
 
 
 def test_nearest_others_with_copies(spark):

@@ -215,15 +215,41 @@ def test_balanced_groups_keep_to_their_contract():
             assert sorted(np.concatenate(merged).tolist()) == list(range(n)) and max(map(len, merged)) <= max(25, -(-n // 7))
 
 
-def test_redistribution_moves_what_is_least_farther():
+def moved_at_the_border(xy, labels, centres, most):
+    """The rule in plain loops: of the largest cluster, for each cluster with room, the point nearest to its centre; of those, the smallest ratio of distances."""
+    labels = [int(x) for x in labels]
+    dist = lambda p, c: math.dist(xy[p], centres[c])
+    for _ in labels:
+        sizes = [labels.count(c) for c in range(len(centres))]
+        full = sizes.index(max(sizes))
+        if sizes[full] <= most:
+            break
+        options = []
+        for c, size in enumerate(sizes):
+            if size < most:
+                p = min((p for p, own in enumerate(labels) if own == full), key=lambda p: (dist(p, c), p))  # noqa: B023
+                options.append((dist(p, c) / max(dist(p, full), 1e-9), c, p))
+        if not options or min(options)[0] > 2.0:
+            break
+        labels[min(options)[2]] = min(options)[1]
+    return labels
+
+
+def test_redistribution_moves_border_points():
     from campovia.operators import heuristics as h
 
-    xy = np.array([[0.0, 0], [0.1, 0], [0.2, 0], [0.55, 0], [1.0, 0]])
-    centres = np.array([[0.1, 0], [1.0, 0]])
-    labels = np.array([0, 0, 0, 0, 1])
-    assert h.redistribute(xy, labels, centres, 3).tolist() == [0, 0, 0, 1, 1]
-    assert h.redistribute(xy, labels, centres, 2).tolist() == [0, 0, 0, 1, 1]  # the next one would go eight times as far
-    assert h.redistribute(xy, labels, centres, 4).tolist() == labels.tolist()
+    # the point least farther in proportion (0.9 | 0.85 away) is not the one nearest to the other centre (1.2 | 0.8)
+    xy, centres = np.array([[0.0, 0], [0.3, 0.85], [1.2, 0.0], [2.0, 0.0]]), np.array([[0.0, 0], [2.0, 0]])
+    assert h.redistribute(xy, np.array([0, 0, 0, 1]), centres, 2).tolist() == [0, 0, 1, 1]
+    rng, differ = np.random.default_rng(6), 0
+    for _ in range(200):
+        n, k = int(rng.integers(5, 40)), int(rng.integers(2, 6))
+        xy, labels = rng.standard_normal((n, 2)), rng.integers(0, k, n) * (rng.random(n) < 0.5)
+        centres = np.array([xy[labels == c].mean(axis=0) if (labels == c).any() else rng.standard_normal(2) for c in range(k)])
+        got = h.redistribute(xy, labels, centres, -(-n // k)).tolist()
+        assert got == moved_at_the_border(xy, labels, centres, -(-n // k))
+        differ += got != labels.tolist()
+    assert differ > 100
 
 
 def test_time_windows_of_the_query(spark, table):

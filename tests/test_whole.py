@@ -5,7 +5,7 @@ import math
 import pytest
 from oracle import connect, rows
 
-from campovia.operators import spatial
+from campovia.operators import nearest
 from campovia.plans import base, catalogue
 
 FOLDER = "/root/testdata/sf0.01"
@@ -48,8 +48,8 @@ def test_every_sellers_reports(spark, duck):
 
 @pytest.mark.parametrize("block", [2000, 30])
 def test_every_centre_is_searched(spark, duck, monkeypatch, block):
-    """In one list and, with more centres than it takes, in several."""
-    monkeypatch.setattr(spatial, "CENTRE_BLOCK", block)
+    """In one tree and, with more centres than it takes, in shards."""
+    monkeypatch.setattr(nearest, "CENTRES_AT_ONCE", block)
     assert same(spark, duck, "j09_nearest_centre").cid.max() > 20
     assert same(spark, duck, "j10_within_km").cid.max() > 20
     assert same(spark, duck, "report_sector_summary").n_pdvs.sum() == duck.execute("SELECT count(*) FROM customer").fetchone()[0]
