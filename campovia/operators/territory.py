@@ -82,13 +82,7 @@ def kmeans_labels(df: DataFrame, group: str, key: str, lat: str, lon: str, k: in
 def balanced_kmeans(df: DataFrame, group: str, key: str, lat: str, lon: str, most: int, spread: bool = False) -> DataFrame:
     """k-means with ceil(n / most) clusters, border points optionally spread to neighbours with room, and what is still over `most` split."""
 
-    def run(xy: np.ndarray) -> np.ndarray:
-        labels, centres = h.kmeans(xy, max(1, math.ceil(len(xy) / most)))
-        labels = h.redistribute(xy, labels, centres, most) if spread else labels
-        parts = [own[p] for own in (np.flatnonzero(labels == j) for j in np.unique(labels)) for p in h.split_to(xy[own], most)]
-        return _groups_to_labels(parts, len(xy))
-
-    return labelled(df, group, key, lat, lon, run)
+    return labelled(df, group, key, lat, lon, lambda xy: h.balanced(xy, most, spread))
 
 
 def feature_kmeans(df: DataFrame, group: str, key: str, features: list[str], most: int) -> DataFrame:
@@ -242,16 +236,7 @@ def rebalanced(df: DataFrame, group: str, key: str, lat: str, lon: str, label: s
         raise ValueError("the band is not valid")
 
     def run(pdf: pd.DataFrame, xy: np.ndarray) -> pd.DataFrame:
-        groups = [np.flatnonzero(pdf[label].to_numpy() == j) for j in sorted(pdf[label].unique())]
-        bad = "FORA_DA_BANDA"
-        if mode != "fixo":
-            groups = [own[p] for own in groups for p in h.split_to(xy[own], most)] if most else groups
-            groups = h.merge_small(xy, groups, least, most) if least else groups
-            bad = "ABAIXO_MIN"
-        labels, status = _groups_to_labels(groups, len(xy)), np.empty(len(xy), object)
-        for own in groups:
-            outside = (least is not None and len(own) < least) or (mode == "fixo" and most is not None and len(own) > most)
-            status[own] = bad if outside else "OK"
+        labels, status = h.within_band(xy, pdf[label].to_numpy(), least, most, mode)
         return pd.DataFrame({group: pdf[group], key: pdf[key], "label": labels, "banda_status": status})
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
