@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from campovia.llm.columns import carried, laid_out
 from campovia.session import durable
 
 BREAK = "\n"
@@ -51,15 +52,15 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     covered = lambda at: F.flatten(F.transform(at, lambda i: F.sequence(i, i + span - 1)))
     marked = starts.select("doc", "print", F.array_except(covered("later"), covered("first")).alias("gone")).where("size(gone) > 0")
     rest = [c for c in docs.columns if c not in (text_col, "removed_lines")]
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("body"), F.struct(*rest).alias("rest"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("body"), carried(rest).alias("rest"))
     joined = own.join(marked, F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("print")), "left")
     lines = F.split("body", BREAK, -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     changed = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), BREAK))
     gone = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
     done = joined.select("rest", changed.alias("body"), gone.cast("long").alias("count"))
-    own_name = lambda c: F.col("body") if c == text_col else F.col("rest")[c]
-    return done.select(*[own_name(c).alias(c) for c in docs.columns if c != "removed_lines"], F.col("count").alias("removed_lines"))
+    back = laid_out("rest", rest) | {text_col: F.col("body").alias(text_col)}
+    return done.select(*[back[c] for c in docs.columns if c != "removed_lines"], F.col("count").alias("removed_lines"))
 
 
 ORACLE_SQL = """

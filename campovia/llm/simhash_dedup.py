@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from campovia.llm.columns import carried, laid_out
 from campovia.llm.components import connected_components
 from campovia.session import durable, give_back
 
@@ -331,6 +332,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     groups = similar_groups(docs, id_col, text_col, width, similarity, seed)
     known = groups.where("doc = component_id").groupBy("component_id").agg(F.min("print").alias("text")).select(F.col("component_id").alias("id"), "text")
     unknown = groups.where("component_id IS NULL").select(F.col("doc").alias("id"), F.col("print").alias("text")).distinct()
-    own = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("print"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    own = docs.select(F.col(id_col).alias("own"), F.xxhash64(text_col).alias("print"), carried(docs.columns).alias("row"))
     first = own.join(known.union(unknown), F.col("own").eqNullSafe(F.col("id")) & (F.col("print") == F.col("text")), "left_semi")
-    return first.dropDuplicates(["own", "print"]).select("row.*")
+    return first.dropDuplicates(["own", "print"]).select(*laid_out("row", docs.columns).values())

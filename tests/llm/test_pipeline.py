@@ -60,8 +60,8 @@ def test_odd_documents(spark):
     """Null and repeated rows, null ids and clashing columns go through all stages; an empty table gives an empty one."""
     text = " ".join(f"word{i % 40} and{i % 7}, then{i % 11}" for i in range(120)) + "."
     rows = [(1, text), (1, text), (2, text + " end"), (3, None), (None, text.upper()), (4, ""), (5, "x"), (6, text.replace("word", "other"))]
-    names = "score predicted removed_lines _id _own _print rest row body own gone n_chars".split()
-    docs = spark.createDataFrame([(*r, *([7] * len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    names = "score predicted removed_lines _id _own _print rest row body own gone n_chars 0 none at0 others".split() + ["a.b", "x `y`", "others.at0"]
+    docs = spark.createDataFrame([(*r, *([7] * len(names))) for r in rows], "doc_id long, text string, " + ", ".join("`" + n.replace("`", "``") + "` long" for n in names))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         found = stage(spark, docs, FOLDER)
         assert found.columns == docs.columns and all(tuple(r)[2:-1] == (7,) * (len(names) - 1) for r in found.collect())
@@ -70,3 +70,10 @@ def test_odd_documents(spark):
     assert near == {(1, text), (3, None), (5, "x"), (6, text.replace("word", "other"))}  # a null text and an empty one are alike
     assert corpus_pipeline.packed(spark, docs, FOLDER).count() >= len(rows)
     assert corpus_pipeline.packed(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_lengths_that_are_texts(spark):
+    """A column n_chars that is no whole number stays as it is."""
+    docs = spark.createDataFrame([(1, "l1 a\nl2 b\nl3 c", "many"), (2, "top\nl1 a\nl2 b\nl3 c", "few")], "doc_id long, text string, n_chars string")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_lines(spark, docs, FOLDER).collect()}
+    assert got == {1: ("l1 a\nl2 b\nl3 c", "many"), 2: ("top", "few")}
