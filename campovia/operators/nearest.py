@@ -62,16 +62,21 @@ class CentreTree:
             low, high = self.levels[-1]
             starts = np.arange(0, len(low), FAN)
             self.levels.append((np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
+        #: Centres below each node; only the last one of a level may have fewer than the others.
+        self.counts = [np.minimum(LEAF * FAN**d, len(laid) - LEAF * FAN**d * np.arange(len(low))) for d, (low, _) in enumerate(self.levels)]
         self.measured = 0  # pairs of point and centre whose distance was computed
 
-    def leaves_near(self, places: np.ndarray) -> np.ndarray:
-        """The leaves that may hold the nearest centre of any of some places that lie close together."""
+    def leaves_near(self, places: np.ndarray, k: int = 1) -> np.ndarray:
+        """The leaves that may hold any of the k nearest centres of any of some places that lie close together."""
         low, high = places.min(axis=0), places.max(axis=0)
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             lows, highs = self.levels[depth]
             least, most = apart(low, high, lows[nodes], highs[nodes])
-            nodes = nodes[least <= most.min() * (1 + 1e-9) + 1e-13]  # every node holds a centre
+            sure = np.argsort(most)  # so far away there are k centres for certain
+            enough = np.searchsorted(np.cumsum(self.counts[depth][nodes[sure]]), k)
+            if enough < len(nodes):
+                nodes = nodes[least <= most[sure[enough]] * (1 + 1e-9) + 1e-13]
             if depth:
                 nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
                 nodes = nodes[nodes < len(self.levels[depth - 1][0])]
@@ -107,6 +112,34 @@ class CentreTree:
                 best[row[better]], km[row[better]] = centre[better], found[better]
         return best, km
 
+    def k_nearest(self, lat: np.ndarray, lon: np.ndarray, k: int) -> np.ndarray:
+        """The km to each point's k nearest centres, in rising order; infinite where there are no more."""
+        xyz = on_sphere(lat, lon)
+        p, q = np.radians(lat), np.radians(lon)
+        best = np.full((len(lat), k), np.inf)
+        order = compact_order(xyz, TOGETHER)
+        for at in range(0, len(order), TOGETHER):
+            own = order[at : at + TOGETHER]
+            leaves = self.leaves_near(xyz[own], k)
+            lows, highs = (x[leaves] for x in self.levels[0])
+            least = apart(xyz[own, None], xyz[own, None], lows[None], highs[None])[0]
+            turn = np.argsort(least, axis=1, kind="stable")
+            live = np.arange(len(own))
+            for step in range(len(leaves)):
+                far = best[own[live], -1]
+                reach = np.where(np.isfinite(far), 4 * np.sin(np.minimum(far, np.pi * EARTH_KM) / (2 * EARTH_KM)) ** 2, np.inf)
+                live = live[least[live, turn[live, step]] <= reach * (1 + 1e-9) + 1e-13]
+                if not len(live):
+                    break
+                row = own[live]
+                cell = leaves[turn[live, step], None] * LEAF + np.arange(LEAF)
+                inside = np.minimum(cell, len(self.lat) - 1)
+                h = np.sin((self.lat[inside] - p[row, None]) / 2) ** 2 + np.cos(p[row, None]) * np.cos(self.lat[inside]) * np.sin((self.lon[inside] - q[row, None]) / 2) ** 2
+                away = np.where(cell < len(self.lat), 2 * EARTH_KM * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(1 - h, 0))), np.inf)
+                self.measured += int((cell < len(self.lat)).sum())
+                best[row] = np.sort(np.concatenate([best[row], away], axis=1), axis=1)[:, :k]
+        return best
+
 
 def numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Coordinates as doubles, nulls as nan."""
@@ -210,3 +243,55 @@ def _by_shards(points: DataFrame, sites: DataFrame, lat: str, lon: str) -> DataF
     second = round_of(first.select("_row", "lat", "lon", "km", F.col("to").alias("first")))
     best = first.unionByName(second).groupBy("_row").agg(F.min(F.struct("km", "_cid", "_clat", "_clon")).alias("b")).select("_row", "b._cid", "b._clat", "b._clon")
     return rows.join(best, "_row", "left").drop("_row")
+
+
+#: Places of a shard of the nearest-neighbour search.
+SHARD_PLACES = 100_000
+
+
+def nearest_others(points: DataFrame, key: str, lat: str, lon: str, k: int) -> DataFrame:
+    """(key, kms): distances in rising order to the k nearest other points (fewer if there are fewer).
+
+    Places are cut by range into shards of about SHARD_PLACES, so a dense town makes more shards, not a larger one. Each shard searches its own places in a
+    tree; a place whose k-th distance reaches over the box of another shard is searched there too, and the k least of what is found are taken. Points
+    at one place are counted with their number, so a place that holds many is one place. Points without (finite) coordinates have kms null.
+    """
+    real = lambda c: c.isNotNull() & (F.abs(c) < float("inf")) & ~F.isnan(c)
+    own = points.select(F.col(key), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    places = durable(own.where(real(F.col("lat")) & real(F.col("lon"))).groupBy("lat", "lon").agg(F.count("*").alias("n")))
+    shards = -(-places.count() // SHARD_PLACES) or 1
+    cut = durable(places.repartitionByRange(shards, "lat", "lon").withColumn("shard", F.spark_partition_id()))
+    x, y, z = F.cos(F.radians("lat")) * F.cos(F.radians("lon")), F.cos(F.radians("lat")) * F.sin(F.radians("lon")), F.sin(F.radians("lat"))
+    boxes = cut.groupBy("shard").agg(*(F.min(c) for c in (x, y, z)), *(F.max(c) for c in (x, y, z))).orderBy("shard").collect()  # a row a shard
+    names, low, high = np.array([b[0] for b in boxes], np.int32), np.array([b[1:4] for b in boxes], float).reshape(-1, 3), np.array([b[4:7] for b in boxes], float).reshape(-1, 3)
+
+    def tree_of(table: pa.Table, most: int) -> CentreTree:
+        times = np.minimum(table.column("n").to_numpy(), most)
+        return CentreTree(np.repeat(numbers(table.column("lat")), times), np.repeat(numbers(table.column("lon")), times))
+
+    def at_home(table: pa.Table) -> pa.Table:
+        here = [numbers(table.column(c)) for c in ("lat", "lon")]
+        kms = tree_of(table, k + 1).k_nearest(*here, k + 1)[:, 1:]  # the nearest is the point itself
+        return pa.table([table.column("lat"), table.column("lon"), table.column("shard"), pa.array(list(kms), pa.list_(pa.float64()))], ["lat", "lon", "shard", "kms"])
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = on_sphere(numbers(batch.column("lat")), numbers(batch.column("lon")))
+            far = batch.column("kms").flatten().to_numpy().reshape(-1, k)[:, -1]
+            reach = np.where(np.isfinite(far), 4 * np.sin(np.minimum(far, np.pi * EARTH_KM) / (2 * EARTH_KM)) ** 2, np.inf) * (1 + 1e-9) + 1e-13
+            i, j = np.nonzero((apart(place[:, None], place[:, None], low[None], high[None])[0] <= reach[:, None]) & (names[None] != batch.column("shard").to_numpy()[:, None]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i)) for c in ("lat", "lon")), pa.array(names[j])], ["lat", "lon", "to"])
+
+    def abroad(left: pa.Table, right: pa.Table) -> pa.Table:
+        kms = tree_of(right, k).k_nearest(*(numbers(left.column(c)) for c in ("lat", "lon")), k) if left.num_rows else np.empty((0, k))
+        return pa.table([left.column("lat"), left.column("lon"), pa.array(list(kms), pa.list_(pa.float64()))], ["lat", "lon", "kms"])
+
+    home = durable(cut.groupBy("shard").applyInArrow(at_home, "lat double, lon double, shard int, kms array<double>"))
+    asked = durable(home.mapInArrow(aim, "lat double, lon double, to int"))
+    parts = asked.groupBy("to").agg(F.ceil(F.count("*") / SHARD_PLACES).cast("long").alias("parts"))  # a row a shard
+    left = asked.join(F.broadcast(parts), "to").withColumn("part", F.pmod(F.xxhash64("lat", "lon"), "parts"))
+    right = cut.join(F.broadcast(parts), cut["shard"] == parts["to"]).select("lat", "lon", "n", F.col("shard").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("of"))
+    other = left.groupBy("to", "part").cogroup(right.groupBy("at", "of")).applyInArrow(abroad, "lat double, lon double, kms array<double>")
+    whole = home.select("lat", "lon", "kms").unionByName(other).groupBy("lat", "lon").agg(F.flatten(F.collect_list("kms")).alias("all"))
+    found = whole.select("lat", "lon", F.slice(F.array_sort(F.filter("all", lambda d: d < float("inf"))), 1, k).alias("kms"))
+    return own.join(found, ["lat", "lon"], "left").select(key, "kms")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campovia.functions.geo import haversine_km, planar_sq
+from campovia.operators.nearest import nearest_others
 from campovia.session import durable
 
 #: km of one degree of latitude, a little under the sphere's 111.19 so that bounds stay bounds.
@@ -19,60 +20,29 @@ def cell(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def around(df: DataFrame, lat: str, lon: str, size: float, reach_lon: int = 1) -> DataFrame:
-    """df with a row for each grid cell around its point: (y, x)."""
-    ring = lambda n: F.array(*[F.lit(i) for i in range(-n, n + 1)])
-    return df.withColumn("_dy", F.explode(ring(1))).withColumn("_dx", F.explode(ring(reach_lon))).withColumn("y", cell(F.col(lat), size) + F.col("_dy")).withColumn("x", cell(F.col(lon), size) + F.col("_dx")).drop("_dy", "_dx")
-
-
-def within_km(left: DataFrame, right: DataFrame, km: float, lat: str, lon: str, rlat: str, rlon: str, most_lat: float = 60.0) -> DataFrame:
+def within_km(left: DataFrame, right: DataFrame, km: float, lat: str, lon: str, rlat: str, rlon: str) -> DataFrame:
     """Pairs of rows at most km apart, with their distance. Only rows of neighbouring grid cells meet.
 
-    Latitudes up to most_lat either way are covered: the nearer the pole, the more cells a degree of longitude needs.
+    Rows lie in bands of latitude as high as the distance. A band is cut into as many cells of longitude, around the whole circle, as
+    leave none narrower than the distance on its side towards the pole, so a row meets its own cell and its neighbours', across the date line too; a band
+    at a pole is one cell. Rows without coordinates are in no pair.
     """
     size = km / DEGREE_KM
-    reach = math.ceil(1 / math.cos(math.radians(most_lat)))
-    cells = right.withColumn("y", cell(F.col(rlat), size)).withColumn("x", cell(F.col(rlon), size))
-    near = around(left, lat, lon, size, reach).join(cells, ["y", "x"])
-    return near.withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(rlat), F.col(rlon))).where(F.col("km") <= km).drop("y", "x")
-
 
-def nearest_others(points: DataFrame, key: str, lat: str, lon: str, k: int) -> DataFrame:
-    """(key, kms): distances in rising order to the k nearest other points (fewer if there are fewer).
-
-    Rounds over grids of doubling cell size: points that find k others nearer than anything outside the cells
-    around them are done; the rest, in thinly settled parts, look in larger cells. Points at one place are counted
-    once with their number, so a place that holds many makes no large cell.
-    """
-    places = durable(points.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(F.count("*").alias("n")))
-    n, total, south, north, west, east = places.agg(F.count("*"), F.sum("n"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    done = None
-    if n:
-        span = max(north - south, east - west, 1e-6)
-        size = max(0.9 * math.sqrt(max((north - south) * (east - west), 1e-12) * k / n), span / 4096, 1e-9)
-        open_places = places
-        while True:
-            last = size >= span
-            # What lies outside the cells around a point is at least this many km away, at the latitudes that occur.
-            reach = size * DEGREE_KM * math.cos(math.radians(min(90.0, max(abs(north), abs(south)))))
-            cells = places.select(F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("n").alias("on"), cell(F.col("lat"), size).alias("y"), cell(F.col("lon"), size).alias("x"))
-            km = haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))
-            same = (F.col("lat") == F.col("olat")) & (F.col("lon") == F.col("olon"))
-            times = F.least(F.when(same, F.col("on") - 1).otherwise(F.col("on")), F.lit(k))
-            pairs = around(open_places, "lat", "lon", size).join(cells, ["y", "x"]).select("lat", "lon", F.array_repeat(F.when(same, 0.0).otherwise(km), times.cast("int")).alias("d"))
-            best = pairs.groupBy("lat", "lon").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("kms"))
-            sure = (F.size("kms") == k) & (F.element_at("kms", -1) <= reach)
-            found = durable(best.withColumn("sure", F.lit(last) | F.coalesce(sure, F.lit(False))))
-            ready = found.where("sure").drop("sure")
-            done = ready if done is None else done.unionByName(ready)
-            open_places = places.join(found.where("NOT sure").select("lat", "lon"), ["lat", "lon"], "left_semi")
-            if last or open_places.isEmpty():
-                break
-            size *= 2
-    else:
-        done = places.select("lat", "lon", F.array().cast("array<double>").alias("kms"))
-    own = points.select(F.col(key), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    return own.join(done, ["lat", "lon"], "left").select(key, "kms")
+    def cells(band: Column) -> Column:
+        """How many cells a band has: one where it is near a pole."""
+        edge = F.radians(F.least(F.lit(90.0), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * size))
+        widest = 2 * F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(size, 180) / 2))) / F.greatest(F.cos(edge), F.lit(1e-12))))  # longitudes that rows this near can differ by
+        return F.greatest(F.lit(1), F.floor(F.lit(2 * math.pi / 1.001) / widest)).cast("long")
+
+    turned = lambda c: F.pmod(c + 180.0, F.lit(360.0)) / 360.0  # noqa: E731  0 to 1 around the circle
+    column = lambda x, n: F.pmod(F.floor(turned(x) * n).cast("long"), n)
+    placed = right.withColumn("_y", cell(F.col(rlat), size)).withColumn("_n", cells(F.col("_y"))).withColumn("_x", column(F.col(rlon), F.col("_n"))).drop("_n")
+    rows = left.withColumn("_y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(F.col(lat), size) + d))).withColumn("_n", cells(F.col("_y")))
+    mine = column(F.col(lon), F.col("_n"))
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(mine + d, F.col("_n"))))
+    near = rows.withColumn("_x", F.explode(around)).drop("_n").join(placed, ["_y", "_x"])
+    return near.withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(rlat), F.col(rlon))).where(F.col("km") <= km).drop("_y", "_x")
 
 
 def flag_outliers(points: DataFrame, key: str, lat: str, lon: str, z: float = 1.5, k: int = 5, least: int = 5) -> DataFrame:
