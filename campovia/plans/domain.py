@@ -228,13 +228,13 @@ def cl24(spark, sf_dir):
     return territory.balanced_centres(_nearest_of_team(spark, sf_dir), "state", "id", "lat", "lon", "cid", team(spark, sf_dir), 2, 6, None)
 
 
-@query("cl25_manual_sectors", f"""WITH {POINTS}, {CENTRES_SQL}, d AS (SELECT cid AS consultor, {_KM} AS km FROM points JOIN centres ON cid = id % 21), g AS (SELECT consultor, count(*) AS n_pdvs, avg(km) AS m, list_sort(list(km)) AS d FROM d GROUP BY consultor)
+@query("cl25_manual_sectors", f"""WITH {POINTS}, {CENTRES_SQL}, d AS (SELECT cid AS consultor, {_KM} AS km FROM points JOIN centres ON cid = id % (SELECT count(*) FROM supplier)), g AS (SELECT consultor, count(*) AS n_pdvs, avg(km) AS m, list_sort(list(km)) AS d FROM d GROUP BY consultor)
 SELECT consultor, n_pdvs, round(m, 3) AS raio_med_km, round(d[CAST(round_even(0.95 * (n_pdvs - 1), 0) AS INTEGER) + 1], 3) AS raio_p95_km FROM g""")
 def cl25(spark, sf_dir):
     p = points(spark, sf_dir)
     staff = centres(spark, sf_dir).select(F.col("cid").alias("id"), F.col("clat").alias("lat"), F.col("clon").alias("lon"), F.lit(True).alias("ativo"))
-    choices = p.select("id", (F.col("id") % 21).alias("consultor")).join(staff.select(F.col("id").alias("consultor")), "consultor", "left_semi")
-    return territory.manual_sectors(p, choices.select("id", "consultor"), staff, "id", "lat", "lon")
+    choices = _in_turn(spark, sf_dir).select("id", F.col("cid").alias("consultor"))
+    return territory.manual_sectors(p, choices, staff, "id", "lat", "lon")
 
 
 @query("cl27_cluster_run")
@@ -280,11 +280,17 @@ def rt03(spark, sf_dir):
     return routing.tours(_stops(spark, sf_dir), ["state", "route"], "id", "lat", "lon", "slat", "slon", improve=True)
 
 
-@query("rt04_pair_costs", f"""WITH {POINTS}, {CENTRES_SQL}, b AS (SELECT id, cid, {_KM} * 1.3::DOUBLE AS km FROM points JOIN centres ON cid = id % 7)
+def _in_turn(spark, sf_dir):
+    """Every point with a supplier, dealt out in turn over all of them."""
+    every = centres(spark, sf_dir).agg(F.count("*").alias("_n"))
+    return points(spark, sf_dir).crossJoin(F.broadcast(every)).withColumn("cid", F.col("id") % F.col("_n")).drop("_n")
+
+
+@query("rt04_pair_costs", f"""WITH {POINTS}, {CENTRES_SQL}, b AS (SELECT id, cid, {_KM} * 1.3::DOUBLE AS km FROM points JOIN centres ON cid = id % (SELECT count(*) FROM supplier))
 SELECT id, cid, round(CASE WHEN id % 5 = 0 THEN 10.5 WHEN id % 5 = 1 AND id % 2 = 0 THEN 20.25 ELSE km END, 3) AS distancia_km, round(CASE WHEN id % 5 = 0 THEN 21 WHEN id % 5 = 1 AND id % 2 = 0 THEN 30 ELSE km / 35 * 60 END, 1) AS tempo_min,
  CASE WHEN id % 5 = 0 THEN 'cache' WHEN id % 5 = 1 AND id % 2 = 0 THEN 'provider1' ELSE 'haversine' END AS fonte FROM b""")
 def rt04(spark, sf_dir):
-    pairs = points(spark, sf_dir).join(centres(spark, sf_dir), F.col("id") % 7 == F.col("cid"))
+    pairs = _in_turn(spark, sf_dir).join(centres(spark, sf_dir), "cid")
     answer = lambda hit, km, m: pairs.where(hit).select("id", "cid", F.lit(km).alias("km"), F.lit(m).alias("minutes"))
     provider = answer((F.col("id") % 5 == 1) & (F.col("id") % 2 == 0), 20.25, 30.0).union(answer((F.col("id") % 5 == 1) & (F.col("id") % 2 == 1), 0.01, 30.0))
     return routing.pair_costs(pairs, answer(F.col("id") % 5 == 0, 10.5, 21.0), [provider], ["id", "cid"], ("lat", "lon", "clat", "clon"), 1.3, 35.0).select("id", "cid", "distancia_km", "tempo_min", "fonte")
@@ -647,11 +653,11 @@ def ing01_added(spark, sf_dir):
     return _manual(spark, sf_dir)[0].select("cnpj", "row", "status_geolocalizacao")
 
 
-@query("ing02_from_registry", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey < 1000 AND c_custkey % 5 <> 0")
+@query("ing02_from_registry", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_mktsegment <> 'BUILDING' AND c_custkey % 5 <> 0")
 def ing02(spark, sf_dir):
     key = F.col("c_custkey")
-    registry = table(spark, sf_dir, "customer").select(key.alias("id"), key.cast("string").alias("cnpj"), (key % 2 == 0).alias("ativo"), F.when(key % 3 != 0, -22.0).alias("lat"), F.lit(-48.0).alias("lon"))
-    return clean.from_registry(registry, registry.where("id < 1000"), registry.where("id % 5 = 0")).select("id")
+    registry = table(spark, sf_dir, "customer").select(key.alias("id"), key.cast("string").alias("cnpj"), (key % 2 == 0).alias("ativo"), F.when(key % 3 != 0, -22.0).alias("lat"), F.lit(-48.0).alias("lon"), "c_mktsegment")
+    return clean.from_registry(registry, registry.where("c_mktsegment <> 'BUILDING'"), registry.where("id % 5 = 0")).select("id")
 
 
 @query("ing03_geo22_prepared", "SELECT c_custkey AS id, c_custkey // 100 AS chunk FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey % 11 <> 0")
@@ -695,7 +701,7 @@ def src10(spark, sf_dir):
     return _geocoded(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("src11_router_answers", f"WITH {POINTS}, {CENTRES_SQL} SELECT CASE WHEN id % 5 = 0 THEN 'cache' WHEN id % 5 = 1 AND id % 2 = 0 THEN 'provider1' ELSE 'haversine' END AS fonte, count(*) AS n FROM points JOIN centres ON cid = id % 7 GROUP BY 1")
+@query("src11_router_answers", f"WITH {POINTS}, {CENTRES_SQL} SELECT CASE WHEN id % 5 = 0 THEN 'cache' WHEN id % 5 = 1 AND id % 2 = 0 THEN 'provider1' ELSE 'haversine' END AS fonte, count(*) AS n FROM points JOIN centres ON cid = id % (SELECT count(*) FROM supplier) GROUP BY 1")
 def src11(spark, sf_dir):
     """Where the leg costs came from: routers are tables of answers."""
     return rt04(spark, sf_dir).groupBy("fonte").agg(F.count("*").alias("n"))

@@ -513,9 +513,9 @@ def set_union(spark, sf_dir):
     return a.unionByName(t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")), allowMissingColumns=True)
 
 
-@query("set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 10")
+@query("set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def set_difference(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).subtract(t(spark, sf_dir, "supplier").where("s_suppkey < 10").select("s_nationkey"))
+    return t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).subtract(t(spark, sf_dir, "supplier").where("s_acctbal < 0").select("s_nationkey"))
 
 
 @query("set_append_missing", "SELECT s_suppkey AS id FROM supplier UNION ALL SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
