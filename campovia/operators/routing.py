@@ -20,13 +20,21 @@ from campovia.operators.territory import DEFAULTS, per_group
 LEAST_KM, LEAST_MINUTES, LONE_MINUTES = 0.05, 0.05, 10.0
 
 
-def tours(stops: DataFrame, route: list[str], key: str, lat: str, lon: str, slat: str, slon: str, improve: bool = False) -> DataFrame:
-    """(route, key, seq): each route's visiting order from its start (slat, slon) to the nearest stop not visited yet; improve adds 2-opt on the closed tour."""
+def tours(stops: DataFrame, route: list[str], key: str, lat: str, lon: str, slat: str, slon: str, improve: bool | str = False) -> DataFrame:
+    """(route, key, seq): each route's visiting order from its start (slat, slon) to the nearest stop not visited yet.
+
+    improve: 2-opt on the closed tour (True or "closed"), the best single reversal of the open path ("single"), or such reversals one
+    after the other as long as they save more than a metre ("restart").
+    """
+    ways = {"closed": lambda xy, order, start: h.two_opt_closed(xy, order, start), "single": lambda xy, order, start: h.two_opt_single(xy, order), "restart": lambda xy, order, start: h.two_opt_restart(xy, order)}
+    way = "closed" if improve is True else improve
+    if way and way not in ways:
+        raise ValueError(f"unknown improvement {way}; there are {', '.join(ways)}")
 
     def run(pdf: pd.DataFrame, xy: np.ndarray) -> pd.DataFrame:
         start = pdf[[slat, slon]].iloc[0].to_numpy(float)
         order = h.nearest_order(xy, start)
-        order = h.two_opt_closed(xy, order, start) if improve else order
+        order = ways[way](xy, order, start) if way else order
         out = pdf.iloc[order][[*route, key]].copy()
         out["seq"] = np.arange(1, len(out) + 1)
         return out
@@ -69,13 +77,6 @@ def pair_costs(pairs: DataFrame, cache: DataFrame, providers: list[DataFrame], k
     return chosen.select(*pairs.columns, F.round("_best.km", 3).alias("distancia_km"), F.round("_best.minutes", 1).alias("tempo_min"), F.col("_best.fonte").alias("fonte"))
 
 
-def line_costs(points: Column, alpha: float, kmh: float) -> tuple[Column, Column]:
-    """Length and time of a line of points (array of lat, lon): great circle legs times alpha; under two points no length and a fixed time."""
-    legs = F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda i: haversine_km(F.get(points, i - 1)["lat"], F.get(points, i - 1)["lon"], F.get(points, i)["lat"], F.get(points, i)["lon"]))
-    km = F.when(F.size(points) < 2, 0.0).otherwise(F.aggregate(legs, F.lit(0.0), lambda a, x: a + x) * alpha)
-    return km, F.when(F.size(points) < 2, LONE_MINUTES).otherwise(km / kmh * 60)
-
-
 def distance_matrix(points: DataFrame, group: str | list[str], key: str, lat: str, lon: str, alpha: float, kmh: float) -> DataFrame:
     """(group, i, j, km, minutes) for all pairs of each group: a matrix of one route, whose rows are the result itself."""
     keys = [group] if isinstance(group, str) else group
@@ -159,9 +160,10 @@ def split_routes(stops: DataFrame, cluster: list[str], key: str, lat: str, lon:
 
 
 def run_status(routes: DataFrame) -> DataFrame:
-    """(status): done, done_with_warnings if some route is over its limits, partial_failed if some group failed."""
-    failed, over = F.bool_or(F.col("status").startswith("erro")), F.bool_or(F.col("status") == "EXCEDIDO")
-    return routes.agg(F.when(failed, "partial_failed").when(over, "done_with_warnings").otherwise("done").alias("status"))
+    """(status): done, done_with_warnings if some route is over its limits or some group failed, partial_failed if every group did. A whole run with its outputs is in runs.py."""
+    failed, over = F.col("status").startswith("erro"), F.col("status") == "EXCEDIDO"
+    all_failed, some = F.bool_and(failed), F.bool_or(failed | over)
+    return routes.agg(F.when(all_failed, "partial_failed").when(some, "done_with_warnings").otherwise("done").alias("status"))
 
 
 def time_window_routes(stops: DataFrame, cluster: str, key: str, lat: str, lon: str, opens: str, closes: str, service: str, strategic: str, capacity: int = 12, strategic_capacity: int = 4, day: tuple[float, float] = (480.0, 1080.0), kmh: float = 35.0, alpha: float = 1.3, strategic_minutes: float = math.inf, strict: bool = False, relaxed: bool = False) -> DataFrame:

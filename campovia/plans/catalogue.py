@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from campovia.plans import dispatched, domain, flows, lists, relational, scalar  # noqa: F401  registers its queries
+from campovia.plans import administered, dispatched, domain, flows, lists, relational, scalar  # noqa: F401  registers its queries
 from campovia.plans.base import QUERIES, SQL, Query
 
 

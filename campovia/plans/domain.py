@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from campovia.functions import dates, geo
 from campovia.functions.ids import registry_cnpj
 from campovia.functions.text import cache_key
-from campovia.operators import agenda, clean, geocode, reports, routing, spatial, territory
+from campovia.operators import agenda, clean, geocode, lines, reports, routing, spatial, territory
 from campovia.operators.nearest import nearest_centre
 from campovia.plans.base import ADDRESSES, CENTRES_SQL, POINTS, TEAM_SQL, address_parts, centres, points, query, team
 from campovia.session import table
@@ -299,9 +299,8 @@ def rt04(spark, sf_dir):
 @query("rt05_line_costs", f"""WITH {POINTS}, l AS (SELECT state, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM points WINDOW w AS (PARTITION BY state ORDER BY id))
 SELECT state, round(coalesce(sum({_LEG}), 0) * 1.3::DOUBLE, 4) AS km, round(CASE WHEN count(*) < 2 THEN 10.0 ELSE sum({_LEG}) * 1.3::DOUBLE / 35 * 60 END, 4) AS minutes FROM l GROUP BY state""")
 def rt05(spark, sf_dir):
-    g = points(spark, sf_dir).groupBy("state").agg(F.array_sort(F.collect_list(F.struct("id", "lat", "lon"))).alias("p"))
-    km, minutes = routing.line_costs(F.col("p"), 1.3, 35.0)
-    return g.select("state", F.round(km, 4).alias("km"), F.round(minutes, 4).alias("minutes"))
+    costs = lines.open_costs(points(spark, sf_dir), ["state"], "id", "lat", "lon", 1.3, 35.0)
+    return costs.select("state", F.round("km", 4).alias("km"), F.round("minutes", 4).alias("minutes"))
 
 
 @query("rt06_distance_matrix", f"WITH {POINTS} SELECT a.state, a.id // 300 AS route, a.id AS i, b.id AS j, round({_PAIR} * 1.3::DOUBLE, 3) AS km, round({_PAIR} * 1.3::DOUBLE / 35 * 60, 1) AS minutes FROM points a JOIN points b ON a.state = b.state AND a.id // 300 = b.id // 300")
