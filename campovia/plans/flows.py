@@ -10,7 +10,7 @@ from campovia.operators import upserts
 from campovia.plans.base import POINTS, points, query
 from campovia.session import shared_dir, table
 from campovia.sources import readers, sinks
-from campovia.streaming import events
+from campovia.streaming import chunks, events
 
 
 def _folder(spark) -> str:
@@ -158,3 +158,34 @@ def process_once(spark, sf_dir):
 def progress(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_type").alias("chunk"), F.lit(5).alias("total"))
     return events.progress(e, "job", "chunk", "total")
+
+
+def _answered_later(e):
+    """Events as messages: an even one sends a chunk of work out, the odd one after it is the answer, but each seventh is lost."""
+    odd = F.col("event_id") % 2
+    rows = e.where((odd == 0) | (F.col("event_id") % 7 != 3))
+    return rows.select((F.col("event_id") % 16 - odd).cast("string").alias("job"), F.floor(F.col("event_id") / 2).alias("chunk"), F.when(odd == 0, "pedido").otherwise("resposta").alias("tipo"), "ts", F.col("event_id").alias("id"))
+
+
+_LATER = """m AS (SELECT q.event_id AS id, epoch_us(q.ts) AS asked, CASE WHEN a.event_id % 7 <> 3 THEN epoch_us(a.ts) END AS came, (SELECT max(epoch_us(ts)) - 600000000 FROM events WHERE event_id % 2 = 0 OR event_id % 7 <> 3) AS mark FROM events q LEFT JOIN events a ON a.event_id = q.event_id + 1 WHERE q.event_id % 2 = 0),
+o AS (SELECT *, coalesce(came > asked + 600000000, mark >= asked + 600000000) AS again, coalesce(came > asked + 1200000000, mark >= asked + 1200000000) AS lost FROM m)"""
+
+
+@query("geo22_chunk_outcomes", f"""WITH {_LATER} SELECT CAST(id % 16 AS VARCHAR) AS job, id // 2 AS chunk, 'repetir' AS situacao, 2 AS tentativa FROM o WHERE again
+UNION ALL SELECT CAST(id % 16 AS VARCHAR), id // 2, CASE WHEN lost THEN 'falhou' ELSE 'concluido' END, CASE WHEN again THEN 2 ELSE 1 END FROM o WHERE lost OR came IS NOT NULL""")
+def chunk_outcomes(spark, sf_dir):
+    """Chunks of ten minutes' patience and one retry, as a stream; what is still waiting when the table ends has no row."""
+    path = _folder(spark)
+    outcomes = chunks.chunk_outcomes(_answered_later(_stream(spark, sf_dir)), "ts", 600, late="10 minutes")
+    outcomes.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(chunks.OUTCOME).parquet(f"{path}/out").select("job", "chunk", "situacao", "tentativa")
+
+
+@query("src09_gathered_by_kind", """WITH r AS (SELECT user_id AS job, event_id // 10 AS chunk, event_id, CASE event_id % 3 WHEN 0 THEN 'list' WHEN 1 THEN 'hash' ELSE 'set' END AS estrutura, event_type AS campo, CAST(event_id % 50 AS VARCHAR) AS valor FROM events)
+SELECT job, estrutura, NULL AS campo, row_number() OVER (PARTITION BY job ORDER BY event_id) - 1 AS posicao, valor FROM r WHERE estrutura = 'list'
+UNION ALL SELECT job, estrutura, campo, NULL, arg_max(valor, event_id) FROM r WHERE estrutura = 'hash' GROUP BY job, estrutura, campo UNION ALL SELECT DISTINCT job, estrutura, NULL, NULL, valor FROM r WHERE estrutura = 'set'""")
+def gathered_by_kind(spark, sf_dir):
+    """Each user's events as answers in chunks of ten, every chunk told twice."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("list", "hash", "set")]), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.floor(F.col("event_id") / 10).alias("chunk"), F.col("event_id").alias("ordem"), kind.alias("estrutura"), F.col("event_type").alias("campo"), (F.col("event_id") % 50).cast("string").alias("valor"))
+    return chunks.gathered(rows.unionByName(rows))
