@@ -161,3 +161,26 @@ def find_in_cache(cache: DataFrame, terms: list[str], source: str | None = None)
     """Cache rows whose key has all terms; no terms find nothing."""
     hit = contains_all(F.col("key"), terms)
     return cache.where(hit if source is None else hit & (F.col("origem") == source))
+
+
+#: Parts of an address that name a district, the first given one counts; fixed values of the providers' answers.
+DISTRICT_PARTS = ("suburb", "neighbourhood", "city_district", "village", "town", "city")
+UNKNOWN_DISTRICT = "Não identificado"
+
+
+def districts(points: DataFrame, answers: DataFrame, fallback: DataFrame, lat: str = "lat", lon: str = "lon", district: str = "bairro") -> DataFrame:
+    """points with blank districts looked up by their coordinates of six decimals; what is given stays.
+
+    answers: (y, x, endereco), the parts of an address as a map, at whole millionths of a degree; fallback: (y, x, bairro). Each place is looked up
+    once, however many points share it; where nothing names it, or coordinates are missing, it is not identified.
+    """
+    million = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    given = F.nullif(F.trim(F.col(district)), F.lit(""))
+    asked = points.withColumn("_asked", given.isNull()).withColumns({"_y": F.when(F.col("_asked"), million(lat)), "_x": F.when(F.col("_asked"), million(lon))})
+    places = asked.where("_y IS NOT NULL AND _x IS NOT NULL").select(F.col("_y").alias("y"), F.col("_x").alias("x")).distinct()
+    named = F.coalesce(*[F.nullif(F.trim(F.element_at("endereco", part)), F.lit("")) for part in DISTRICT_PARTS])
+    first = answers.select("y", "x", named.alias("_d")).groupBy("y", "x").agg(F.min("_d").alias("_first"))
+    second = fallback.groupBy("y", "x").agg(F.min(F.nullif(F.trim("bairro"), F.lit(""))).alias("_second"))
+    found = places.join(first, ["y", "x"], "left").join(second, ["y", "x"], "left").select(F.col("y").alias("_y"), F.col("x").alias("_x"), F.coalesce("_first", "_second").alias("_found"))
+    blanks = asked.where("_asked").join(found, ["_y", "_x"], "left").withColumn(district, F.coalesce("_found", F.lit(UNKNOWN_DISTRICT)))
+    return asked.where("NOT _asked").select(*points.columns).unionByName(blanks.select(*points.columns))

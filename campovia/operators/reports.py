@@ -97,3 +97,33 @@ def two_level_summary(parts: DataFrame, stops: DataFrame, key: str, km: str, min
     a = parts.groupBy(key).agg(F.count("*").alias("rotas"), F.round(F.sum(km), 2).alias("km_total"), F.round(F.avg(minutes), 2).alias("tempo_medio"))
     b = stops.groupBy(key).agg(F.count("*").alias("pdvs"))
     return a.join(b, key, "left").withColumn("pdvs", F.coalesce("pdvs", F.lit(0)))
+
+
+def operational_routes(routes: DataFrame, stops: DataFrame, pdvs: DataFrame, uf: str | None = None, cidade: str | None = None) -> DataFrame:
+    """(columns of routes, centro_lat, centro_lon): routes with the mean place of their stops, of a state or a city (in any case) only, if given.
+
+    routes and stops meet by cluster_id and subcluster_seq, stops (pdv_id, lat, lon) and pdvs (id, uf, cidade) by the point. A route of which no stop
+    fits has no row; the centre is that of the fitting stops. Unknown points fit only where nothing is asked for. Means are taken before the join with routes.
+    """
+    keys = ["cluster_id", "subcluster_seq"]
+    own = stops
+    if uf or cidade:
+        asked = pdvs if not uf else pdvs.where(F.col("uf") == uf)
+        asked = asked if not cidade else asked.where(F.lower("cidade") == cidade.lower())
+        own = stops.join(asked.select(F.col("id").alias("pdv_id")), "pdv_id", "left_semi")
+    centre = own.groupBy(*keys).agg(F.avg("lat").alias("centro_lat"), F.avg("lon").alias("centro_lon"))
+    return routes.join(centre, keys).select(*routes.columns, "centro_lat", "centro_lon")
+
+
+def points_in_clusters(pdvs: DataFrame, stops: DataFrame, routes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(columns of pdvs with pdv_id for id, cluster_id, cluster_nome, cluster_centro_lat, cluster_centro_lon, subcluster_numero, ordem_rota): each stop with its point, route and cluster; stops that lack one of them have no row."""
+    named = clusters.select(F.col("id").alias("cluster_id"), F.col("nome").alias("cluster_nome"), F.col("centro_lat").alias("cluster_centro_lat"), F.col("centro_lon").alias("cluster_centro_lon"))
+    placed = stops.select("cluster_id", "subcluster_seq", "pdv_id", "ordem").join(routes.select("cluster_id", "subcluster_seq"), ["cluster_id", "subcluster_seq"]).join(named, "cluster_id")
+    whole = placed.join(pdvs.withColumnRenamed("id", "pdv_id"), "pdv_id")
+    shown = ["pdv_id" if c == "id" else c for c in pdvs.columns]
+    return whole.select(*shown, "cluster_id", "cluster_nome", "cluster_centro_lat", "cluster_centro_lon", F.col("subcluster_seq").alias("subcluster_numero"), F.col("ordem").alias("ordem_rota"))
+
+
+def sector_statistics(parts: DataFrame, keys: list[str], minutes: str, km: str) -> DataFrame:
+    """(keys, n, tempo_medio, tempo_max, dist_media, dist_max) over the subclusters of each sector; sectors all of whose values are null have null figures."""
+    return parts.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(minutes).alias("tempo_medio"), F.max(minutes).alias("tempo_max"), F.avg(km).alias("dist_media"), F.max(km).alias("dist_max"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from campovia.functions.geo import haversine_km, haversine_sql
-from campovia.operators import cache_admin, lines, routing, runs, snapshots
-from campovia.plans.base import POINTS, points, query
+from campovia.operators import cache_admin, geocode, lines, reports, routing, runs, snapshots
+from campovia.plans.base import POINTS, degrees, points, query
 from campovia.plans.domain import _stops
 from campovia.session import shared_dir, table
+from campovia.sources import readers, sinks
 
 _PAIR = haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
 
@@ -229,3 +230,61 @@ def restored(spark, sf_dir):
 def changed(spark, sf_dir):
     path, (first, second) = _saved(spark, sf_dir)
     return snapshots.changes(spark, path, "rotas", ["o_orderkey"], first, second)
+
+
+# ---- views, districts, sheets ------------------------------------------------------------------------------------
+
+
+def _stored(spark, sf_dir):
+    """Orders as routes, their lines as stops at the parts' places, parts as points, customers as clusters."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    routes = o.select(F.col("o_custkey").alias("cluster_id"), F.col("o_orderkey").alias("subcluster_seq"), F.col("o_totalprice").alias("dist_total_km"))
+    stops = l.join(routes.select("cluster_id", F.col("subcluster_seq").alias("l_orderkey")), "l_orderkey").select(
+        "cluster_id", F.col("l_orderkey").alias("subcluster_seq"), F.col("l_partkey").alias("pdv_id"), F.col("l_linenumber").alias("ordem"), degrees("l_partkey", 7919, 60000, -25).alias("lat"), degrees("l_partkey", 104729, 80000, -53).alias("lon"),
+    )
+    pdvs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "SP").otherwise("RJ").alias("uf"), F.when(F.col("p_partkey") % 3 == 0, "Campinas").otherwise("Santos").alias("cidade"))
+    clusters = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 3").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nome"), F.lit(-22.0).alias("centro_lat"), F.lit(-45.0).alias("centro_lon"))
+    return routes, stops, pdvs, clusters
+
+
+_AT = "avg(-25::DOUBLE + ((l_partkey * 7919) % 60000)::DOUBLE / 10000::DOUBLE)"
+
+
+@query("rt16_operational_routes", f"SELECT o_custkey AS cluster_id, o_orderkey AS subcluster_seq, o_totalprice AS dist_total_km, round({_AT}, 6) AS centro_lat FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_partkey % 2 = 0 AND l_partkey % 3 = 0 GROUP BY ALL")
+def operational_routes(spark, sf_dir):
+    routes, stops, pdvs, _ = _stored(spark, sf_dir)
+    return reports.operational_routes(routes, stops, pdvs, "SP", "CAMPINAS").select("cluster_id", "subcluster_seq", "dist_total_km", F.round("centro_lat", 6).alias("centro_lat"))
+
+
+@query("rt16_points_in_clusters", "SELECT l_partkey AS pdv_id, CASE WHEN l_partkey % 2 = 0 THEN 'SP' ELSE 'RJ' END AS uf, o_custkey AS cluster_id, c_name AS cluster_nome, o_orderkey AS subcluster_numero, l_linenumber AS ordem_rota FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE c_custkey % 4 <> 3")
+def points_in_clusters(spark, sf_dir):
+    routes, stops, pdvs, clusters = _stored(spark, sf_dir)
+    return reports.points_in_clusters(pdvs, stops, routes, clusters).select("pdv_id", "uf", "cluster_id", "cluster_nome", "subcluster_numero", "ordem_rota")
+
+
+@query("geo18_districts", f"WITH {POINTS} SELECT id, CASE WHEN id % 2 = 0 THEN city WHEN id % 7 = 0 THEN 'Não identificado' WHEN id % 3 = 0 THEN 'Bairro ' || id WHEN id % 3 = 1 THEN 'Vila ' || id ELSE 'Setor ' || id END AS bairro FROM points")
+def districts(spark, sf_dir):
+    """Of the blank districts some are known as suburbs, some as villages, some to the second provider alone, some to none."""
+    million = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    p = points(spark, sf_dir).select("id", "lat", "lon", F.when(F.col("id") % 2 == 0, F.col("city")).otherwise(" ").alias("bairro"))
+    at = p.where("id % 7 <> 0").select("id", million("lat").alias("y"), million("lon").alias("x"))
+    name = lambda word: F.concat(F.lit(word), F.col("id").cast("string"))
+    parts = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("suburb"), name("Bairro "), F.lit("city"), F.lit("X"))).when(F.col("id") % 3 == 1, F.create_map(F.lit("suburb"), F.lit(" "), F.lit("village"), name("Vila ")))
+    return geocode.districts(p, at.select("y", "x", parts.alias("endereco")), at.select("y", "x", name("Setor ").alias("bairro"))).select("id", "bairro")
+
+
+@query("src04_by_extension", "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS v, f AS sheet FROM customer, (VALUES ('comma'), ('semicolon'), ('json'), ('parquet'), ('orc')) AS s(f)")
+def by_extension(spark, sf_dir):
+    """One sheet of each kind, told by its name's ending; csv of both separators."""
+    path = f"{shared_dir(spark)}/sheets-{spark._jvm.java.util.UUID.randomUUID()}"
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_name").alias("v"))
+    for sep, name in ((",", "comma"), (";", "semicolon")):
+        sinks.write_csv(c, f"{path}/{name}.csv", sep=sep)
+    for kind in ("json", "parquet", "orc"):
+        c.write.format(kind).save(f"{path}/sheet.{kind}")
+    names = {"comma": "comma.csv", "semicolon": "semicolon.csv", "json": "sheet.json", "parquet": "sheet.parquet", "orc": "sheet.orc"}
+    sheets = [readers.by_extension(spark, f"{path}/{file}").select("k", "v", F.lit(name).alias("sheet")) for name, file in names.items()]
+    whole = sheets[0]
+    for sheet in sheets[1:]:
+        whole = whole.unionByName(sheet)
+    return whole

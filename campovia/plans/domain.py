@@ -247,8 +247,8 @@ def cl27(spark, sf_dir):
 
 @query("cl28_sector_statistics", "SELECT l_suppkey, round(avg(l_quantity), 4) AS tempo_medio, max(l_quantity) AS tempo_max, round(avg(l_extendedprice), 4) AS dist_media, max(l_extendedprice) AS dist_max FROM lineitem GROUP BY l_suppkey")
 def cl28(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey")
-    return g.agg(F.round(F.avg("l_quantity"), 4).alias("tempo_medio"), F.max("l_quantity").alias("tempo_max"), F.round(F.avg("l_extendedprice"), 4).alias("dist_media"), F.max("l_extendedprice").alias("dist_max"))
+    found = reports.sector_statistics(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return found.select("l_suppkey", F.round("tempo_medio", 4).alias("tempo_medio"), "tempo_max", F.round("dist_media", 4).alias("dist_media"), "dist_max")
 
 
 # ---- routes ------------------------------------------------------------------------------------------------------

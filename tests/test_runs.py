@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pytest
 
-from campovia.operators import cache_admin, heuristics, lines, numbering, routing, runs, snapshots
+from campovia.operators import cache_admin, geocode, heuristics, lines, numbering, reports, routing, runs, snapshots
 from campovia.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -369,3 +369,25 @@ def test_a_snapshot_without_its_entry_is_not_there(spark, tmp_path):
     snapshots.save({"t": spark.range(2)}, path, "x")
     spark.range(5).write.parquet(f"{path}/data/left-behind/t")
     assert snapshots.listing(spark, path).count() == 1 and snapshots.restore(spark, path, "t").count() == 2
+
+
+# ---- views and districts -----------------------------------------------------------------------------------------
+
+
+def test_routes_of_a_state_or_city(spark):
+    routes = spark.createDataFrame([(1, 1, 5.0), (1, 2, 6.0), (2, 1, None)], "cluster_id long, subcluster_seq long, km double")
+    stops = spark.createDataFrame([(1, 1, 10, 1.0, 1.0), (1, 1, 11, 3.0, 1.0), (1, 2, 99, 7.0, 1.0), (2, 1, 12, None, 1.0), (None, 1, 10, 1.0, 1.0)], "cluster_id long, subcluster_seq long, pdv_id long, lat double, lon double")
+    pdvs = spark.createDataFrame([(10, "SP", "Campinas"), (11, "RJ", "Rio"), (12, "SP", None)], "id long, uf string, cidade string")
+    got = lambda *a: {(r.cluster_id, r.subcluster_seq): r.centro_lat for r in reports.operational_routes(routes, stops, pdvs, *a).collect()}
+    assert got() == {(1, 1): 2.0, (1, 2): 7.0, (2, 1): None}  # a point that is not known counts where nothing is asked for
+    assert got("SP") == {(1, 1): 1.0, (2, 1): None} and got("SP", "CAMPINAS") == {(1, 1): 1.0} and got(None, "rio") == {(1, 1): 3.0} and got("XX") == {}
+
+
+def test_districts_of_blank_cells(spark):
+    rows = [(1, -22.0000001, -45.0, None), (2, -22.0, -45.0, " "), (3, -22.0, -45.0, "Centro"), (4, None, -45.0, ""), (5, 1.0, 1.0, None), (6, 2.0, 2.0, None), (7, 3.0, 3.0, "")]
+    p = spark.createDataFrame(rows, "id long, lat double, lon double, bairro string")
+    answers = spark.createDataFrame([(-22_000_000, -45_000_000, {"city": "C", "village": " V "}), (1_000_000, 1_000_000, {"road": "R"}), (3_000_000, 3_000_000, None)], "y long, x long, endereco map<string,string>")
+    fallback = spark.createDataFrame([(1_000_000, 1_000_000, "F"), (-22_000_000, -45_000_000, "not asked"), (3_000_000, 3_000_000, " ")], "y long, x long, bairro string")
+    got = {r.id: r.bairro for r in geocode.districts(p, answers, fallback).collect()}
+    assert got == {1: "V", 2: "V", 3: "Centro", 4: "Não identificado", 5: "F", 6: "Não identificado", 7: "Não identificado"}
+    assert geocode.districts(p.limit(0), answers, fallback).count() == 0
