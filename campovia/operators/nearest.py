@@ -17,6 +17,8 @@ from campovia.session import durable
 CENTRES_AT_ONCE = 400_000
 #: Points of a shard that one task takes.
 SHARD_POINTS = 200_000
+#: Degrees of latitude of the strips by which points are dealt out.
+STRIP = 0.1
 #: Centres of a leaf, children of a node, and points that go down the tree together.
 LEAF, FAN, TOGETHER = 16, 8, 128
 
@@ -150,7 +152,8 @@ def nearest_centre(points: DataFrame, centres: DataFrame, lat: str, lon: str, ci
     """points with the nearest centre's id and distance in km; ties go to the smaller id.
 
     The centres, one a place, make a tree of boxes; points that lie close together go down it together, and each then reads leaves, the nearest first, until
-    no leaf can hold a nearer centre. So a point is compared with a few dozen centres, however many there are. Up to
+    no leaf can hold a nearer centre. Points are dealt by range first, so that a batch is a small area and every task has its part of them, in however few
+    files they came. So a point is compared with a few dozen centres, however many there are. Up to
     CENTRES_AT_ONCE places the tree goes to every task; beyond, places are cut into shards by range, each point is searched in the shard nearest to it, and then in those
     whose box is nearer than what it found. No pair of point and centre becomes a row.
 
@@ -191,7 +194,10 @@ def _at_once(points: DataFrame, sites: DataFrame, lat: str, lon: str) -> DataFra
             more = _search(tree, own, *(numbers(batch.column(i)) for i in at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_cid", "_clat", "_clon"])
 
-    return points.mapInArrow(search, _with_site(points.schema.fields, sites))
+    # Small rows, long work: a fixed number of tasks, whatever the bytes.
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strip = [F.floor(F.col(lat) / STRIP), F.col(lon)]
+    return points.repartitionByRange(parts, *strip).sortWithinPartitions(*strip).mapInArrow(search, _with_site(points.schema.fields, sites))
 
 
 def _with_site(fields: list, sites: DataFrame) -> T.StructType:
