@@ -1,9 +1,14 @@
 """Tables whose keys go beyond the round of coordinates, and groups larger than at the small scales."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from oracle import connect, rows
 from pyspark.sql import functions as F
 
+from campovia.operators import heuristics as h
+from campovia.operators.nearest import nearest_centre
 from campovia.plans import base, catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,3 +29,35 @@ def rounds(spark, tmp_path_factory):
 def test_shared_places(spark, rounds, name):
     ours, theirs = QUERIES[name](spark, rounds).toPandas(), connect(rounds).execute(SQL[name]).fetchdf()
     assert rows(ours) == rows(theirs)
+
+
+def scattered(n):
+    """Places as the queries derive them, some of them shared."""
+    key = np.random.default_rng(5).integers(0, 10**6, n)
+    xy = np.stack([-25 + key * 7919 % 60000 / 1e4, -53 + key * 104729 % 80000 / 1e4], axis=1)
+    xy[n // 4 : n // 4 + 10] = xy[n // 2]
+    return xy
+
+
+def test_tours_by_tiles(monkeypatch):
+    xy = scattered(1200)
+    tiles = h.nearest_order(xy, xy.mean(0))
+    monkeypatch.setattr(h, "TILED", 10**9)
+    assert tiles == h.nearest_order(xy, xy.mean(0))
+
+
+def test_long_tours_take_little_memory():
+    """A tour's length needs its legs, not a matrix of all its stops."""
+    xy = scattered(5000)
+    tracemalloc.start()
+    h.route(xy, xy.mean(0), 35.0, 30.0, 1.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+
+
+def test_points_of_one_file_are_searched_by_many_tasks(spark):
+    points = spark.range(2000).select("id", (F.col("id") % 40 / 10.0).alias("lat"), (F.col("id") * 7 % 50 / 10.0).alias("lon")).coalesce(1)
+    centres = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 3.0)], "cid long, clat double, clon double")
+    found = nearest_centre(points, centres, "lat", "lon", "cid", "clat", "clon")
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 2000
