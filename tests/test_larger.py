@@ -61,3 +61,58 @@ def test_points_of_one_file_are_searched_by_many_tasks(spark):
     centres = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 3.0)], "cid long, clat double, clon double")
     found = nearest_centre(points, centres, "lat", "lon", "cid", "clat", "clon")
     assert found.rdd.getNumPartitions() > 1 and found.count() == 2000
+
+
+@pytest.mark.parametrize("extra", [0, 1])
+def test_kmeans_of_near_centres(monkeypatch, extra):
+    """The same labels and centres as by comparing all with all, copies of points too; a step holds no matrix of points and centres."""
+    x = np.random.default_rng(3).normal(size=(1500, 2 + extra))
+    x[100:140] = x[7]
+    labels, centres = h.kmeans(x, 60)
+    monkeypatch.setattr(h, "DENSE", 0)
+    near = h.kmeans(x, 60)
+    assert (near[0] == labels).all() and np.allclose(near[1], centres, rtol=0, atol=1e-12)
+
+
+def test_large_kmeans_takes_little_memory(monkeypatch):
+    monkeypatch.setattr(h, "STARTS", 1)
+    monkeypatch.setattr(h, "STEPS", 3)
+    x = np.random.default_rng(3).normal(size=(20000, 2))
+    tracemalloc.start()
+    labels, centres = h.kmeans(x, 800)
+    h.redistribute(x, labels, centres, 25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # a matrix of all with all has 128 MB
+
+
+def test_redistributed_as_by_all_distances():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(200, 2)) * 0.3, rng.uniform(-2, 2, size=(200, 2))])
+    labels, centres = h.kmeans(x, 16)
+    want, load, away = labels.copy(), np.bincount(labels, minlength=16), np.sqrt(((x[:, None] - centres[None]) ** 2).sum(2))
+    while load.max() > 25 and (load < 25).any():
+        source, takers = int(load.argmax()), np.flatnonzero(load < 25)
+        own = np.flatnonzero(want == source)
+        border = own[away[np.ix_(own, takers)].argmin(axis=0)]
+        stretch = away[border, takers] / away[border, source]
+        if stretch.min() > 2:
+            break
+        best = int(stretch.argmin())
+        want[border[best]] = takers[best]
+        load = np.bincount(want, minlength=16)
+    assert (h.redistribute(x, labels, centres, 25) == want).all() and (want != labels).any()
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Two states of more points than the public run takes."""
+    folder = str(tmp_path_factory.mktemp("crowded"))
+    columns = [F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name"), (F.col("id") % 2).cast("int").alias("c_nationkey"), F.lit(1.5).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment")]
+    spark.range(6200).select(*columns).write.parquet(f"{folder}/customer.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["cl27_dispatch_sweep", "cl27_dispatch_fixed", "cl27_dispatch_capacity", "cl16_cl27_dispatch_operational", "cl12_cl27_dispatch_nearest"])
+def test_dispatch_of_large_states(spark, crowded, name):
+    assert QUERIES[name](spark, crowded).select("id").distinct().count() > 6100
