@@ -23,30 +23,33 @@ def in_sql(spark, sf_dir: str, text: str):
     return spark.sql(text.replace("{points}", f"({SQL_POINTS.replace('{sf_dir}', sf_dir)})"))
 
 
+# A state is a run here and grows with the table; no row of it is refused, so the guard of the public run is lifted by its own argument.
+
+
 @query("cl27_dispatch_sweep", f"WITH {POINTS}, {_MEANS} SELECT state, id, (row_number() OVER (PARTITION BY p.state ORDER BY {_bearing_sql()}, {_KM}, id) - 1) // 15 AS label, 'Equipe ' || ((row_number() OVER (PARTITION BY p.state ORDER BY {_bearing_sql()}, {_KM}, id) - 1) // 15 + 1) AS consultor, 'OK' AS banda_status FROM points p JOIN m USING (state)")
 def dispatch_sweep(spark, sf_dir):
-    return dispatch.run(points(spark, sf_dir), "state", "id", {"algo": "sweep", "max_pdv_cluster": 15, "consultor_prefix": "Equipe"})
+    return dispatch.run(points(spark, sf_dir), "state", "id", {"algo": "sweep", "max_pdv_cluster": 15, "consultor_prefix": "Equipe"}, limit=None)
 
 
 @query("cl27_dispatch_fixed")
 def dispatch_fixed(spark, sf_dir):
-    return dispatch.run(points(spark, sf_dir), "state", "id", {"modo_refinamento": "fixo", "k_forcado": 3, "max_pdv_cluster": 30})
+    return dispatch.run(points(spark, sf_dir), "state", "id", {"modo_refinamento": "fixo", "k_forcado": 3, "max_pdv_cluster": 30}, limit=None)
 
 
 @query("cl27_dispatch_capacity")
 def dispatch_capacity(spark, sf_dir):
-    return dispatch.run(points(spark, sf_dir), "state", "id", {"modo_refinamento": "capacidade", "max_pdv_cluster": 30, "min_pdv_cluster": 10, "excluir_outliers": True, "z_thresh": 3.0})
+    return dispatch.run(points(spark, sf_dir), "state", "id", {"modo_refinamento": "capacidade", "max_pdv_cluster": 30, "min_pdv_cluster": 10, "excluir_outliers": True, "z_thresh": 3.0}, limit=None)
 
 
 @query("cl16_cl27_dispatch_operational")
 def dispatch_operational(spark, sf_dir):
-    return dispatch.run(points(spark, sf_dir), "state", "id", OPERATIONAL)
+    return dispatch.run(points(spark, sf_dir), "state", "id", OPERATIONAL, limit=None)
 
 
 @query("cl12_cl27_dispatch_nearest")
 def dispatch_nearest(spark, sf_dir):
     staff = [{"nome": f"C{i}", "lat": -24.0 + i % 3 * 2, "lon": -51.0 + i % 4 * 2} for i in range(12)]
-    return dispatch.run(points(spark, sf_dir), "state", "id", {"algo": "consultor_nearest", "consultores": staff, "max_pdv_cluster": 2})
+    return dispatch.run(points(spark, sf_dir), "state", "id", {"algo": "consultor_nearest", "consultores": staff, "max_pdv_cluster": 2}, limit=None)
 
 
 @query("udf_scalars_sql", f"""WITH {POINTS}, {CENTRES_SQL} SELECT id, round({geo.haversine_sql('lat', 'lon', '-23.5::DOUBLE', '-46.6::DOUBLE')}, 6) AS km,
