@@ -107,11 +107,15 @@ def split_adaptive(xy: np.ndarray, visits: np.ndarray, s: dict) -> list[np.ndarr
 
 
 def split_iterative(xy: np.ndarray, visits: np.ndarray, s: dict) -> list[np.ndarray]:
-    """One more route at a time until all are within the day and the distance."""
+    """One more route at a time until all are within the day and the distance.
+
+    Visits alone take their service time, so fewer routes than those that a day's most visits leave cannot hold and are not tried; a try ends at its first route that fails.
+    """
+    visits_a_day = max(1, int((s["day_minutes"] + 0.1) / s["service"])) if s["service"] > 0 else len(xy)
     groups = [np.arange(len(xy))]
-    for k in range(1, len(xy) + 1):
+    for k in range(max(1, min(len(xy), math.ceil(len(xy) / visits_a_day))), len(xy) + 1):
         groups = _kmeans_groups(xy, k)
-        if all(r["minutes"] <= s["day_minutes"] and r["km"] <= s["day_km"] for _, r in _routes(groups, xy, s, False)):
+        if max(map(len, groups)) <= visits_a_day and all(r["minutes"] <= s["day_minutes"] and r["km"] <= s["day_km"] for g in groups for _, r in _routes([g], xy, s, False)):
             break
     return groups
 

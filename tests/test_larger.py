@@ -8,7 +8,9 @@ from oracle import connect, rows
 from pyspark.sql import functions as F
 
 from campovia.operators import heuristics as h
+from campovia.operators import routing
 from campovia.operators.nearest import nearest_centre
+from campovia.operators.territory import DEFAULTS
 from campovia.plans import base, catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -116,3 +118,19 @@ def crowded(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["cl27_dispatch_sweep", "cl27_dispatch_fixed", "cl27_dispatch_capacity", "cl16_cl27_dispatch_operational", "cl12_cl27_dispatch_nearest"])
 def test_dispatch_of_large_states(spark, crowded, name):
     assert QUERIES[name](spark, crowded).select("id").distinct().count() > 6100
+
+
+@pytest.mark.parametrize("limits", [(300.0, 5000.0), (5000.0, 900.0), (20.0, 10.0)])
+def test_iterative_split_tries_what_can_hold(monkeypatch, limits):
+    """The groups of trying every number of routes, without the numbers that the service time alone rules out."""
+    xy, s, tried = scattered(60), DEFAULTS | {"alpha": 1.3, "day_minutes": limits[0], "day_km": limits[1]}, []
+    holds = lambda g: (lambda r: r["minutes"] <= limits[0] and r["km"] <= limits[1])(h.route(xy[g], xy[g].mean(0), s["kmh"], s["service"], s["alpha"]))
+    for k in range(1, 61):
+        labels = h.kmeans(xy, k)[0]
+        want = [np.flatnonzero(labels == j) for j in np.unique(labels)]
+        if all(map(holds, want)):
+            break
+    kmeans = h.kmeans
+    monkeypatch.setattr(h, "kmeans", lambda x, k: tried.append(k) or kmeans(x, k))
+    got = routing.split_iterative(xy, np.ones(60), s)
+    assert [g.tolist() for g in got] == [g.tolist() for g in want] and min(tried) >= min(60, 60 * s["service"] / (limits[0] + 30))
