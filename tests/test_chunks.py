@@ -63,3 +63,20 @@ def test_answers_of_every_kind_are_merged_once(spark):
     got = {tuple(r) for r in chunks.gathered(spark.createDataFrame(rows, ANSWERS)).collect()}
     assert got == {(1, "list", None, 0, "a"), (1, "list", None, 1, None), (1, "list", None, 2, "c"), (2, "list", None, 0, "a"), (1, "hash", "f", None, "new"), (1, "hash", "g", None, None), (1, "set", None, None, "v"), (1, "set", None, None, "w")}
     assert chunks.gathered(spark.createDataFrame([], ANSWERS)).count() == 0
+
+
+def test_chunks_of_a_stretch_share_their_state(spark, tmp_path):
+    """3,000 chunks of two jobs are two rows of state; those of one stretch wait, time out and end apart."""
+    many = [("m" if c % 2 else "n", c, "pedido", c % 7, c) for c in range(3000)] + [("m" if c % 2 else "n", c, "resposta", c % 7 + (4 if c % 3 == 1 else 14), 5000 + c) for c in range(3000) if c % 3]
+    late = [("z", 1, "pedido", 200, 1)]
+    got = run(spark, tmp_path, [many, late])
+    name = lambda c: "m" if c % 2 else "n"
+    wanted = {(name(c), c, "concluido", 1, c % 7 + 4, 5000 + c) for c in range(3000) if c % 3 == 1}
+    wanted |= {(name(c), c, "repetir", 2, c % 7 + 10, None) for c in range(3000) if c % 3 != 1}
+    wanted |= {(name(c), c, "concluido", 2, c % 7 + 14, 5000 + c) for c in range(3000) if c % 3 == 2}
+    wanted |= {(name(c), c, "falhou", 2, c % 7 + 20, None) for c in range(3000) if c % 3 == 0}
+    assert got == wanted
+    stream = spark.readStream.schema(MESSAGES).parquet(f"{tmp_path}/in")
+    query = chunks.chunk_outcomes(stream, "ts", 600, late="5 minutes").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/again").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 3
