@@ -1,5 +1,6 @@
 """Tables whose keys go beyond the round of coordinates, and groups larger than at the small scales."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -8,7 +9,7 @@ from oracle import connect, rows
 from pyspark.sql import functions as F
 
 from campovia.operators import heuristics as h
-from campovia.operators import routing
+from campovia.operators import routing, territory
 from campovia.operators.nearest import nearest_centre
 from campovia.operators.territory import DEFAULTS
 from campovia.plans import base, catalogue
@@ -134,3 +135,33 @@ def test_iterative_split_tries_what_can_hold(monkeypatch, limits):
     monkeypatch.setattr(h, "kmeans", lambda x, k: tried.append(k) or kmeans(x, k))
     got = routing.split_iterative(xy, np.ones(60), s)
     assert [g.tolist() for g in got] == [g.tolist() for g in want] and min(tried) >= min(60, 60 * s["service"] / (limits[0] + 30))
+
+
+def _by_all_pairs(xy, eps, least):
+    close = [np.flatnonzero(((xy - p) ** 2).sum(1) <= eps * eps) for p in xy]
+    labels = np.full(len(xy), -1)
+    for i in range(len(xy)):
+        if labels[i] < 0 and len(close[i]) >= least:
+            own = labels[i] = labels.max() + 1
+            todo = [i]
+            while todo:
+                for j in close[todo.pop()]:
+                    if labels[j] < 0:
+                        labels[j] = own
+                        if len(close[j]) >= least:
+                            todo.append(j)
+    return labels
+
+
+@pytest.mark.parametrize("eps,least", [(0.3, 3), (0.1, 2), (0.9, 10), (0.5, 40), (0.1, 1)])
+def test_dbscan_by_cells_is_dbscan_by_pairs(eps, least):
+    rng = np.random.default_rng(5)
+    for xy in (rng.random((500, 2)) * 8, np.round(rng.random((400, 2)) * 6, 1), rng.random((100, 2))[rng.integers(0, 100, 600)] * 5):
+        assert (h.dbscan(xy, eps, least) == _by_all_pairs(xy, eps, least)).all()
+
+
+def test_dbscan_of_a_dense_group_looks_at_no_pairs():
+    """60,000 points, a third of which are near each: their pairs would be a billion numbers."""
+    start = time.monotonic()
+    assert (h.dbscan(np.random.default_rng(6).random((60_000, 2)), 0.4, 3) == 0).all()
+    assert time.monotonic() - start < 20
