@@ -165,3 +165,10 @@ def test_dbscan_of_a_dense_group_looks_at_no_pairs():
     start = time.monotonic()
     assert (h.dbscan(np.random.default_rng(6).random((60_000, 2)), 0.4, 3) == 0).all()
     assert time.monotonic() - start < 20
+
+
+def test_assignment_measures_only_what_a_row_changes():
+    rng = np.random.default_rng(11)
+    start = time.monotonic()
+    at, low_off, high_off = h.banded_assignment(rng.random((12_000, 20)) * 100, 1, 4)
+    assert time.monotonic() - start < 12 and not low_off and high_off and np.bincount(at, minlength=20).min() >= 1
