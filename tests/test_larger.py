@@ -172,3 +172,11 @@ def test_assignment_measures_only_what_a_row_changes():
     start = time.monotonic()
     at, low_off, high_off = h.banded_assignment(rng.random((12_000, 20)) * 100, 1, 4)
     assert time.monotonic() - start < 12 and not low_off and high_off and np.bincount(at, minlength=20).min() >= 1
+
+
+def test_many_small_groups_are_joined_without_making_all_anew():
+    xy = np.random.default_rng(10).random((12_000, 2))
+    start = time.monotonic()
+    joined = h._joined(xy, [np.array([i]) for i in range(12_000)], 4, 8)
+    assert time.monotonic() - start < 30
+    assert sorted(np.concatenate(joined)) == list(range(12_000)) and min(map(len, joined)) >= 4
