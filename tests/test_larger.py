@@ -180,3 +180,26 @@ def test_many_small_groups_are_joined_without_making_all_anew():
     joined = h._joined(xy, [np.array([i]) for i in range(12_000)], 4, 8)
     assert time.monotonic() - start < 30
     assert sorted(np.concatenate(joined)) == list(range(12_000)) and min(map(len, joined)) >= 4
+
+
+def test_copies_of_places_are_one_point_of_their_weight(monkeypatch):
+    rng = np.random.default_rng(7)
+    spots = rng.random((300, 2))
+    own = rng.integers(0, 300, 9000)
+    seen, means = [], h._means
+    monkeypatch.setattr(h, "_means", lambda x, *rest: seen.append(len(x)) or means(x, *rest))
+    labels, centres = h.kmeans(spots[own], 12)
+    assert max(seen) == len(np.unique(own))
+    assert (h.km_matrix(spots[own], centres).argmin(1) == labels).mean() > 0.99
+    assert np.allclose(centres, [spots[own][labels == j].mean(0) for j in range(12)], atol=1e-9)
+
+
+def test_a_tour_visits_the_points_of_a_place_together():
+    spots = np.random.default_rng(8).random((90, 2)) * 5
+    xy = spots[np.random.default_rng(9).integers(0, 90, 1500)]
+    left, here, wanted = list(range(1500)), xy.mean(0), []
+    while left:
+        i = int(h.km_matrix(here[None], xy[left])[0].argmin())
+        wanted.append(left.pop(i))
+        here = xy[wanted[-1]]
+    assert h.nearest_order(xy, xy.mean(0)) == wanted
