@@ -203,3 +203,12 @@ def test_a_tour_visits_the_points_of_a_place_together():
         wanted.append(left.pop(i))
         here = xy[wanted[-1]]
     assert h.nearest_order(xy, xy.mean(0)) == wanted
+
+
+def test_a_group_over_its_most_is_cut_before_it_is_routed(monkeypatch):
+    """theoretical_routes: what is over `most` cannot hold, so its days are not made."""
+    made = []
+    monkeypatch.setattr(territory, "labelled", lambda df, group, key, lat, lon, fn: fn)
+    monkeypatch.setattr(h, "route", lambda xy, *rest: made.append(len(xy)) or {"minutes": 0, "km": 0})
+    labels = territory.theoretical_routes(None, "g", "k", "a", "b", 30)(np.random.default_rng(12).random((400, 2)))
+    assert len(labels) == 400 and sum(made) <= 400
