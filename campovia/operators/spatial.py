@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campovia.functions.geo import haversine_km, planar_sq
+from campovia.functions.geo import EARTH_KM, haversine_km, planar_sq
 from campovia.operators.nearest import nearest_others
 from campovia.session import durable
 
@@ -25,9 +25,16 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str, lon: str,
 
     Rows lie in bands of latitude as high as the distance. A band is cut into as many cells of longitude, around the whole circle, as
     leave none narrower than the distance on its side towards the pole, so a row meets its own cell and its neighbours', across the date line too; a band
-    at a pole is one cell. Rows without coordinates are in no pair.
+    at a pole is one cell. Rows without coordinates are in no pair. The cells are dealt to all tasks of a shuffle, for rows are small and pairs are many, and of two
+    rows that meet the product of their places on the sphere tells first whether they can be so near.
     """
     size = km / DEGREE_KM
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = math.cos(min(math.pi, km / EARTH_KM)) - 1e-12  # rounding is far below
+
+    def on_sphere(df: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+        p, q = F.radians(lat), F.radians(lon)
+        return df.withColumns({f"{name}x": F.cos(p) * F.cos(q), f"{name}y": F.cos(p) * F.sin(q), f"{name}z": F.sin(p)})
 
     def cells(band: Column) -> Column:
         """How many cells a band has: one where it is near a pole."""
@@ -41,8 +48,12 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str, lon: str,
     rows = left.withColumn("_y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(F.col(lat), size) + d))).withColumn("_n", cells(F.col("_y")))
     mine = column(F.col(lon), F.col("_n"))
     around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(mine + d, F.col("_n"))))
-    near = rows.withColumn("_x", F.explode(around)).drop("_n").join(placed, ["_y", "_x"])
-    return near.withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(rlat), F.col(rlon))).where(F.col("km") <= km).drop("_y", "_x")
+    rows = on_sphere(rows.withColumn("_x", F.explode(around)).drop("_n"), lat, lon, "_l").repartition(parts, "_y", "_x")
+    placed = on_sphere(placed, rlat, rlon, "_r").repartition(parts, "_y", "_x")
+    product = sum((F.col(f"_l{c}") * F.col(f"_r{c}") for c in "yz"), F.col("_lx") * F.col("_rx"))
+    near = rows.join(placed, ["_y", "_x"]).where(product >= least)
+    measured = near.withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(rlat), F.col(rlon))).where(F.col("km") <= km)
+    return measured.drop("_y", "_x", *[f"_{side}{c}" for side in "lr" for c in "xyz"])
 
 
 def flag_outliers(points: DataFrame, key: str, lat: str, lon: str, z: float = 1.5, k: int = 5, least: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from oracle import connect, rows
 from pyspark.sql import functions as F
 
 from campovia.operators import heuristics as h
-from campovia.operators import routing, territory
+from campovia.operators import routing, spatial, territory
 from campovia.operators.nearest import nearest_centre
 from campovia.operators.territory import DEFAULTS
 from campovia.plans import base, catalogue
@@ -212,3 +212,17 @@ def test_a_group_over_its_most_is_cut_before_it_is_routed(monkeypatch):
     monkeypatch.setattr(h, "route", lambda xy, *rest: made.append(len(xy)) or {"minutes": 0, "km": 0})
     labels = territory.theoretical_routes(None, "g", "k", "a", "b", 30)(np.random.default_rng(12).random((400, 2)))
     assert len(labels) == 400 and sum(made) <= 400
+
+
+def test_radius_pairs_meet_in_all_tasks(spark):
+    """Pairs near the limit, at the poles and across the date line, from cells dealt to a fixed number of tasks."""
+    rng = np.random.default_rng(14)
+    a = np.vstack([np.c_[rng.random(60) * 2 - 24, rng.random(60) * 2 - 50], np.c_[89.5 + rng.random(20) / 2, rng.random(20) * 360 - 180], np.c_[rng.random(20), 179.5 + rng.random(20) % 0.5], np.c_[rng.random(20), -180 + rng.random(20) / 2]])
+    left = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(a)], "a long, alat double, alon double")
+    right = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(a)], "b long, blat double, blon double")
+    pairs = spatial.within_km(left, right, 40.0, "alat", "alon", "blat", "blon")
+    km = h.km_matrix(a, a)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(int(i), int(j)) for i, j in np.argwhere(km <= 40)}
+    assert pairs.columns == ["a", "alat", "alon", "b", "blat", "blon", "km"]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
