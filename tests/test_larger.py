@@ -214,6 +214,21 @@ def test_a_group_over_its_most_is_cut_before_it_is_routed(monkeypatch):
     assert len(labels) == 400 and sum(made) <= 400
 
 
+def test_the_medoid_is_measured_on_places(spark, monkeypatch):
+    """1,200 points of 40 places, some of them alone: blocks hold places, and weights count the points."""
+    rng = np.random.default_rng(13)
+    xy = (rng.random((40, 2)) * 5)[rng.integers(0, 40, 1200) ** 2 // 40]
+    frame = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(xy)], "g long, id long, lat double, lon double")
+    total = np.round(h.km_matrix(xy, xy).sum(axis=1), 6)
+    monkeypatch.setattr(territory, "MEDOID_BLOCK", 10)
+    found = territory.medoid(frame, "g", "id", "lat", "lon")
+    got = found.collect()
+    best = int(total.argmin())
+    same = np.flatnonzero((xy == xy[best]).all(axis=1))
+    assert [(r.g, r.medoid, r.mlat, r.mlon) for r in got] == [(1, int(same.min()), *xy[best])]
+    assert "_copies" in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_radius_pairs_meet_in_all_tasks(spark):
     """Pairs near the limit, at the poles and across the date line, from cells dealt to a fixed number of tasks."""
     rng = np.random.default_rng(14)
