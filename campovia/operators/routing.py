@@ -109,13 +109,18 @@ def split_adaptive(xy: np.ndarray, visits: np.ndarray, s: dict) -> list[np.ndarr
 def split_iterative(xy: np.ndarray, visits: np.ndarray, s: dict) -> list[np.ndarray]:
     """One more route at a time until all are within the day and the distance.
 
-    Visits alone take their service time, so fewer routes than those that a day's most visits leave cannot hold and are not tried; a try ends at its first route that fails.
+    Visits alone take their service time, so fewer routes than those that a day's most visits leave cannot hold and are not tried; a try ends at its first route that fails,
+    the longest first. Where a single place has more visits than a day takes no number can hold, and the last one is made at once.
     """
     visits_a_day = max(1, int((s["day_minutes"] + 0.1) / s["service"])) if s["service"] > 0 else len(xy)
+    least = max(1, min(len(xy), math.ceil(len(xy) / visits_a_day)))
+    if len(xy) and h.places(xy)[2].max() > visits_a_day:
+        least = len(xy)
     groups = [np.arange(len(xy))]
-    for k in range(max(1, min(len(xy), math.ceil(len(xy) / visits_a_day))), len(xy) + 1):
-        groups = _kmeans_groups(xy, k)
-        if max(map(len, groups)) <= visits_a_day and all(r["minutes"] <= s["day_minutes"] and r["km"] <= s["day_km"] for g in groups for _, r in _routes([g], xy, s, False)):
+    for labels in h.kmeans_rising(xy, least):
+        groups = list(h._members(labels, np.unique(labels)).values())
+        longest = sorted(groups, key=len, reverse=True)
+        if len(longest[0]) <= visits_a_day and all(r["minutes"] <= s["day_minutes"] and r["km"] <= s["day_km"] for g in longest for _, r in _routes([g], xy, s, False)):
             break
     return groups
 
@@ -160,7 +165,7 @@ def split_routes(stops: DataFrame, cluster: list[str], key: str, lat: str, lon:
 
     kinds = {c: stops.schema[c].dataType.simpleString() for c in [*cluster, key]}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in cluster), "rota long", "seq long", f"{key} {kinds[key]}", "n_pdvs long", "km double", "minutes double", "status string"])
-    return per_group(stops.select(*columns), cluster, key, lat, lon, run, schema)
+    return per_group(stops.select(*columns), cluster, key, lat, lon, run, schema, spread=16 if mode == "iterativo" else 1)
 
 
 def run_status(routes: DataFrame) -> DataFrame:

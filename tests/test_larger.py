@@ -137,6 +137,45 @@ def test_iterative_split_tries_what_can_hold(monkeypatch, limits):
     assert [g.tolist() for g in got] == [g.tolist() for g in want] and min(tried) >= min(60, 60 * s["service"] / (limits[0] + 30))
 
 
+@pytest.mark.parametrize("kept", [h.KEPT, 0, 300_000])
+def test_kmeans_of_one_centre_more_is_a_run_of_its_own(monkeypatch, kept):
+    """Labels of every number of centres, copies of points and steps that end early or late too, whether the steps fit in memory or not."""
+    monkeypatch.setattr(h, "DENSE", 0)
+    monkeypatch.setattr(h, "KEPT", kept)
+    rng = np.random.default_rng(15)
+    flat = np.round(rng.random((120, 2)) * 20)  # many equal distances
+    for xy, first, numbers, steps in ((scattered(400), 20, 12, 100), (rng.normal(size=(200, 3)), 30, 8, 100), (flat, 90, 100, 100), (scattered(400), 40, 8, 4)):
+        monkeypatch.setattr(h, "STEPS", steps)
+        k = 0
+        for k, labels in zip(range(first, first + numbers), h.kmeans_rising(xy, first)):
+            assert (labels == h.kmeans(xy, k)[0]).all()
+        assert k == min(first + numbers - 1, len(np.unique(xy, axis=0)))
+
+
+def test_iterative_split_makes_each_number_of_routes_from_the_one_before(monkeypatch):
+    """As by a k-means for each number; none is run from its start again."""
+    xy, s = scattered(400), DEFAULTS | {"alpha": 1.3, "day_minutes": 3000.0, "day_km": 2000.0}
+    monkeypatch.setattr(h, "DENSE", 0)
+    for k in range(17, 401):
+        want = routing._kmeans_groups(xy, k)
+        if all(r["minutes"] <= 3000 and r["km"] <= 2000 for _, r in routing._routes(want, xy, s, False)):
+            break
+    calls, near = [], h._kmeans_near
+    monkeypatch.setattr(h, "_kmeans_near", lambda *a: calls.append(a) or near(*a))
+    got = routing.split_iterative(xy, np.ones(400), s)
+    assert [g.tolist() for g in got] == [g.tolist() for g in want] and len(want) > 20 and not calls
+
+
+def test_iterative_split_of_a_place_over_its_day_tries_one_number(monkeypatch):
+    """A place of more visits than a day takes: no number of routes can hold, so only the last is made."""
+    xy, s, tried = np.concatenate([scattered(300), np.tile([[-22.5, -47.25]], (90, 1))]), DEFAULTS | {"alpha": 1.3, "day_minutes": 2500.0, "day_km": 2000.0}, []
+    kmeans = h.kmeans
+    want = routing._kmeans_groups(xy, len(xy))
+    monkeypatch.setattr(h, "kmeans", lambda x, k: tried.append(k) or kmeans(x, k))
+    got = routing.split_iterative(xy, np.ones(390), s)
+    assert [g.tolist() for g in got] == [g.tolist() for g in want] and len(tried) == 1
+
+
 def _by_all_pairs(xy, eps, least):
     close = [np.flatnonzero(((xy - p) ** 2).sum(1) <= eps * eps) for p in xy]
     labels = np.full(len(xy), -1)
