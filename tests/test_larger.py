@@ -268,6 +268,49 @@ def test_the_medoid_is_measured_on_places(spark, monkeypatch):
     assert "_copies" in found._jdf.queryExecution().analyzed().toString()
 
 
+def test_slopes_bound_the_sums_of_distances():
+    """At places of all the earth and near by, by marks that are measured in two parts."""
+    rng = np.random.default_rng(16)
+    globe = np.c_[np.degrees(np.arcsin(rng.random(300) * 2 - 1)), rng.random(300) * 360 - 180]
+    for xy in (globe, globe / 20, globe / 1e4, np.vstack([globe[:40], globe[:40] + 1e-7]), np.c_[90 - rng.random(100) / 5, rng.random(100) * 360 - 180], np.c_[rng.random(100), 179.9 + rng.random(100) / 5 % 0.2 - 360 * (rng.random(100) < 0.5)]):
+        weight = rng.integers(1, 9, len(xy)).astype(float)
+        exact = (h.km_matrix(xy, xy) * weight).sum(1)
+        halves = [h.distance_slopes(xy[:60], xy[part], weight[part]) for part in (slice(0, 30), slice(30, None))]
+        found = np.array([a + b for a, b in zip(*halves)]).T
+        least = h.least_sums(xy, xy[:60], found, weight.sum())
+        assert np.allclose(found[:, 0], exact[:60]) and (least <= exact * (1 + 1e-9) + weight.sum() * 1e-9).all() and np.allclose(least[:60], exact[:60], atol=weight.sum() * 0.03)
+
+
+def test_the_medoid_is_searched_among_few_places(spark, monkeypatch):
+    """As by all pairs: even, in two towns, on a line, on a circle, around the earth, copies in one place, equal sums, a place that is none, a lone point; of the even group hardly a place is left."""
+    rng = np.random.default_rng(17)
+    turn = np.arange(200) * 2 * np.pi / 200
+    groups = [
+        rng.random((3000, 2)) * [6, 8] + [-25, -53], np.vstack([rng.random((150, 2)), rng.random((150, 2)) + 30]), np.c_[np.full(300, -20.0), rng.random(300) * 9], np.c_[np.cos(turn), np.sin(turn)],
+        np.c_[np.degrees(np.arcsin(rng.random(300) * 2 - 1)), rng.random(300) * 360 - 180], np.vstack([rng.random((200, 2)) * 3, np.tile([[1.0, 7.0]], (400, 1))]), np.array([[0.0, 0.0], [0.0, 1.0], [0.0, 0.0], [0.0, 1.0]]),
+        np.vstack([rng.random((50, 2)), [[200.0, 3.0]]]), np.array([[3.0, 4.0]]),
+    ]
+    frame = spark.createDataFrame([(g, 10_000 * g + i, *map(float, p)) for g, xy in enumerate(groups) for i, p in enumerate(xy)], "g long, id long, lat double, lon double")
+    left, once = [], territory._medoid_round
+
+    def round_(*args):
+        found = once(*args)
+        left.append(dict(found[0].groupBy("g").count().collect()))
+        return found
+
+    monkeypatch.setattr(territory, "_medoid_round", round_)
+    monkeypatch.setattr(territory, "MEDOID_PAIRS", 0)
+    monkeypatch.setattr(territory, "MEDOID_FEW", 1)
+    got = {r.g: (r.medoid, r.mlat, r.mlon) for r in territory.medoid(frame, "g", "id", "lat", "lon").collect()}
+    for g, xy in enumerate(groups):
+        total = np.round(h.km_matrix(xy, xy).sum(axis=1), 6)
+        if g == 3:  # all sums are equal but for rounding
+            assert total[got[g][0] - 10_000 * g] <= total.min() * (1 + 1e-12)
+        else:
+            assert got[g] == (10_000 * g + int(total.argmin()), *xy[total.argmin()])
+    assert left[-1][0] < 60 and left[-1][7] == 51
+
+
 def test_radius_pairs_meet_in_all_tasks(spark):
     """Pairs near the limit, at the poles and across the date line, from cells dealt to a fixed number of tasks."""
     rng = np.random.default_rng(14)
