@@ -106,8 +106,12 @@ def split_adaptive(xy: np.ndarray, visits: np.ndarray, s: dict) -> list[np.ndarr
     return _kmeans_groups(xy, max(1, min(int(s["days"] // max(visits.mean(), 1)), len(xy))))
 
 
-def split_iterative(xy: np.ndarray, visits: np.ndarray, s: dict) -> list[np.ndarray]:
-    """One more route at a time until all are within the day and the distance.
+#: The numbers of routes of an iterative split are tried in parts of their own, which begin at so many times the least number.
+PARTS = (1.0, 1.4, 1.8, 2.2)
+
+
+def split_iterative(xy: np.ndarray, visits: np.ndarray, s: dict, part: int | None = None) -> list[np.ndarray]:
+    """One more route at a time until all are within the day and the distance. part: of the numbers of this part alone, and no groups if it is not the last one and none of them holds.
 
     Visits alone take their service time, so fewer routes than those that a day's most visits leave cannot hold and are not tried; a try ends at its first route that fails,
     the longest first. Where a single place has more visits than a day takes no number can hold, and the last one is made at once.
@@ -116,13 +120,18 @@ def split_iterative(xy: np.ndarray, visits: np.ndarray, s: dict) -> list[np.ndar
     least = max(1, min(len(xy), math.ceil(len(xy) / visits_a_day)))
     if len(xy) and h.places(xy)[2].max() > visits_a_day:
         least = len(xy)
-    groups = [np.arange(len(xy))]
-    for labels in h.kmeans_rising(xy, least):
+    begin, end = (min(len(xy), math.ceil(least * PARTS[p])) if p is not None and p < len(PARTS) else None for p in (part, None if part is None else part + 1))
+    begin, groups = begin or least, [np.arange(len(xy))]
+    if end is not None and begin >= end:
+        return []
+    for k, labels in enumerate(h.kmeans_rising(xy, begin), begin):
+        if k == end:
+            return []
         groups = list(h._members(labels, np.unique(labels)).values())
         longest = sorted(groups, key=len, reverse=True)
         if len(longest[0]) <= visits_a_day and all(r["minutes"] <= s["day_minutes"] and r["km"] <= s["day_km"] for g in longest for _, r in _routes([g], xy, s, False)):
-            break
-    return groups
+            return groups
+    return groups if end is None else []
 
 
 def split_capacity(xy: np.ndarray, visits: np.ndarray, s: dict) -> list[np.ndarray]:
@@ -144,28 +153,36 @@ SPLITTERS: dict[str, Callable[[np.ndarray, np.ndarray, dict], list[np.ndarray]]]
 def split_routes(stops: DataFrame, cluster: list[str], key: str, lat: str, lon: str, mode: str, visits: str | None = None, improve: bool = False, **settings) -> DataFrame:
     """(cluster, rota, seq, key, n_pdvs, km, minutes, status): each cluster split into daily routes by mode, with visiting order and cost.
 
-    A cluster whose routes cannot be made gets one row a stop with status "erro: ..." and no route; the others go on.
+    A cluster whose routes cannot be made gets one row a stop with status "erro: ..." and no route; the others go on. The numbers of routes that the mode iterativo tries are cut into
+    parts, each a task of its own; of a cluster's parts the first that holds counts.
     """
     if mode not in SPLITTERS:
         raise ValueError(f"unknown mode {mode}; there are {', '.join(SPLITTERS)}")
     s = DEFAULTS | {"alpha": 1.3, "least": 8, "most": 12} | settings
     columns = [*cluster, key, lat, lon, *([visits] if visits else [])]
+    named = [*cluster, "rota", "seq", key, "n_pdvs", "km", "minutes", "status"]
 
     def run(pdf: pd.DataFrame, xy: np.ndarray) -> pd.DataFrame:
         try:
             frequency = pdf[visits].fillna(1).to_numpy(float) if visits else np.ones(len(xy))
-            parts = []
-            for r, (own, cost) in enumerate(_routes(SPLITTERS[mode](xy, frequency, s), xy, s, improve), 1):
+            groups = SPLITTERS[mode](xy, frequency, s, int(pdf["_part"].iloc[0])) if mode == "iterativo" else SPLITTERS[mode](xy, frequency, s)
+            parts = [pdf[[*cluster, key]].head(0).assign(rota=0, seq=0, n_pdvs=0, km=0.0, minutes=0.0, status="")]
+            for r, (own, cost) in enumerate(_routes(groups, xy, s, improve), 1):
                 part = pdf.iloc[own[cost["order"]]][[*cluster, key]].copy()
                 fits = cost["minutes"] <= s["day_minutes"] and cost["km"] <= s["day_km"]
                 parts.append(part.assign(rota=r, seq=np.arange(1, len(part) + 1), n_pdvs=len(part), km=cost["km"], minutes=cost["minutes"], status="OK" if fits else "EXCEDIDO"))
-            return pd.concat(parts)[[*cluster, "rota", "seq", key, "n_pdvs", "km", "minutes", "status"]]
+            out = pd.concat(parts[1:] or parts)[named]
         except (ValueError, ArithmeticError) as error:  # one group of bad data must not end the others
-            return pdf[[*cluster, key]].assign(rota=None, seq=None, n_pdvs=len(pdf), km=np.nan, minutes=np.nan, status=f"erro: {error}")[[*cluster, "rota", "seq", key, "n_pdvs", "km", "minutes", "status"]]
+            out = pdf[[*cluster, key]].assign(rota=None, seq=None, n_pdvs=len(pdf), km=np.nan, minutes=np.nan, status=f"erro: {error}")[named]
+        return out.assign(_part=pdf["_part"].iloc[0]) if mode == "iterativo" else out
 
     kinds = {c: stops.schema[c].dataType.simpleString() for c in [*cluster, key]}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in cluster), "rota long", "seq long", f"{key} {kinds[key]}", "n_pdvs long", "km double", "minutes double", "status string"])
-    return per_group(stops.select(*columns), cluster, key, lat, lon, run, schema, spread=16 if mode == "iterativo" else 1)
+    if mode != "iterativo":
+        return per_group(stops.select(*columns), cluster, key, lat, lon, run, schema)
+    rows = stops.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(len(PARTS) - 1))).alias("_part"))
+    tried = per_group(rows, [*cluster, "_part"], key, lat, lon, run, f"{schema}, _part int", tasks=512)
+    return tried.withColumn("_first", F.min("_part").over(Window.partitionBy(*cluster))).where("_part = _first").select(*named)
 
 
 def run_status(routes: DataFrame) -> DataFrame:

@@ -166,6 +166,19 @@ def test_iterative_split_makes_each_number_of_routes_from_the_one_before(monkeyp
     assert [g.tolist() for g in got] == [g.tolist() for g in want] and len(want) > 20 and not calls
 
 
+@pytest.mark.parametrize("minutes", [5000.0, 2500.0, 1500.0, 700.0, 20.0])
+def test_iterative_split_in_parts_is_that_of_all_numbers(spark, minutes):
+    """The first part that holds is the first number that holds; one of them always counts."""
+    xy, s = scattered(120), DEFAULTS | {"alpha": 1.3, "day_minutes": minutes, "day_km": 2000.0}
+    want = [g.tolist() for g in routing.split_iterative(xy, np.ones(120), s)]
+    parts = [routing.split_iterative(xy, np.ones(120), s, p) for p in range(len(routing.PARTS))]
+    assert [g.tolist() for g in next(filter(len, parts))] == want
+    frame = spark.createDataFrame([(None if i % 2 else "a", int(i), *map(float, p)) for i, p in enumerate(np.repeat(xy, 2, axis=0))], "g string, id long, lat double, lon double")
+    found = routing.split_routes(frame, ["g"], "id", "lat", "lon", "iterativo", day_minutes=minutes, day_km=2000.0).toPandas()
+    for _, own in found.groupby("g", dropna=False):
+        assert [sorted(r["id"] // 2) for _, r in own.groupby("rota")] == want
+
+
 def test_iterative_split_of_a_place_over_its_day_tries_one_number(monkeypatch):
     """A place of more visits than a day takes: no number of routes can hold, so only the last is made."""
     xy, s, tried = np.concatenate([scattered(300), np.tile([[-22.5, -47.25]], (90, 1))]), DEFAULTS | {"alpha": 1.3, "day_minutes": 2500.0, "day_km": 2000.0}, []
